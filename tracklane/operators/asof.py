@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.operators.ordered import CHUNK, Last, done, scan
+from tracklane.operators.ordered import Last, scan
 
 TS, SEQ, MATCH = "generation_ts", "seq", "match_id"
 ORDER = [TS, SEQ]
@@ -53,10 +55,7 @@ def slots(roster, fields: list[str]) -> Column:
 
 
 def slots_complete(roster) -> Column:
-    done_ = F.lit(True)
-    for i in range(len(roster)):
-        done_ = done_ & F.col(f"__s{i}").isNotNull()
-    return done_
+    return reduce(lambda a, b: a & b, [F.col(f"__s{i}").isNotNull() for i in range(len(roster))])
 
 
 def snapshot_asof(
@@ -75,7 +74,7 @@ def snapshot_asof(
 
     Triggers are rows of `states` itself (`trigger`) or of another table (`triggers`, after the states of
     the same time). Rows are not multiplied by the roster: one running value per object is kept in one
-    pass. Snapshots that lack an object are dropped.
+    pass. Snapshots that lack an object are dropped, or null if `complete` is off.
     """
     if triggers is None:
         both, order, keep = states, ORDER, trigger
@@ -88,10 +87,9 @@ def snapshot_asof(
         order, keep = [TS, "__rank", SEQ], F.col("__rank") == 1
         out = triggers.columns
     found = scan(both, [MATCH], order, width, *slot_specs(roster, fields), *extra).filter(keep)
+    full = slots_complete(roster)
     if complete:
-        found = found.filter(slots_complete(roster))
-    chunk = [CHUNK] if CHUNK in states.columns else []
-    return found.select(*[c for c in out if c != CHUNK], *chunk, slots(roster, fields).alias(name), *[s.name for s in extra])
-
+        found = found.filter(full)
+    objects = slots(roster, fields) if complete else F.when(full, slots(roster, fields))
+    return found.select(*out, objects.alias(name), *[s.name for s in extra])
 
-__all__ = ["asof_join", "snapshot_asof", "slots", "slot_specs", "slots_complete", "done", "MATCH", "TS", "SEQ", "ORDER"]
