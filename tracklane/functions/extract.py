@@ -55,3 +55,8 @@ def extract(df: DataFrame, spec: str, strict: bool = True) -> Column:
         case "no", 0:
             raise ValueError("this element has no extractor")
     raise ValueError(f"cannot read specification {spec!r}")
+
+
+def extract_all(df: DataFrame, specs: dict[str, str], strict: bool = True) -> DataFrame:
+    """One column per named specification; entries without an extractor (`no`) have no column."""
+    return df.select("match_id", "seq", *[extract(df, s, strict).alias(n) for n, s in specs.items() if s.strip() != "no"])

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklane.operators.asof import MATCH, ORDER, SEQ, TS, slot_specs
 from tracklane.operators.ordered import scan
@@ -14,7 +15,7 @@ from tracklane.operators.stateful import deadband
 from tracklane.params import Params
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hull_surface(xs: pd.Series, ys: pd.Series) -> pd.Series:
     """Surface of the convex hull of each row's points, whole Arrow batches at a time.
 
