@@ -38,7 +38,7 @@ def sql(final: str) -> str:
 
 
 # --- events and elements -------------------------------------------------------------------------
-part("ev", """select user_id, event_type, epoch_ms(ts) as generation_ts, event_id as seq, value, cast(props->>'k' as bigint) as k
+part("ev", """select user_id, event_type, epoch_us(ts) // 1000 as generation_ts, event_id as seq, value, cast(props->>'k' as bigint) as k
 from events""")
 part("el", """select event_type as stream_name, 'u' || user_id as match_id, generation_ts, seq, seq % 4 = 0 as atomic,
 case seq % 4 when 1 then 'START' when 2 then 'ACTIVE' when 3 then 'END' end as phase, event_type, value, k, user_id,
@@ -362,8 +362,9 @@ select *, unnest([object_id, team_id]) item from hc) group by all""")
 part("hspan", """select s.match_id, item, min(second) first_s, any_value(last_s) last_s from hs s
 join (select match_id, max(second) last_s from hs group by 1) l on l.match_id=s.match_id group by 1, 2""")
 part("hgrid", f"""select match_id, item, i as interval_s, unnest(generate_series(first_s, last_s)) as second from hspan, (select unnest([{', '.join(map(str, P.intervals_s))}]) i)""")
-part("hi", """select g.match_id, g.item, g.interval_s, s.cell_x, s.cell_y, g.second, cast(sum(s.n) as bigint) n from hgrid g
-join hs s on s.match_id=g.match_id and s.item=g.item and s.second <= g.second and (g.interval_s = 0 or s.second > g.second - g.interval_s) group by all""")
+part("hi", f"""select match_id, item, interval_s, cell_x, cell_y, second, cast(sum(n) as bigint) n from (select s.match_id, s.item, i as interval_s, cell_x, cell_y, n,
+unnest(generate_series(s.second, case when i = 0 then last_s else least(last_s, s.second + i - 1) end)) as second
+from hs s join hspan l on l.match_id=s.match_id and l.item=s.item, (select unnest([{', '.join(map(str, P.intervals_s))}]) i)) group by all""")
 part("hrle", f"""select match_id, item, interval_s, second, sum(n) total, max(c) last_c,
 string_agg(case when gap > 0 then '0x' || gap || ';' else '' end || n, ';' order by c) t from (
 select *, c - coalesce(lag(c) over (partition by match_id, item, interval_s, second order by c), -1) - 1 gap
