@@ -13,9 +13,9 @@ def rename_map(text: Column) -> Column:
     return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p[0].alias("k"), p[1].alias("v"))))
 
 
-def renamed(ids: Column, text: Column) -> Column:
-    """The id after renaming; ids the map does not know stay."""
-    return F.coalesce(F.try_element_at(rename_map(text), ids), ids)
+def renamed(ids: Column, names: Column) -> Column:
+    """The id after renaming by a parsed map; ids the map does not know stay."""
+    return F.coalesce(F.try_element_at(names, ids), ids)
 
 
 def parse_areas(text: Column) -> Column:

@@ -67,29 +67,35 @@ def snapshot_asof(
     trigger: Column | None = None,
     triggers: DataFrame | None = None,
     name: str = "objects",
-    extra: tuple = (),
+    others: dict[str, tuple[DataFrame, Column]] | None = None,
     complete: bool = True,
 ) -> DataFrame:
     """Latest `fields` of every roster object at each trigger row, as one array column.
 
     Triggers are rows of `states` itself (`trigger`) or of another table (`triggers`, after the states of
     the same time). Rows are not multiplied by the roster: one running value per object is kept in one
-    pass. Snapshots that lack an object are dropped, or null if `complete` is off.
+    pass, and the latest rows of `others` (name: table, value) come along. Snapshots that lack an object are dropped, or null if `complete` is off.
     """
+    keep = F.col("__rank") == 1 if triggers is None else F.col("__rank") == 2
     if triggers is None:
-        both, order, keep = states, ORDER, trigger
-        out = [c for c in states.columns]
+        keep, out = keep & trigger, states.columns
+        both = states.withColumn("__rank", F.lit(1))
     else:
-        lean = states.select(MATCH, TS, SEQ, "object_id", *[f for f in fields if f not in (MATCH, TS, SEQ, "object_id")])
-        both = lean.withColumn("__rank", F.lit(0)).unionByName(
-            triggers.withColumn("__rank", F.lit(1)), allowMissingColumns=True
-        )
-        order, keep = [TS, "__rank", SEQ], F.col("__rank") == 1
+        lean = list(dict.fromkeys([MATCH, TS, SEQ, "object_id", *fields]))
         out = triggers.columns
-    found = scan(both, [MATCH], order, width, *slot_specs(roster, fields), *extra).filter(keep)
+        both = states.select(*lean).withColumn("__rank", F.lit(1)).unionByName(
+            triggers.withColumn("__rank", F.lit(2)), allowMissingColumns=True
+        )
+    others = others or {}
+    for n, (df, value) in others.items():
+        both = both.unionByName(
+            df.select(MATCH, TS, SEQ, value.alias(f"__o_{n}"), F.lit(0).alias("__rank")), allowMissingColumns=True
+        )
+    latest = [Last(n, F.col(f"__o_{n}")) for n in others]
+    found = scan(both, [MATCH], [TS, "__rank", SEQ], width, *slot_specs(roster, fields), *latest).filter(keep)
     full = slots_complete(roster)
     if complete:
         found = found.filter(full)
     objects = slots(roster, fields) if complete else F.when(full, slots(roster, fields))
-    return found.select(*out, objects.alias(name), *[s.name for s in extra])
+    return found.select(*out, objects.alias(name), *others)
 

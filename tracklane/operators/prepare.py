@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.functions.geometry import norm3
-from tracklane.functions.parsing import areas_at, parse_areas, renamed
+from tracklane.functions.parsing import areas_at, parse_areas, rename_map, renamed
 from tracklane.operators.asof import MATCH, ORDER, TS, SEQ
 from tracklane.operators.ordered import Prev, done, scan
 from tracklane.params import Params
@@ -26,15 +26,21 @@ def field_object_state(raw: DataFrame, metadata: DataFrame, p: Params) -> DataFr
     def speed(c: str) -> Column:
         return F.when((F.col("__p").isNotNull()) & (dt != 0), (F.col(c) - F.col(f"__p.{c}")) / dt).otherwise(0.0)
 
-    moved = moved.select("*", *[speed(c).alias(f"__v{c}") for c in "xyz"]).join(metadata, MATCH, "left")
+    # the texts are parsed once per match, not once per reading
+    known = metadata.select(
+        MATCH, "field_length", "field_width", "mirrored_x", "mirrored_y",
+        rename_map(F.col("object_rename_map")).alias("__objects"), rename_map(F.col("team_rename_map")).alias("__teams"),
+        parse_areas(F.col("areas")).alias("__areas"),
+    )
+    moved = moved.select(*raw.columns, *[speed(c).alias(f"__v{c}") for c in "xyz"]).join(known, MATCH, "left")
 
     def side(flag: str) -> Column:
         return F.when(F.coalesce(flag, F.lit(False)), -1.0).otherwise(1.0)
 
     states = moved.select(
         MATCH, TS, SEQ,
-        renamed(F.col("object_id"), F.coalesce("object_rename_map", F.lit(""))).alias("object_id"),
-        renamed(F.col("team_id"), F.coalesce("team_rename_map", F.lit(""))).alias("team_id"),
+        renamed(F.col("object_id"), F.col("__objects")).alias("object_id"),
+        renamed(F.col("team_id"), F.col("__teams")).alias("team_id"),
         (F.col("x") * p.position_scale * side("mirrored_x")).alias("x"),
         (F.col("y") * p.position_scale * side("mirrored_y")).alias("y"),
         (F.col("z") * p.position_scale).alias("z"),
@@ -42,9 +48,9 @@ def field_object_state(raw: DataFrame, metadata: DataFrame, p: Params) -> DataFr
         (F.col("__vy") * p.velocity_scale * side("mirrored_y")).alias("vy"),
         (F.col("__vz") * p.velocity_scale).alias("vz"),
         (norm3(F.col("__vx"), F.col("__vy"), F.col("__vz")) * p.velocity_scale).alias("vabs"),
-        "field_length", "field_width", F.col("areas").alias("__areas"),
+        "field_length", "field_width", "__areas",
     )
-    return states.withColumn("areas", areas_at(parse_areas(F.col("__areas")), F.col("x"), F.col("y"))).drop("__areas")
+    return states.withColumn("areas", areas_at(F.col("__areas"), F.col("x"), F.col("y"))).drop("__areas")
 
 
 def area_event(states: DataFrame, p: Params) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tracklane.functions.geometry import norm3, projected_norm3
 from tracklane.operators.asof import MATCH, ORDER, SEQ, TS, snapshot_asof
 from tracklane.operators.keyed import active_key_ticks, phase_events
-from tracklane.operators.possession import possession_state
 from tracklane.params import Params
+from tracklane.session import materialize
 
 FIELDS = ["x", "y", "z", "vx", "vy", "vz"]
 
@@ -37,16 +37,18 @@ def everybody(p: Params) -> tuple[tuple[str, str], ...]:
     return ((p.ball, p.ball),) + p.roster
 
 
+def _holder(changes: DataFrame):
+    return {"holder": (changes, F.struct("player_id", "team_id"))}
+
+
 def pressing_index(states: DataFrame, changes: DataFrame, p: Params) -> DataFrame:
     """The index at every ball row."""
     snap = snapshot_asof(
         states.select(MATCH, TS, SEQ, "object_id", *FIELDS), everybody(p), FIELDS, p.chunk_ms,
-        trigger=F.col("object_id") == p.ball,
+        trigger=F.col("object_id") == p.ball, others=_holder(changes),
     )
-    held = possession_state(snap.select(MATCH, TS, SEQ, "objects"), changes, p)
-    return held.select(
-        MATCH, TS, SEQ, F.col("holder_player").alias("player_id"),
-        index(F.col("objects"), p.ball, F.col("holder_team")).alias("pressing_index"),
+    return snap.select(
+        MATCH, TS, SEQ, "holder.player_id", index(F.col("objects"), p.ball, F.col("holder.team_id")).alias("pressing_index")
     )
 
 
@@ -55,11 +57,12 @@ def pressing_state(states: DataFrame, changes: DataFrame, p: Params) -> DataFram
     ticks = active_key_ticks(states, MATCH, p.pressing_tick_ms, p.active_threshold_ms, p.chunk_ms).select(
         MATCH, F.col("tick_ts").alias(TS), F.col("tick_ts").alias(SEQ), "max_generation_ts"
     )
-    snap = snapshot_asof(states, everybody(p), FIELDS, p.chunk_ms, triggers=ticks)
-    held = possession_state(snap, changes, p)
-    return held.select(
-        MATCH, F.col(TS).alias("tick_ts"), F.col("max_generation_ts").alias(TS), F.col("holder_player").alias("player_id"),
-        index(F.col("objects"), p.ball, F.col("holder_team")).alias("pressing_index"),
+    snap = snapshot_asof(
+        states, everybody(p), FIELDS, p.chunk_ms, triggers=materialize(ticks, "ticks"), others=_holder(changes)
+    )
+    return snap.select(
+        MATCH, F.col(TS).alias("tick_ts"), F.col("max_generation_ts").alias(TS), "holder.player_id",
+        index(F.col("objects"), p.ball, F.col("holder.team_id")).alias("pressing_index"),
     )
 
 

@@ -13,9 +13,9 @@ from tracklane.functions.geometry import distance
 from tracklane.operators.asof import MATCH, ORDER, SEQ, TS, asof_join, snapshot_asof
 from tracklane.operators.keyed import active_key_ticks, emit_on_change, item_rollup
 from tracklane.operators.ordered import Prev, Total, scan
-from tracklane.operators.possession import item_totals
 from tracklane.operators.stateful import stateful_scan
 from tracklane.params import Params
+from tracklane.session import materialize
 
 
 def players(states: DataFrame, p: Params) -> DataFrame:
@@ -145,12 +145,12 @@ def distance_statistics(states: DataFrame, p: Params) -> DataFrame:
     ticks = active_key_ticks(moving, MATCH, p.distance_tick_ms, p.active_threshold_ms, p.chunk_ms).select(
         MATCH, F.col("tick_ts").alias(TS), F.col("tick_ts").alias(SEQ), "max_generation_ts"
     )
-    snap = snapshot_asof(moving, p.roster, ["x", "y", "z"], p.chunk_ms, triggers=ticks)
-    steps = scan(snap, [MATCH], ORDER, p.chunk_ms, Prev("__p", F.col("objects")))
-    way = lambda n: F.coalesce(distance(F.col("objects")[n], F.col("__p")[n]), F.lit(0.0))
-    steps = steps.select(MATCH, TS, SEQ, "max_generation_ts", F.array(*[way(n) for n in range(len(p.roster))]).alias("__way"))
-    team = {t: [n for n, (_, o) in enumerate(p.roster) if o == t] for t in p.teams}
-    place = {o: [n] for n, (o, _) in enumerate(p.roster)} | team
-    amount = lambda item: sum((F.col("__way")[n] for n in place[item][1:]), F.col("__way")[place[item][0]])
-    rows = item_totals(steps, ORDER, p, amount, "distance")
+    snap = snapshot_asof(moving, p.roster, ["x", "y", "z"], p.chunk_ms, triggers=materialize(ticks, "ticks"))
+    each = snap.select(MATCH, TS, SEQ, "max_generation_ts", F.explode("objects").alias("o"))
+    each = each.select(MATCH, TS, SEQ, "max_generation_ts", F.col("o.object_id").alias("player"), F.col("o.team_id").alias("team"), "o")
+    each = materialize(each, "tick-positions")
+    each = scan(each, [MATCH, "player"], ORDER, p.chunk_ms, Prev("__p", F.col("o")))
+    way = each.withColumn("__d", F.coalesce(distance(F.col("o"), F.col("__p")), F.lit(0.0)))
+    way = item_rollup(way, "player", "team").groupBy(MATCH, TS, SEQ, "max_generation_ts", "item").agg(F.sum("__d").alias("__d"))
+    rows = scan(way, [MATCH, "item"], ORDER, p.chunk_ms, Total("distance", F.col("__d")))
     return rows.select(MATCH, F.col(TS).alias("tick_ts"), F.col("max_generation_ts").alias(TS), "item", "distance")

@@ -78,9 +78,7 @@ def stateful_scan(
     return rows.join(bounds.select(*parts, "__in"), parts).groupBy(*parts).applyInPandas(emit, schema)
 
 
-def debounce(
-    df: DataFrame, keys: list[str], gap: int, width: int, *, time: str = "generation_ts", seq: str = "seq", **kw
-) -> DataFrame:
+def debounce_step(gap: int, time: str = "generation_ts") -> Step:
     """Keep a candidate only if more than `gap` after the last kept one, or if the clock went back."""
 
     def step(pdf, state):
@@ -93,7 +91,29 @@ def debounce(
                 last = ts
         return pdf[keep], None if last is None else [last]
 
-    return stateful_scan(df, keys, [time, seq], width, step, df.schema, **kw)
+    return step
+
+
+def deadband_step(measures: list[str], epsilon: float) -> Step:
+    """Keep a row when a measure moved more than `epsilon` from its stored value; only those are replaced."""
+
+    def step(pdf, state):
+        last = list(state) if state else [None] * len(measures)
+        keep = []
+        for row in zip(*[pdf[m].tolist() for m in measures]):
+            moved = [old is None or abs(old - v) > epsilon for old, v in zip(last, row)]
+            last = [v if m else old for m, old, v in zip(moved, last, row)]
+            keep.append(any(moved))
+        return pdf[keep], last
+
+    return step
+
+
+def debounce(
+    df: DataFrame, keys: list[str], gap: int, width: int, *, time: str = "generation_ts", seq: str = "seq", **kw
+) -> DataFrame:
+    """Candidates that survive `debounce_step` per key."""
+    return stateful_scan(df, keys, [time, seq], width, debounce_step(gap, time), df.schema, **kw)
 
 
 def deadband(
@@ -107,18 +127,5 @@ def deadband(
     seq: str = "seq",
     **kw,
 ) -> DataFrame:
-    """Keep a row when a measure moved more than `epsilon` from its last stored value.
-
-    Each measure is stored on its own: only the ones that moved are replaced.
-    """
-
-    def step(pdf, state):
-        last = list(state) if state else [None] * len(measures)
-        keep = []
-        for row in zip(*[pdf[m].tolist() for m in measures]):
-            moved = [l is None or abs(l - v) > epsilon for l, v in zip(last, row)]
-            last = [v if m else l for m, l, v in zip(moved, last, row)]
-            keep.append(any(moved))
-        return pdf[keep], last
-
-    return stateful_scan(df, keys, [time, seq], width, step, df.schema, **kw)
+    """Rows that survive `deadband_step` per key."""
+    return stateful_scan(df, keys, [time, seq], width, deadband_step(measures, epsilon), df.schema, **kw)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +21,10 @@ from tracklane.params import AREAS_TEXT, ROSTER_TEXT, Params
 from tracklane.plans.match import Match
 from tracklane.session import work_dir
 from tracklane.sources import streams
-from tracklane.sources.elements import elements, keyed_events
+from tracklane.sources.elements import elements, event_columns, keyed_events
 from tracklane.sources.trace import positions
+from tracklane.streaming import keyed as live
+from tracklane.streaming.run import as_stream, run_available
 
 # The trace has 5 readings a second instead of 45: histories and the throw-in window follow it. Its
 # matches last 29 s, so 10 s chunks let every running value cross chunk borders.
@@ -100,8 +103,6 @@ def read_stream(spark, sf_dir):
 @match_query
 def write_stream(m):
     spark = m.areas.sparkSession
-    import uuid
-
     path = f"{work_dir(spark)}/streams-{uuid.uuid4().hex}"
     streams.write_stream(m.areas, "area_event", path, width=m.p.chunk_ms)
     return spark.read.schema(m.areas.schema).parquet(f"{path}/area_event").select(MATCH, TS, SEQ, "object_id", "area_id", "in_area")
@@ -349,7 +350,7 @@ def field_object_state(m):
 @query
 def rename_map(spark, sf_dir):
     raw = positions(spark, sf_dir)
-    return raw.select(MATCH, SEQ, parsing.renamed(F.col("object_id"), F.lit("{BALL:ball}%{A1:keeper}%{B11:striker}")).alias("object_id"))
+    return raw.select(MATCH, SEQ, parsing.renamed(F.col("object_id"), parsing.rename_map(F.lit("{BALL:ball}%{A1:keeper}%{B11:striker}"))).alias("object_id"))
 
 
 @match_query
@@ -613,3 +614,44 @@ def heatmap_interval(m):
 @match_query
 def heatmap_rle(m):
     return heatmap.heatmap_rle(m.intervals, m.spans, m.p)
+
+
+# --- the same rules on streams: micro-batches over the files of the given table ------------------
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return event_columns(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+@query
+def stream_debounce(spark, sf_dir):
+    rows = live.debounce_stream(_event_stream(spark, sf_dir), USER, 6 * HOUR)
+    return run_available(rows, "debounce").select("user_id", TS, SEQ)
+
+
+@query
+def stream_deadband(spark, sf_dir):
+    rows = _event_stream(spark, sf_dir).select("user_id", TS, SEQ, "value", F.col("k").cast("double").alias("level"))
+    return run_available(live.deadband_stream(rows, USER, ["value", "level"], 30.0), "deadband")
+
+
+@query
+def stream_emit_on_change(spark, sf_dir):
+    rows = live.emit_on_change_stream(_event_stream(spark, sf_dir), USER, ORDER, "event_type")
+    return run_available(rows, "changes").select("user_id", SEQ, "event_type")
+
+
+@query
+def stream_phase_events(spark, sf_dir):
+    who = F.when(F.col("value") >= 20, F.when(F.col("k") < 50, "low").otherwise("high"))
+    rows = _event_stream(spark, sf_dir).select("user_id", TS, SEQ, who.alias("who"))
+    out = run_available(live.phase_events_stream(rows, USER, ORDER, "who"), "phases")
+    return out.select("user_id", SEQ, "identity", "phase", "event_no")
+
+
+@match_query
+def stream_heatmap_second(m):
+    rows = live.heatmap_stream(as_stream(m.states), m.p)
+    keys = [MATCH, "second", "item", "cell_x", "cell_y"]
+    return run_available(rows, "heatmap", keys=keys)

@@ -20,7 +20,7 @@ class Match:
 
     @classmethod
     def from_events(cls, spark: SparkSession, sf_dir: str, params: Params) -> "Match":
-        raw = trace.positions(spark, sf_dir)
+        raw = materialize(trace.positions(spark, sf_dir), "raw")
         return cls(raw, trace.metadata(raw), params)
 
     @cached_property

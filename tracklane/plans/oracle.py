@@ -518,5 +518,10 @@ FINALS: dict[str, str] = {
 phases("evphase", "select *, case when value >= 20 then case when k < 50 then 'low' else 'high' end end as ident from ev", "user_id", "generation_ts, seq")
 
 
+# a stream over all files gives what the table gives
+for _live in ("debounce", "deadband", "emit_on_change", "phase_events", "heatmap_second"):
+    FINALS[f"stream_{_live}"] = FINALS[_live]
+
+
 def all_sql() -> dict[str, str]:
     return {name: sql(final) for name, final in FINALS.items()}

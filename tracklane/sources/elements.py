@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, event_type, generation_ts (ms), seq, value, k."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return event_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def event_columns(events: DataFrame) -> DataFrame:
+    return events.select(
         "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("generation_ts"),
         F.col("event_id").alias("seq"), "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
