@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.operators.ordered import Last, scan
+from tracklane.operators.ordered import Last, Slots, scan
 
 TS, SEQ, MATCH = "generation_ts", "seq", "match_id"
 ORDER = [TS, SEQ]
@@ -38,12 +38,9 @@ def asof_join(
     return found.select(*left.columns, *[F.col(f"__m.{n}").alias(n) for n in values])
 
 
-def slot_specs(roster, fields: list[str], object_id: str = "object_id") -> list[Last]:
+def slot_specs(roster, fields: list[str], object_id: str = "object_id") -> list[Slots]:
     """One running latest value per roster object: all of them share a single sort."""
-    return [
-        Last(f"__s{i}", F.when(F.col(object_id) == o, F.struct(*fields)))
-        for i, (o, _) in enumerate(roster)
-    ]
+    return [Slots("__s", object_id, tuple(o for o, _ in roster), tuple(fields))]
 
 
 def slots(roster, fields: list[str]) -> Column:

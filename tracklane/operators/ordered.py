@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = "__chunk"
 
@@ -72,6 +73,20 @@ class History:
     n: int
 
 
+@dataclass(frozen=True)
+class Slots:
+    """Latest `fields` of each listed id, one column `prefix + position` per id."""
+
+    prefix: str
+    id: str
+    ids: tuple[str, ...]
+    fields: tuple[str, ...]
+
+    @property
+    def lasts(self) -> list[Last]:
+        return [Last(f"{self.prefix}{i}", F.when(F.col(self.id) == o, F.struct(*self.fields))) for i, o in enumerate(self.ids)]
+
+
 def with_chunk(df: DataFrame, time: str, width: int) -> DataFrame:
     """Add the chunk number, unless an earlier scan of the same plan already did."""
     if CHUNK in df.columns:
@@ -96,10 +111,34 @@ def _local(spec, v: Column, w, upto, before):
             return F.count(v).over(upto)
 
 
-def _summary(spec, v: Column, local: Column, rank: Column):
+def _position(order: list[str]) -> Column:
+    """The order as one number (the middle columns are single digits, the last is below 10^18): unlike a
+    struct it is a fixed-width aggregation buffer, so the summary is a hash aggregation without a sort."""
+    if len(order) == 1:
+        return F.col(order[0])
+    whole = lambda c: c.cast("decimal(38,0)")
+    scale = lambda n: whole(F.lit(str(10**n)))
+    at = whole(F.col(order[-1]))
+    for i, c in enumerate(reversed(order[:-1])):
+        at = at + whole(F.col(c)) * scale(18 + i)
+    return at
+
+
+_FIXED_WIDTH = (T.NumericType, T.BooleanType)
+
+
+def _pick(v: Column, dtype: T.DataType, at: Column) -> Column:
+    """`v` at the greatest position; structs of fixed-width fields are taken field by field."""
+    if isinstance(dtype, T.StructType) and all(isinstance(f.dataType, _FIXED_WIDTH) for f in dtype):
+        parts = F.struct(*[F.max_by(v[f.name], at).alias(f.name) for f in dtype])
+        return F.when(F.max(at).isNotNull(), parts)
+    return F.max_by(v, at)
+
+
+def _summary(spec, v: Column, local: Column, dtype: T.DataType, at: Column):
     match spec:
         case Last():
-            return F.max_by(v, F.when(v.isNotNull(), rank))
+            return _pick(v, dtype, F.when(v.isNotNull(), at))
         case Total():
             return F.sum(v)
         case High():
@@ -107,9 +146,21 @@ def _summary(spec, v: Column, local: Column, rank: Column):
         case Low():
             return F.min(v)
         case Prev():
-            return F.max_by(F.struct(v.alias("v")), rank)
+            if isinstance(dtype, T.StructType):  # a null struct must stay apart from a struct of nulls
+                there = F.max_by(v.isNotNull(), at)
+                return F.struct(F.when(there, _pick(v, dtype, at)).alias("v"))
+            return F.struct(F.max_by(v, at).alias("v"))
         case History():
-            return F.max_by(local, rank)
+            return F.max_by(local, at)
+
+
+def _slot_summary(base: DataFrame, keys: list[str], spec: Slots, names: list[str], at: Column) -> DataFrame:
+    """Last values per chunk and id first, then side by side: one update per row instead of one per slot."""
+    per_id = base.groupBy(*keys, CHUNK, spec.id).agg(*[F.max_by(f, at).alias(f"__f_{f}") for f in spec.fields])
+    value = F.struct(*[F.col(f"__f_{f}").alias(f) for f in spec.fields])
+    return per_id.groupBy(*keys, CHUNK).agg(
+        *[F.max(F.when(F.col(spec.id) == o, value)).alias(n) for o, n in zip(spec.ids, names)]
+    )
 
 
 def _carry(spec, s: Column, w):
@@ -163,10 +214,14 @@ def scan(df: DataFrame, keys: list[str], order: list[str], width: int, *specs) -
     """Add one column per spec, each running over `keys` in `order`; see the module text."""
     plain = df.columns
     df = with_chunk(df, order[0], width)
+    groups = [s for s in specs if isinstance(s, Slots)]
+    specs = [s for s in specs if not isinstance(s, Slots)]
+    single = len(specs)
+    specs += [last for g in groups for last in g.lasts]
     values = [f"__v{i}" for i in range(len(specs))]
     local = [f"__l{i}" for i in range(len(specs))]
     carried = [f"__c{i}" for i in range(len(specs))]
-    rank = F.struct(*order)
+    at = _position(order)
 
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -182,9 +237,17 @@ def scan(df: DataFrame, keys: list[str], order: list[str], width: int, *specs) -
             windowed = True
             counted = Window.partitionBy(*keys, CHUNK).orderBy(c).rangeBetween(-(s.n - 1), 0)
             rows = rows.withColumn(c, F.collect_list(v).over(counted))
-    summary = (rows if windowed else base).groupBy(*keys, CHUNK).agg(
-        *[_summary(s, F.col(v), F.col(c), rank).alias(v) for s, v, c in zip(specs, values, local)]
-    )
+    summary, used = None, single
+    if single:
+        types = [base.schema[v].dataType for v in values[:single]]
+        summary = (rows if windowed else base).groupBy(*keys, CHUNK).agg(*[
+            _summary(s, F.col(v), F.col(c), t, at).alias(v)
+            for s, v, c, t in zip(specs[:single], values, local, types)
+        ])
+    for g in groups:
+        part = _slot_summary(df, keys, g, values[used:used + len(g.ids)], at)
+        summary = part if summary is None else summary.join(part, [*keys, CHUNK])
+        used += len(g.ids)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     direct = [(s, v, c) for s, v, c in zip(specs, values, carried) if not isinstance(s, History)]
     carry = summary.select(*keys, CHUNK, *values, *[_carry(s, F.col(v), across).alias(c) for s, v, c in direct])
