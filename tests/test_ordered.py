@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklane.operators import keyed
 from tracklane.operators.asof import asof_join
-from tracklane.operators.ordered import High, History, Last, Low, Prev, Total, done, scan
+from tracklane.operators.ordered import CHUNK, High, History, Last, Low, Prev, Total, done, scan, split_hot
 from tracklane.operators.stateful import deadband, deadband_step, debounce, debounce_step
 from tracklane.streaming.keyed import phase_step
 
@@ -116,6 +116,17 @@ def test_active_key_ticks_match_loop(df, data, threshold):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("max_rows", [5, 100])
+def test_split_hot_bounds_chunks_and_keeps_results(df, data, max_rows):
+    cut = split_hot(df, ["key"], "generation_ts", 10_000, max_rows)
+    sizes = cut.groupBy("key", CHUNK).agg(F.count("*").alias("n"), F.countDistinct("generation_ts").alias("times"))
+    assert sizes.filter(f"n > {max_rows} and times > 1").count() == 0
+    a = done(scan(cut, ["key"], ORDER, 10_000, Total("t", F.col("v")), Prev("p", F.col("v"))))
+    b = done(scan(df, ["key"], ORDER, 10**9, Total("t", F.col("v")), Prev("p", F.col("v"))))
+    read = lambda d: sorted(tuple(r) for r in d.select("seq", "t", F.coalesce("p", F.lit(-1))).collect())
+    assert read(a) == read(b) and len(read(a)) == len(data)
+
+
 def test_plan_spreads_one_key(df):
     """The rows are partitioned by key and chunk, never by the key alone."""
     plan = scan(df, ["key"], ORDER, 50, Total("t", F.col("v")))._jdf.queryExecution().toString()

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.operators.ordered import Last, Slots, scan
+from tracklane.operators.ordered import Last, Slots, scan, split_hot
 
 TS, SEQ, MATCH = "generation_ts", "seq", "match_id"
 ORDER = [TS, SEQ]
@@ -23,17 +23,21 @@ def asof_join(
     time: str = TS,
     seq: str = SEQ,
     inclusive: bool = True,
+    crowded: bool = True,
 ) -> DataFrame:
     """Each left row with the `values` of the latest right row at (or strictly before) its time.
 
     One union and one scan instead of an inequality join: no pair of rows is ever built. Among right
-    rows of one time the highest `seq` counts.
+    rows of one time the highest `seq` counts. Keys of bounded rate (sensors) may switch off `crowded`,
+    the count that cuts chunks with too many rows.
     """
     other = right.select(
         *keys, time, seq, F.struct(*[v.alias(n) for n, v in values.items()]).alias("__r"),
         F.lit(0 if inclusive else 2).alias("__rank"),
     )
     both = left.withColumn("__rank", F.lit(1)).unionByName(other, allowMissingColumns=True)
+    if crowded:
+        both = split_hot(both, keys, time, width)
     found = scan(both, keys, [time, "__rank", seq], width, Last("__m", F.col("__r"))).filter("__rank = 1")
     return found.select(*left.columns, *[F.col(f"__m.{n}").alias(n) for n in values])
 

@@ -1,4 +1,7 @@
-"""Generic keyed-stream operators: state look-ups, change detection, ticks and phases."""
+"""Generic keyed-stream operators: state look-ups, change detection, ticks and phases.
+
+Their keys may have any rate, so chunks are cut finer where a key is crowded before anything is ordered.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.functions.extract import extract
-from tracklane.operators.ordered import High, History, Last, Prev, Total, done, scan
+from tracklane.operators.ordered import High, History, Last, Prev, Total, done, scan, split_hot
 from tracklane.session import materialize
 
 
 def latest_value(df, keys, order, width, value: Column, name: str, default=None) -> DataFrame:
     """Running last non-null value per key; an unset value reads as `default`."""
-    out = done(scan(df, keys, order, width, Last(name, value)))
+    out = done(scan(split_hot(df, keys, order[0], width), keys, order, width, Last(name, value)))
     return out if default is None else out.withColumn(name, F.coalesce(name, F.lit(default)))
 
 
 def running_increase(df, keys, order, width, delta: Column, name: str) -> DataFrame:
     """Running sum of deltas per key."""
-    return done(scan(df, keys, order, width, Total(name, delta)))
+    return done(scan(split_hot(df, keys, order[0], width), keys, order, width, Total(name, delta)))
 
 
 def history_n(df, keys, order, width, value: Column, n: int, name: str) -> DataFrame:
     """The last `n` values per key, newest first."""
-    return done(scan(df, keys, order, width, History(name, value, n)))
+    return done(scan(split_hot(df, keys, order[0], width), keys, order, width, History(name, value, n)))
 
 
 def store_many(df, keys, order, width, entries: list[tuple[str, str, int | None, str]], forward: bool = True) -> DataFrame:
@@ -38,13 +41,13 @@ def store_many(df, keys, order, width, entries: list[tuple[str, str, int | None,
         if found != kind:
             raise TypeError(f"entry {name}: extractor {spec} yields {found}, not {kind}")
         specs.append(History(name, value, n) if n else Last(name, value))
-    out = done(scan(df, keys, order, width, *specs))
+    out = done(scan(split_hot(df, keys, order[0], width), keys, order, width, *specs))
     return out if forward else out.select(*keys, *order, *[s.name for s in specs])
 
 
 def emit_on_change(df, keys, order, width, value: Column, *, first: bool = True) -> DataFrame:
     """Rows whose value differs from the row before; the first row of a key counts if `first`."""
-    out = scan(df, keys, order, width, Prev("__p", F.struct(value.alias("v"))))
+    out = scan(split_hot(df, keys, order[0], width), keys, order, width, Prev("__p", F.struct(value.alias("v"))))
     changed = F.col("__p").isNull() if first else F.lit(False)
     return done(out.filter(changed | (F.col("__p").isNotNull() & ~F.col("__p.v").eqNullSafe(value))))
 
@@ -95,7 +98,8 @@ def phase_events(
     before a row is the last set value, flipped once per toggle since: two running sums, no row loop.
     END rows carry the identity that ends.
     """
-    rows = scan(df.withColumn("__x", identity), keys, order, width, Prev("__px", F.col("__x")))
+    df = split_hot(df, keys, order[0], width).withColumn("__x", identity)
+    rows = scan(df, keys, order, width, Prev("__px", F.col("__x")))
     sparse = rows.filter(F.col("__x").isNotNull() | F.col("__px").isNotNull())
     toggle = F.col("__x").isNotNull() & ~F.col("__x").eqNullSafe(F.col("__px"))
     sparse = materialize(sparse.withColumn("__toggle", toggle.cast("int")), "phase-rows")
@@ -130,7 +134,7 @@ def initial_statistics(df: DataFrame, key: str, items, statistics: str, *, time:
 
 def running_high(df, keys, order, width, value: Column, name: str) -> DataFrame:
     """Running maximum per key."""
-    return done(scan(df, keys, order, width, High(name, value)))
+    return done(scan(split_hot(df, keys, order[0], width), keys, order, width, High(name, value)))
 
 
 def union_streams(*streams: DataFrame) -> DataFrame:

@@ -17,7 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracklane.session import materialize
+
 CHUNK = "__chunk"
+MAX_CHUNK_ROWS = 5_000_000
+MAX_BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -94,6 +98,29 @@ def with_chunk(df: DataFrame, time: str, width: int) -> DataFrame:
     return df.withColumn(CHUNK, F.floor(F.col(time) / F.lit(width)))
 
 
+def split_hot(df: DataFrame, keys: list[str], time: str, width: int, max_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
+    """Add chunks of `width`, cut finer wherever a key has more than `max_rows` rows in one.
+
+    Counting needs the key and time columns only. The table of crowded chunks has at most
+    rows / max_rows entries; it is broadcast up to `MAX_BROADCAST_ROWS` of them and joined plainly beyond.
+    A chunk number is the start of its time range, so finer chunks keep the order.
+    """
+    if CHUNK in df.columns:
+        return df
+    at = F.col(time)
+    out = df.withColumn(CHUNK, F.floor(at / F.lit(width)) * width).withColumn("__w", F.lit(width).cast("bigint"))
+    while True:
+        crowded = out.groupBy(*keys, CHUNK, "__w").count().filter((F.col("count") > max_rows) & (F.col("__w") > 1))
+        if crowded.isEmpty():
+            return out.drop("__w")
+        finer = F.greatest(F.lit(1), F.floor(F.col("__w") / F.ceil(F.col("count") / max_rows)))
+        crowded = materialize(crowded.select(*keys, CHUNK, finer.alias("__n")), "crowded-chunks")
+        side = F.broadcast(crowded) if crowded.count() <= MAX_BROADCAST_ROWS else crowded
+        out = out.join(side, [*keys, CHUNK], "left").withColumn(
+            CHUNK, F.col(CHUNK) + F.when(F.col("__n").isNull(), 0).otherwise(F.floor((at - F.col(CHUNK)) / F.col("__n")) * F.col("__n"))
+        ).withColumn("__w", F.coalesce("__n", "__w")).drop("__n")
+
+
 def _local(spec, v: Column, w, upto, before):
     frame = upto if getattr(spec, "inclusive", True) else before
     match spec:

@@ -33,9 +33,9 @@ def kick_event(possession: DataFrame, duels: DataFrame, pressure: DataFrame, p:
         MATCH, TS, SEQ, "player_id", "team_id", "player_x", "player_y", "player_z",
         *[F.col(c).alias(f"ball_{c}") for c in "xyz"], "num_nearer", zone(F.col("areas")).alias("zone"),
     )
-    kicks = asof_join(kicks, duels, [MATCH], {"__duel": F.col("phase")}, p.chunk_ms)
+    kicks = asof_join(kicks, duels, [MATCH], {"__duel": F.col("phase")}, p.chunk_ms, crowded=False)
     kicks = asof_join(
-        kicks, pressure.withColumn(SEQ, F.col("tick_ts")), [MATCH], {"__pressure": F.col("phase")}, p.chunk_ms
+        kicks, pressure.withColumn(SEQ, F.col("tick_ts")), [MATCH], {"__pressure": F.col("phase")}, p.chunk_ms, crowded=False
     )
     active = [F.coalesce(F.col(c) != "END", F.lit(False)) for c in ("__duel", "__pressure")]
     return done(kicks.withColumn("attacked", active[0] | active[1]))

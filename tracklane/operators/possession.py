@@ -59,7 +59,7 @@ def match_time_progress(frames: DataFrame, kickoffs: DataFrame, p: Params) -> Da
     """Whole seconds since the oldest remembered kickoff, whenever they grow."""
     oldest = scan(kickoffs, [MATCH], ORDER, p.chunk_ms, History("__h", F.col(TS), p.kickoff_history))
     oldest = done(oldest.withColumn("oldest", F.element_at("__h", -1)))
-    timed = asof_join(frames.select(MATCH, TS, SEQ), oldest, [MATCH], {"oldest": F.col("oldest")}, p.chunk_ms)
+    timed = asof_join(frames.select(MATCH, TS, SEQ), oldest, [MATCH], {"oldest": F.col("oldest")}, p.chunk_ms, crowded=False)
     timed = timed.filter(F.col("oldest").isNotNull()).withColumn(
         "time_in_s", F.floor((F.col(TS) - F.col("oldest")) / F.lit(1000))
     )
@@ -146,7 +146,7 @@ def duel_event(possession: DataFrame, p: Params) -> DataFrame:
 def possession_state(rows: DataFrame, changes: DataFrame, p: Params) -> DataFrame:
     """Each row with the holder at its time; no player means nobody has the ball."""
     held = asof_join(
-        rows, changes, [MATCH], {"holder_player": F.col("player_id"), "holder_team": F.col("team_id")}, p.chunk_ms
+        rows, changes, [MATCH], {"holder_player": F.col("player_id"), "holder_team": F.col("team_id")}, p.chunk_ms, crowded=False
     )
     return held.withColumn("someone", F.col("holder_player").isNotNull())
 

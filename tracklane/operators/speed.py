@@ -116,7 +116,7 @@ def dribbling_event(states: DataFrame, changes: DataFrame, p: Params) -> DataFra
     are left out before the sequential rule runs.
     """
     rows = players(states, p).select(MATCH, TS, SEQ, "object_id", "team_id", "x", "y", "z", "vabs")
-    held = asof_join(rows, changes, [MATCH], {"holder_player": F.col("player_id")}, p.chunk_ms)
+    held = asof_join(rows, changes, [MATCH], {"holder_player": F.col("player_id")}, p.chunk_ms, crowded=False)
     mine = F.coalesce(F.col("holder_player") == F.col("object_id"), F.lit(False))
     held = scan(held, [MATCH, "object_id"], ORDER, p.chunk_ms, Prev("__was", mine))
     sparse = held.filter(mine | F.coalesce("__was", F.lit(False))).drop("__was", "__chunk")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklane.operators.ordered import CHUNK
+from tracklane.operators.ordered import CHUNK, MAX_BROADCAST_ROWS, split_hot
 from tracklane.session import materialize
 
 Step = Callable[[pd.DataFrame, list | None], tuple[pd.DataFrame, list | None]]
@@ -42,9 +42,13 @@ def stateful_scan(
     if hot.isEmpty():
         return df.groupBy(*keys).applyInPandas(whole, schema)
 
-    chunk = F.floor(F.col(order[0]) / F.lit(width))
-    rows = df.join(hot.withColumn("__hot", F.lit(True)), keys, "left")
-    rows = materialize(rows.withColumn(CHUNK, F.when(F.col("__hot"), chunk).otherwise(0)).drop("__hot"), "stateful-rows")
+    # at most rows / max_rows keys are hot; their rows are cut finely enough for one task each
+    hot = materialize(hot, "hot-keys")
+    mark = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_ROWS else hot
+    rows = df.join(mark.withColumn("__hot", F.lit(True)), keys, "left")
+    busy = split_hot(rows.filter("__hot"), keys, order[0], width, max_rows)
+    calm = rows.filter("__hot is null").withColumn(CHUNK, F.lit(0).cast("bigint"))
+    rows = materialize(busy.unionByName(calm).drop("__hot"), "stateful-rows")
     parts = [*keys, CHUNK]
     bound_schema = T.StructType(
         [rows.schema[c] for c in parts]
