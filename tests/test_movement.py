@@ -3,7 +3,6 @@
 import math
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +229,15 @@ def test_explode_range(spark):
     df = spark.createDataFrame([(1, 0, 5000), (2, 3, 2), (3, -3, -3)], "id int, a bigint, b bigint")
     got = heatmap.explode_range(df, F.col("a"), F.col("b"), "n", block=64).groupBy("id").agg(F.count("*"), F.min("n"), F.max("n")).collect()
     assert sorted(tuple(r) for r in got) == [(1, 5001, 0, 5000), (3, 1, -3, -3)]
+
+
+def test_chunks_do_not_change_results(spark):
+    """Short chunks give what one chunk per match gives, through the whole chain of stages."""
+    from tracklane.plans.match import Match
+
+    sf = "/root/testdata/sf0.001"
+    cut, whole = (Match.from_events(spark, sf, P.with_(chunk_ms=w)) for w in (1000, 10**12))
+    for stage in ("changes", "duels", "pressure", "kicks", "set_plays"):
+        a, b = getattr(cut, stage), getattr(whole, stage)
+        cols = [c for c in a.columns if c != "pressing_index"]
+        assert a.count() == b.count() and a.select(cols).exceptAll(b.select(cols)).count() == 0

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.functions.geometry import norm3, projected_norm3
-from tracklane.operators.asof import MATCH, ORDER, SEQ, TS, snapshot_asof
+from tracklane.operators.asof import MATCH, SEQ, TS, snapshot_asof
 from tracklane.operators.keyed import active_key_ticks, phase_events
 from tracklane.params import Params
 from tracklane.session import materialize
@@ -16,9 +14,12 @@ from tracklane.session import materialize
 FIELDS = ["x", "y", "z", "vx", "vy", "vz"]
 
 
-def index(objects: Column, ball_id: str, team: Column) -> Column:
-    """Sum over the opponents of the speed at which they and the ball close in, per metre between them."""
-    ball = F.get(F.filter(objects, lambda o: o["object_id"] == ball_id), F.lit(0))
+def index(objects: Column, team: Column) -> Column:
+    """Sum over the opponents of the speed at which they and the ball close in, per metre between them.
+
+    The ball is the first of the objects.
+    """
+    ball = F.get(objects, F.lit(0))
 
     def one(o):
         to_player = tuple(o[c] - ball[c] for c in "xyz")
@@ -29,11 +30,12 @@ def index(objects: Column, ball_id: str, team: Column) -> Column:
         gap = norm3(*to_player)
         return F.when(gap > 0, F.greatest(F.lit(0.0), closing / gap)).otherwise(0.0)
 
-    opponents = F.filter(objects, lambda o: (o["object_id"] != ball_id) & (o["team_id"] != team))
+    opponents = F.filter(F.slice(objects, F.lit(2), F.size(objects)), lambda o: o["team_id"] != team)
     return F.when(team.isNull(), 0.0).otherwise(F.aggregate(opponents, F.lit(0.0), lambda acc, o: acc + one(o)))
 
 
 def everybody(p: Params) -> tuple[tuple[str, str], ...]:
+    """The ball, then the players."""
     return ((p.ball, p.ball),) + p.roster
 
 
@@ -48,7 +50,7 @@ def pressing_index(states: DataFrame, changes: DataFrame, p: Params) -> DataFram
         trigger=F.col("object_id") == p.ball, others=_holder(changes),
     )
     return snap.select(
-        MATCH, TS, SEQ, "holder.player_id", index(F.col("objects"), p.ball, F.col("holder.team_id")).alias("pressing_index")
+        MATCH, TS, SEQ, "holder.player_id", index(F.col("objects"), F.col("holder.team_id")).alias("pressing_index")
     )
 
 
@@ -62,7 +64,7 @@ def pressing_state(states: DataFrame, changes: DataFrame, p: Params) -> DataFram
     )
     return snap.select(
         MATCH, F.col(TS).alias("tick_ts"), F.col("max_generation_ts").alias(TS), "holder.player_id",
-        index(F.col("objects"), p.ball, F.col("holder.team_id")).alias("pressing_index"),
+        index(F.col("objects"), F.col("holder.team_id")).alias("pressing_index"),
     )
 
 

@@ -26,20 +26,20 @@ def hull_surface(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([], dtype="float64")
     x, y = np.stack(xs.to_numpy()), np.stack(ys.to_numpy())
     n = x.shape[1]
+    # copies of one point would give the same edge more than once: only the first of them counts
+    first = np.stack([~((x[:, :a] == x[:, [a]]) & (y[:, :a] == y[:, [a]])).any(axis=1) for a in range(n)], axis=1)
     area = np.zeros(len(x))
     for a in range(n):
+        rx, ry = x - x[:, [a]], y - y[:, [a]]
         for b in range(n):
-            dx, dy = x[:, b] - x[:, a], y[:, b] - y[:, a]
-            rx, ry = x - x[:, [a]], y - y[:, [a]]
-            cross = dx[:, None] * ry - dy[:, None] * rx
-            along = dx[:, None] * rx + dy[:, None] * ry
-            between = (along >= 0) & (along <= (dx * dx + dy * dy)[:, None])
-            edge = ((cross > 0) | ((cross == 0) & between)).all(axis=1) & ((dx != 0) | (dy != 0))
-            # copies of one point would give the same edge more than once: only their first counts
-            same_a = ((x[:, :a] == x[:, [a]]) & (y[:, :a] == y[:, [a]])).any(axis=1)
-            same_b = ((x[:, :b] == x[:, [b]]) & (y[:, :b] == y[:, [b]])).any(axis=1)
-            edge &= ~same_a & ~same_b
-            area += np.where(edge, (x[:, a] * y[:, b] - x[:, b] * y[:, a]) / 2, 0.0)
+            dx, dy = rx[:, [b]], ry[:, [b]]
+            left = (dx * ry - dy * rx >= 0).all(axis=1) & first[:, a] & first[:, b] & ((dx != 0) | (dy != 0))[:, 0]
+            rows = np.flatnonzero(left)  # few pairs get here: only they are checked for points on their line
+            px, py, ex, ey = rx[rows], ry[rows], dx[rows], dy[rows]
+            along = ex * px + ey * py
+            on_line = ex * py - ey * px == 0
+            edge = rows[(~on_line | ((along >= 0) & (along <= ex * ex + ey * ey))).all(axis=1)]
+            area[edge] += (x[edge, a] * y[edge, b] - x[edge, b] * y[edge, a]) / 2
     return pd.Series(area)
 
 

@@ -17,7 +17,7 @@ from tracklane.operators import (
 )
 from tracklane.operators.asof import MATCH, ORDER, SEQ, TS, asof_join
 from tracklane.operators.stateful import deadband, debounce
-from tracklane.params import AREAS_TEXT, ROSTER_TEXT, Params
+from tracklane.params import ROSTER_TEXT, Params
 from tracklane.plans.match import Match
 from tracklane.session import work_dir
 from tracklane.sources import streams

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import re
 
-from tracklane.params import AREAS_TEXT, CORNERS, OUTSIDE_AREAS, Params
-from tracklane.plans.catalog import DAY, HOUR, PARAMS
+from tracklane.params import AREAS_TEXT, OUTSIDE_AREAS, Params
+from tracklane.plans.catalog import HOUR, PARAMS
 
 P: Params = PARAMS
 PARTS: dict[str, str] = {}
