@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklane.llm import token_files
+
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklane.llm.packing import pack
 
@@ -22,6 +28,6 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_best_fit_packing,)
+    f.__name__: f for f in (op1_rans_token_files, op7_best_fit_packing)
 }
 SQL: dict[str, str] = {}
