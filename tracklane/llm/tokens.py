@@ -8,13 +8,17 @@ text's ids are its chunks' ids in a row. Texts with other white space around a s
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-MAX_CHUNKS = 500_000
-MAX_WORDS = 700_000
+MAX_CHUNKS = 1_000_000
+MAX_WORDS = 1_000_000
 JOINED = 50
 MARKS = ".,;:!?"
+#: Letters, then the rest of a line. Outside UNSURE characters `[^\W\d_]` is what the tokenizer takes for a letter.
+WORD_LINE = re.compile(r"^([^\W\d_]*)(.*)$", re.M)
+UNSURE = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]")
 #: White space to Python's str methods, but not to the tokenizer.
 ODD = "\x1c\x1d\x1e\x1f"
 
@@ -63,22 +67,19 @@ class Encoder:
         return [out[c] for c in parts]
 
     def _learn(self, kept: dict[str, bytes], new: list[str], before: str) -> None:
-        """Encode new chunks: plain words once without the marks after them, others as they stand."""
-        plain, words, other = [], set(), []
-        for c in new:
-            w = c.rstrip(MARKS)
-            if w.isalpha() and max(w) < "\u0250":
-                plain.append((c, before + w))
-                words.add(before + w)
-            else:
-                other.append(c)
-        todo = [w for w in words if w not in self.words]
-        self.words.update(zip(todo, self._join(todo)))
-        for c, w in plain:
-            tail = c[len(w) - len(before):]
-            if tail not in self.tails:
-                self.tails[tail] = self.whole([tail])[0]
-            kept[c] = self.words[w] + self.tails[tail]
+        """Encode new chunks: a word with only marks behind it by its parts, others as they stand."""
+        lines = [c for c in new if "\n" not in c]
+        text = "\n".join(lines)
+        if lines and not UNSURE.search(text):
+            parts = WORD_LINE.findall(text)
+            words = [before + w for w, _ in parts]
+            todo = list({w for w in words if w not in self.words})
+            self.words.update(zip(todo, self._join(todo)))
+            ends = {r for _, r in parts if r not in self.tails and not r.strip(MARKS)}
+            self.tails.update(zip(ends, self.whole(list(ends))))
+            kept.update((c, self.words[w] + self.tails[p[1]]) for c, w, p in zip(lines, words, parts)
+                        if p[0] and p[1] in self.tails)
+        other = [c for c in new if c not in kept]
         kept.update(zip(other, self._join([before + c for c in other])))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
