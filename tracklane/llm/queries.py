@@ -21,6 +21,12 @@ def op1_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklane.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklane.llm.simhash import near_duplicates
 
@@ -34,6 +40,6 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rans_token_files, op4_simhash_variants, op7_best_fit_packing)
+    f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op4_simhash_variants, op7_best_fit_packing)
 }
 SQL: dict[str, str] = {}
