@@ -33,6 +33,12 @@ def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklane.llm import warc
+
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklane.llm.packing import pack
 
@@ -40,6 +46,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op4_simhash_variants, op7_best_fit_packing)
+    f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op4_simhash_variants, op5_warc, op7_best_fit_packing)
+}
+SQL: dict[str, str] = {
+    "op5_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        d as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p),
+        f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from d)
+        select page_id, payload_bytes, payload_digest,
+            case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+            case when first <> page_id then first end as refers_to
+        from f""",
 }
-SQL: dict[str, str] = {}
