@@ -39,6 +39,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
 
 
+def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklane.llm.secret_scan import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklane.llm.packing import pack
 
@@ -46,7 +52,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op4_simhash_variants, op5_warc, op7_best_fit_packing)
+    f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op4_simhash_variants, op5_warc, op6_markov_secrets, op7_best_fit_packing)
 }
 SQL: dict[str, str] = {
     "op5_warc": """
