@@ -27,6 +27,12 @@ def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklane.llm.style_tree import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklane.llm.simhash import near_duplicates
 
@@ -52,7 +58,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op4_simhash_variants, op5_warc, op6_markov_secrets, op7_best_fit_packing)
+    f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op3_style_tree, op4_simhash_variants, op5_warc, op6_markov_secrets, op7_best_fit_packing)
 }
 SQL: dict[str, str] = {
     "op5_warc": """
