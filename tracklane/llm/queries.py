@@ -63,8 +63,15 @@ def op8_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op10_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklane.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op3_style_tree, op4_simhash_variants, op5_warc, op6_markov_secrets, op7_best_fit_packing, op8_pretoken_counts)
+    f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op3_style_tree, op4_simhash_variants, op5_warc, op6_markov_secrets, op7_best_fit_packing, op8_pretoken_counts,
+        op10_rare_seed_alignment)
 }
 SQL: dict[str, str] = {
     "op5_warc": """
