@@ -65,8 +65,8 @@ def all_of(tests: list[Column]) -> Column:
     return out
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every row of `docs` (doc_id, text); a null text has no words.
+def statistics(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the `carried` columns and the counts of every row of `docs` (doc_id, text); a null text has no words.
 
     n_repeat_words: three-word windows are hashed; (hash, position) pairs are sorted as one number each, so that equal
     windows lie side by side, and the positions of those found more than once are put in order to count the words they
@@ -74,13 +74,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     text has more positions than fit, full hashes are sorted instead.
     """
     low = (1 << POSITION_BITS) - 1
-    words = docs.select("doc_id", text_of("text").alias("text")).withColumn("w", words_of(F.col("text")))
+    words = docs.select("doc_id", *carried, text_of("text").alias("text")).withColumn("w", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = words.select(
-        "doc_id", "w", F.size("w").alias("n"), F.length(F.array_join("w", "")).alias("word_chars"),
+        "doc_id", *carried, "w", F.size("w").alias("n"), F.length(F.array_join("w", "")).alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).alias("n_symbols"), lines.alias("lines"))
     hashed = counted.select(
-        "doc_id", F.col("n").cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"),
+        "doc_id", *carried, F.col("n").cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("n") < 3, F.array().cast("array<bigint>")).otherwise(
@@ -105,7 +105,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     placed = slow.withColumn("p", F.sort_array(F.when(F.col("unsure"), exact).otherwise(quick)))
     covered = F.aggregate("p", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("sum")), lambda a, x: F.struct(
         x.alias("last"), (a["sum"] + F.least(F.lit(3), x - a["last"])).alias("sum")), lambda a: a["sum"])
-    return placed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    return placed.select("doc_id", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -205,3 +205,13 @@ def judge(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 def describe(rules: list[Rule]) -> list[str]:
     return [" and ".join(f"{c.feature} {'>' if c.above else '<='} {c.value:g}" for c in r) for r in rules]
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """`docs` without the rows that `judge` rejects; its columns may be any, so statistics are joined to none of them."""
+    rules = learn(materialize(statistics(docs), "quality"), labels.select("doc_id", "quality"), settings)
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    held = docs.select(F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items())).alias("_row"), "doc_id", "text")
+    # a generated row keeps the filter above the statistics; pushed down, it would compute them again for each use
+    fixed = statistics(held, "_row").select(F.explode(F.array(F.struct("*"))).alias("x")).select("x.*")
+    return with_features(fixed).where(~base_failed() & verdict(rules)).select(*(F.col(f"_row.{n}").alias(c) for c, n in names.items()))

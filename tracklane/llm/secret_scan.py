@@ -16,9 +16,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklane.llm.common import batches, materialize, text_of
 
@@ -179,3 +181,30 @@ def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     return scanned.where("base is not null").select("doc_id", "base", "near").mapInArrow(
         run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, n_markov long, spans string")
+
+
+def redact(docs: DataFrame, settings: Settings = Settings(), mark: str = "[secret]") -> DataFrame:
+    """`docs` with every span of `find` replaced by `mark`; overlapping spans are one. Null texts and other columns stay;
+    a column n_chars follows the new text."""
+    model = fit(scan(docs), settings)
+
+    def without(text: str | None) -> str | None:
+        if not text:
+            return text
+        data = text.encode("utf-8", "surrogatepass")
+        base = base_spans(text, data)
+        spans = [(s, e) for _, s, e, _ in base]
+        spans += [(s, e) for s, e, t in candidates(text, data, base) if model.score(t) >= settings.min_score]
+        out, at = [], 0
+        for s, e in sorted(spans):
+            if s >= at:
+                out += [text[at:s], mark]
+            at = max(at, e)
+        return "".join([*out, text[at:]]) if spans else text
+
+    @F.pandas_udf(T.StringType())
+    def redacted(texts: pd.Series) -> pd.Series:
+        return pd.Series([without(t) for t in texts], dtype=object)
+
+    out = docs.withColumn("text", redacted("text"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
