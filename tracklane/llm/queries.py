@@ -63,6 +63,12 @@ def op8_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklane.llm.repeats import remove
+
+    return remove(table(spark, sf_dir, "documents"))
+
+
 def op10_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklane.llm.decontaminate import contaminated
 
@@ -70,7 +76,7 @@ def op10_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op3_style_tree, op4_simhash_variants, op5_warc, op6_markov_secrets, op7_best_fit_packing, op8_pretoken_counts,
+    f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op3_style_tree, op4_simhash_variants, op5_warc, op6_markov_secrets, op7_best_fit_packing, op8_pretoken_counts, op9_repeated_strings,
         op10_rare_seed_alignment)
 }
 SQL: dict[str, str] = {
