@@ -13,10 +13,10 @@ from typing import NamedTuple
 import numpy as np
 
 SCALE = 20
-LANES = 128
-STEPS = 1024
+LANES = 512
+STEPS = 512
 SPAN = LANES * STEPS
-BLOCK = 8 * SPAN
+BLOCK = 4 * SPAN
 LOW = np.uint64(1 << 31)
 U64 = np.uint64
 
@@ -42,7 +42,9 @@ class Block(NamedTuple):
 
 def make_table(ids: np.ndarray) -> Table:
     """Frequencies in proportion to counts, at least 1 each; the rounding error goes to the most frequent symbols."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     if not len(symbols):
         return Table(symbols.astype(np.uint32), counts.astype(np.int64))
     if len(symbols) > 1 << (SCALE - 1):
@@ -64,7 +66,9 @@ def make_table(ids: np.ndarray) -> Table:
 
 def encode(ids: np.ndarray, table: Table) -> list[Block]:
     """Blocks of BLOCK ids; full blocks are encoded side by side."""
-    numbers = np.searchsorted(table.symbols, ids)
+    number = np.zeros(int(table.symbols[-1]) + 1 if len(table.symbols) else 0, np.uint32)
+    number[table.symbols] = np.arange(len(table.symbols))
+    numbers = number[ids]
     full = len(ids) // BLOCK
     out = _encode_equal(numbers[:full * BLOCK].reshape(full, BLOCK), table) if full else []
     if len(ids) % BLOCK:
