@@ -107,7 +107,7 @@ def decode(blocks: list[Block], table: Table) -> list[np.ndarray]:
     """The ids of each block; spans of equal length of all blocks are decoded side by side."""
     freq, start, by_slot = table.lookup()
     words = np.concatenate([b.words for b in blocks]) if blocks else np.empty(0, np.uint32)
-    words = np.append(words, np.zeros(1, np.uint32)).astype(U64)
+    words = words.astype(U64)
     base = np.cumsum([0, *(len(b.words) for b in blocks)])
     out = [np.empty(b.n, np.uint32) for b in blocks]
     spans: dict[int, list[tuple[int, int]]] = {}
@@ -136,6 +136,7 @@ def _decode_equal(n, x, pos, words, freq, start, by_slot) -> np.ndarray:
         y = freq[s] * (y >> scale) + slot - start[s]
         need = y < LOW
         at = pos[:, None] + np.cumsum(need, 1) - 1
-        x[:, :wide] = np.where(need, (y << word) | words[np.where(need, at, -1)], y)
+        y[need] = (y[need] << word) | words[at[need]]
+        x[:, :wide] = y
         pos = pos + need.sum(1)
     return got

@@ -14,7 +14,7 @@ import numpy as np
 
 MAX_CHUNKS = 1_000_000
 MAX_WORDS = 1_000_000
-JOINED = 50
+JOINED = 16
 MARKS = ".,;:!?"
 #: Letters, then the rest of a line. Outside UNSURE characters `[^\W\d_]` is what the tokenizer takes for a letter.
 WORD_LINE = re.compile(r"^([^\W\d_]*)(.*)$", re.M)
@@ -89,27 +89,34 @@ class Encoder:
             self.tails.clear()
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        cut: list[list[str] | None] = []
-        heads, rest = set(), set()
-        for t in texts:
-            c = t.split(" ")
-            cut.append(c)
-            heads.add(c[0])
-            rest.update(c[1:])
-        new_heads = [c for c in heads - self.heads.keys() if self._regular(c)]
-        new = [c for c in rest - self.rest.keys() if self._regular(c)]
-        self._learn(self.heads, new_heads, "")
-        self._learn(self.rest, new, " ")
-        get, out, odd = self.rest.__getitem__, [], []
-        for i, c in enumerate(cut):
-            try:
-                out.append(self.heads[c[0]] + b"".join(map(get, c[1:])))
-            except KeyError:
-                out.append(b"")
+        held, missing, new_heads, new = [], [], set(), set()
+        head, rest = self.heads.get, self.rest.get
+        for i, t in enumerate(texts):
+            first, *chunks = t.split(" ")
+            found = list(map(rest, chunks))
+            found.append(head(first))
+            held.append(found)
+            if None in found:
+                places = [k for k, ids in enumerate(found) if ids is None]
+                missing.append((i, first, chunks, places))
+                if found[-1] is None:
+                    new_heads.add(first)
+                    places.pop()
+                new.update([chunks[k] for k in places])
+        self._learn(self.heads, [c for c in new_heads if self._regular(c)], "")
+        self._learn(self.rest, [c for c in new if self._regular(c)], " ")
+        odd = []
+        for i, first, chunks, places in missing:
+            found = held[i]
+            for k in places:
+                found[k] = rest(chunks[k])
+            if found[-1] is None:
+                found[-1] = head(first)
+            if None in found:
                 odd.append(i)
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = ids
-        return [np.frombuffer(b, self.dtype) for b in out]
+            held[i] = [ids]
+        return [np.frombuffer(f[-1] + b"".join(f[:-1]), self.dtype) for f in held]
 
     @staticmethod
     def _regular(c: str) -> bool:
