@@ -105,7 +105,9 @@ def statistics(docs: DataFrame, *carried: str) -> DataFrame:
     placed = slow.withColumn("p", F.sort_array(F.when(F.col("unsure"), exact).otherwise(quick)))
     covered = F.aggregate("p", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("sum")), lambda a, x: F.struct(
         x.alias("last"), (a["sum"] + F.least(F.lit(3), x - a["last"])).alias("sum")), lambda a: a["sum"])
-    return placed.select("doc_id", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    out = placed.select("doc_id", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    # a generated row keeps later filters above the statistics; pushed down, they would compute them again for each use
+    return out.select(F.explode(F.array(F.struct("*"))).alias("x")).select("x.*")
 
 
 def base_failed() -> Column:
@@ -212,6 +214,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(
     rules = learn(materialize(statistics(docs), "quality"), labels.select("doc_id", "quality"), settings)
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     held = docs.select(F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items())).alias("_row"), "doc_id", "text")
-    # a generated row keeps the filter above the statistics; pushed down, it would compute them again for each use
-    fixed = statistics(held, "_row").select(F.explode(F.array(F.struct("*"))).alias("x")).select("x.*")
-    return with_features(fixed).where(~base_failed() & verdict(rules)).select(*(F.col(f"_row.{n}").alias(c) for c, n in names.items()))
+    return with_features(statistics(held, "_row")).where(~base_failed() & verdict(rules)).select(*(F.col(f"_row.{n}").alias(c) for c, n in names.items()))

@@ -2,7 +2,8 @@
 
 Two first-order character models are compared by the logarithm of their likelihood ratio per character. Both are
 trained on labelled strings: random ones are the values that the fixed patterns find, plus strings drawn uniformly from
-the alphabets of common keys; ordinary ones are all words and identifiers of all texts outside those values. The
+the alphabets of common keys; ordinary ones are all words and identifiers of all texts that are neither such values
+nor candidates themselves. The
 corpus is read once: tasks return spans, candidate tokens and their transition counts, and what is scored afterwards are
 the few candidates.
 """
@@ -83,11 +84,13 @@ def drawn_strings(settings: Settings) -> list[str]:
     return ["".join(rng.choice(list(a), 40)) for a in alphabets for _ in range(settings.drawn)]
 
 
-def train(random: np.ndarray, ordinary: np.ndarray) -> Model:
-    """From transition counts of labelled strings; each cell counts one more than seen."""
+def train(random: np.ndarray, ordinary: np.ndarray, weight: float = 16.0) -> Model:
+    """From transition counts of labelled strings. Shares of a character's successors are mixed with `weight` counts of
+    the shares that characters have anywhere, where each counts one more than seen."""
     def log_share(counts: np.ndarray) -> np.ndarray:
-        c = counts.reshape(SIDE, SIDE).astype(float) + 1
-        return np.log(c / c.sum(1, keepdims=True)).ravel()
+        c = counts.reshape(SIDE, SIDE).astype(float)
+        anywhere = c.sum(0) + 1
+        return np.log((c + weight * anywhere / anywhere.sum()) / (c.sum(1, keepdims=True) + weight)).ravel()
 
     return Model(log_share(random) - log_share(ordinary))
 
@@ -127,11 +130,11 @@ def scan(docs: DataFrame) -> DataFrame:
                     base = base_spans(text, data)
                     near = candidates(text, data, base)
                     rest = data
-                    if base:
+                    if base or near:
                         secrets = " ".join(text[at:end] for _, _, end, at in base)
                         random += transitions(secrets.encode("utf-8", "surrogatepass"))
                         cut, at = [], 0
-                        for _, start, end, _ in base:
+                        for start, end in sorted([(s, e) for _, s, e, _ in base] + [(s, e) for s, e, _ in near]):
                             cut.append(text[at:max(at, start)])
                             at = max(at, end)
                         rest = " ".join([*cut, text[at:]]).encode("utf-8", "surrogatepass")

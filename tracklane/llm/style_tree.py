@@ -4,8 +4,8 @@ Pages of a host are merged into one tree: a node is a chain of element labels (t
 under it lie the sequences of children (presentation) and the texts, links and images (content) that pages have there. A
 node whose pages all look and read alike is template; one whose pages differ is content. Presentation importance is the
 entropy of the child sequences over the pages that have the node, content importance one less the mean entropy of its
-features over pages; logarithms are to the base of the number of pages. The importance of a branch is the
-mean of its nodes, weighted by pages and halved with each level down. Branches below a threshold are removed from pages.
+features over pages; logarithms are to the base of the number of pages. The importance of a branch is that of its
+best node, a tenth less with each level down. Branches below a threshold are removed from pages.
 
 Some labels say what they are: navigation, adverts, forms and the like have no importance, articles have all of it. They
 hold for a branch up to the next such label inside it; entropy decides on everything else. Nodes that few distinct pages
@@ -185,10 +185,9 @@ def importance(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
         F.greatest(look, 1 - F.least(F.lit(1.0), F.col("text_entropy") / F.log(m))))
     scored = nodes.select("host", "path", m.alias("pages"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), own)).alias("own"), F.split("path", SEP).alias("parts"))
     up = scored.select("host", "own", "pages", F.size("parts").alias("depth"), "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("d"))
-    weight = F.col("pages") * F.pow(F.lit(0.5), F.col("depth") - F.col("d"))
+    down = F.pow(F.lit(0.9), F.col("depth") - F.col("d"))
     return (up.withColumn("path", F.array_join(F.slice("parts", F.lit(1), F.col("d")), SEP)).groupBy("host", "path")
-            .agg((F.sum(weight * F.col("own")) / F.sum(weight)).alias("importance"),
-                 F.max(F.when(F.col("d") == F.col("depth"), F.col("pages"))).alias("pages")))
+            .agg(F.max(down * F.col("own")).alias("importance"), F.max(F.when(F.col("d") == F.col("depth"), F.col("pages"))).alias("pages")))
 
 
 def host_of(url: str = "url"):
