@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-MAX_CHUNKS = 1_000_000
-MAX_WORDS = 1_000_000
+MAX_CHUNKS = 700_000
+MAX_WORDS = 800_000
 JOINED = 16
 MARKS = ".,;:!?"
 #: Letters, then the rest of a line. Outside UNSURE characters `[^\W\d_]` is what the tokenizer takes for a letter.
