@@ -1,16 +1,18 @@
 """Token counts without ids: each distinct pre-token is counted once and joined to the frequencies of documents.
 
-Texts are read once, in blocks of about BLOCK_BYTES. A task inverts its block: one row per distinct pre-token, with the
-documents of the block that hold it and how often. These rows meet the counts of the distinct pre-tokens in a plain join,
-which adaptive execution can split where a pre-token occurs in very many blocks, and return to their block, where
-counts times frequencies are summed per document. What is shuffled is a row per pre-token and block, never one per
-occurrence, and a group is one block at most.
+Texts are read once, in blocks of about BLOCK_BYTES. A task inverts its block: a row per distinct pre-token with a number
+in the block, and one row with the block's frequencies, which document holds which number how often, packed. The
+pre-tokens of all blocks are brought together by equality; a sorted run of equal ones is counted once and every
+block gets the count under its own number. Counts and frequencies meet again by block and are summed per document. What
+is shuffled is a row per pre-token and block, never one per occurrence, and a group is one block at most.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,17 +21,17 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tracklane.llm.common import materialize, text_of
+from tracklane.llm.common import materialize, partitions, text_of
 
 BLOCK_BYTES = 8 << 20
+BLOCK_DOCS = 65_000  # a document's place in its block takes two bytes
 LIMIT = 2048
 MAX_CHUNKS = 400_000
 
-INVERTED = pa.schema([("block", pa.int64()), ("piece", pa.string()), ("docs", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())),
-                      ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
-INVERTED_DDL = "block long, piece string, docs array<int>, counts array<int>, doc_ids array<long>, n_bytes array<long>"
+INVERTED = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("piece", pa.string()), ("doc_ids", pa.list_(pa.int64())),
+                      ("n_bytes", pa.list_(pa.int64())), ("packed", pa.binary())])
+INVERTED_DDL = "block long, no int, piece string, doc_ids array<long>, n_bytes array<long>, packed binary"
 COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 COUNTED_DDL = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -112,19 +114,31 @@ def _invert(block: int, doc_ids: list, texts: list[str], pieces: Pieces) -> Iter
     first = np.flatnonzero(np.diff(key, prepend=-1))
     total = np.add.reduceat(total, first) if len(first) else total
     piece, doc = np.divmod(key[first], max(1, len(texts)))
-    offsets = pa.array(np.searchsorted(piece, np.arange(len(piece_no) + 1)).astype(np.int32))
     rows = len(piece_no)
-    inverted = pa.RecordBatch.from_arrays([
-        pa.array(np.full(rows, block)), pa.array(list(piece_no), pa.string()), pa.ListArray.from_arrays(offsets, pa.array(doc.astype(np.int32))),
-        pa.ListArray.from_arrays(offsets, pa.array(total.astype(np.int32))), pa.nulls(rows, INVERTED.field(4).type), pa.nulls(rows, INVERTED.field(5).type),
-    ], schema=INVERTED)
+    numbered = pa.RecordBatch.from_arrays([
+        pa.array(np.full(rows, block)), pa.array(np.arange(rows, dtype=np.int32)), pa.array(list(piece_no), pa.string()),
+        *(pa.nulls(rows, f.type) for f in list(INVERTED)[3:])], schema=INVERTED)
     for i in range(0, rows, 10_000):
-        yield inverted.slice(i, 10_000)
-    yield pa.RecordBatch.from_pylist([{"block": block, "doc_ids": doc_ids, "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts]}], schema=INVERTED)
+        yield numbered.slice(i, 10_000)
+    sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+    yield pa.RecordBatch.from_pylist([{"block": block, "doc_ids": doc_ids, "n_bytes": sizes, "packed": _pack(
+        np.bincount(piece, minlength=rows), doc, total)}], schema=INVERTED)
+
+
+def _pack(sizes: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> bytes:
+    """Documents per pre-token number, then the documents and their counts in the order of numbers."""
+    parts = [zlib.compress(x.astype(t).tobytes(), 1) for x, t in ((sizes, "<u4"), (docs, "<u2"), (counts, "<u4"))]
+    return struct.pack("<QQ", len(parts[0]), len(parts[1])) + b"".join(parts)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b = struct.unpack("<QQ", data[:16])
+    parts = data[16:16 + a], data[16 + a:16 + a + b], data[16 + a + b:]
+    return tuple(np.frombuffer(zlib.decompress(x), t).astype(np.int64) for x, t in zip(parts, ("<u4", "<u2", "<u4")))
 
 
 def inverted(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A stored table: per block a row for each pre-token (docs: positions in the block, counts), and one with its doc_ids."""
+    """A stored table: per block a row for each pre-token with its number, and one with its documents and frequencies."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, block = Pieces.of(tokenizer), TaskContext.get().partitionId() << 32
@@ -134,7 +148,7 @@ def inverted(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) ->
                 doc_ids.append(doc)
                 texts.append(text)
                 size += len(text) + 64
-                if size >= block_bytes:
+                if size >= block_bytes or len(texts) >= BLOCK_DOCS:
                     yield from _invert(block, doc_ids, texts, pieces)
                     block, doc_ids, texts, size = block + 1, [], [], 0
         if texts:
@@ -143,15 +157,22 @@ def inverted(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) ->
     return materialize(docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, INVERTED_DDL), "pre-tokens")
 
 
-def piece_counts(pieces: DataFrame, tokenizer: str) -> DataFrame:
-    """(piece, k): the tokens of each distinct piece."""
+def piece_counts(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """(block, no, k) for `rows` (block, no, piece): the tokens of each distinct piece, counted once, for every block that has it."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces.of(tokenizer)
-        for batch in rows:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(own.count(batch.column(0).to_pylist()))], ["piece", "k"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, its = Pieces.of(tokenizer), None, 0
+        for b in batches:
+            runs = pa.compute.run_end_encode(b.column("piece").cast(pa.string()))
+            pieces = runs.values.to_pylist()
+            new = pieces[1:] if pieces[0] == last else pieces
+            k = np.concatenate([[its] if len(new) < len(pieces) else [], own.count(new) if new else []]).astype(np.int32)
+            last, its = pieces[-1], int(k[-1])
+            k = np.repeat(k, np.diff(runs.run_ends.to_numpy(), prepend=0))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("no"), pa.array(k)], ["block", "no", "k"])
 
-    return pieces.select("piece").distinct().mapInArrow(run, "piece string, k int")
+    met = rows.select("block", "no", "piece").repartition(partitions(rows.sparkSession), "piece").sortWithinPartitions("piece")
+    return met.mapInArrow(run, "block long, no int, k int")
 
 
 def count(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
@@ -162,26 +183,22 @@ def count(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     columns are ignored.
     """
     rows = inverted(docs, tokenizer)
-    found = rows.where("piece is not null")
-    counted = found.select("block", "piece", "docs", "counts").join(piece_counts(found, tokenizer), "piece")
-    whole = counted.select("block", "docs", "counts", "k", F.lit(None).cast("array<bigint>").alias("doc_ids"), F.lit(None).cast("array<bigint>").alias("n_bytes")).unionByName(
-        rows.where("piece is null").select("block", "docs", "counts", F.lit(None).cast("int").alias("k"), "doc_ids", "n_bytes"))
+    counted = piece_counts(rows.where("piece is not null"), tokenizer)
+    whole = rows.where("piece is null").select("block", "doc_ids", "n_bytes", "packed")
+    both = counted.unionByName(whole, allowMissingColumns=True)
 
     def total(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, ids, sizes = np.zeros(0, np.int64), [], []
+        numbers, counts, ids, sizes, packed = [], [], [], [], b""
         for b in group:
-            t = pa.Table.from_batches([b])
-            known = t.filter(pa.compute.is_valid(t["k"])).combine_chunks()
-            if len(known):
-                docs_, counts = (known[c].combine_chunks() for c in ("docs", "counts"))
-                k = np.repeat(known["k"].to_numpy(), pa.compute.list_value_length(docs_).to_numpy())
-                part = np.bincount(docs_.flatten().to_numpy(), k * counts.flatten().to_numpy()).astype(np.int64)
-                if len(part) > len(sums):
-                    sums = np.concatenate([sums, np.zeros(len(part) - len(sums), np.int64)])
-                sums[:len(part)] += part
-            for x in t.filter(pa.compute.is_null(t["k"])).to_pylist():
-                ids, sizes = x["doc_ids"], x["n_bytes"]
-        sums = np.concatenate([sums, np.zeros(len(ids) - len(sums), np.int64)])
+            known = b.filter(pa.compute.is_valid(b.column("k")))
+            numbers.append(known.column("no").to_numpy(zero_copy_only=False))
+            counts.append(known.column("k").to_numpy(zero_copy_only=False))
+            for x in b.filter(pa.compute.is_null(b.column("k"))).to_pylist():
+                ids, sizes, packed = x["doc_ids"], x["n_bytes"], x["packed"]
+        k = np.zeros(sum(map(len, numbers)), np.int64)
+        k[np.concatenate(numbers)] = np.concatenate(counts)
+        many, docs_, n = _unpack(packed)
+        sums = np.bincount(docs_, np.repeat(k, many) * n, len(ids)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums), pa.array(sums > limit)], schema=COUNTED)
 
-    return whole.groupBy("block").applyInArrow(total, COUNTED_DDL)
+    return both.groupBy("block").applyInArrow(total, COUNTED_DDL)
