@@ -1,5 +1,7 @@
 """Every query against its SQL at the smallest scale."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -12,7 +14,8 @@ SQL = entry.oracle_sql()
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    c.execute(f"create view events as select * from '{SF}/events.parquet'")
+    for f in Path(SF).glob("*.parquet"):
+        c.execute(f"create view {f.stem} as select * from '{f}'")
     return c
 
 

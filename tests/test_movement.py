@@ -30,6 +30,29 @@ def test_field_object_state_scales_renames_and_mirrors(spark):
     assert out[0]["areas"] == ["field", "centerThird"]
 
 
+def test_metadata_as_of_the_time_of_a_reading(spark):
+    raw = spark.createDataFrame(
+        [("m", t, i, "BALL", "BALL", 2.0, 1.0, 0.0) for i, t in enumerate((0, 100, 200, 300))] + [("other", 0, 0, "BALL", "BALL", 2.0, 1.0, 0.0)],
+        "match_id string, generation_ts bigint, seq bigint, object_id string, team_id string, x double, y double, z double",
+    )
+    meta = spark.createDataFrame(
+        [("m", 0, 0, 105.0, 68.0, False, False, "", "", AREAS_TEXT), ("m", 200, 1, 105.0, 68.0, True, False, "", "", AREAS_TEXT)],
+        "match_id string, generation_ts bigint, seq bigint, field_length double, field_width double, mirrored_x boolean, mirrored_y boolean, "
+        "object_rename_map string, team_rename_map string, areas string",
+    )
+    out = prepare.field_object_state(raw, meta, P.with_(chunk_ms=150)).orderBy("match_id", "seq").collect()
+    assert [r["x"] for r in out] == [2.0, 2.0, -2.0, -2.0, 2.0]
+    doubled = prepare.field_object_state(raw, meta.drop("generation_ts", "seq"), P).count()
+    assert doubled == 5
+
+
+def test_long_sequences_keep_their_length(spark):
+    p = _passes(spark, [(1000 * i, "successful_pass", "A", f"A{i % 2}", f"A{1 - i % 2}") for i in range(150)])
+    areas = spark.createDataFrame([], "match_id string, generation_ts bigint, seq bigint, object_id string, area_id string, in_area boolean")
+    chains = passes.pass_chains(p, areas, P.with_(chunk_ms=7000)).orderBy("generation_ts").collect()
+    assert [r["length"] for r in chains] == list(range(1, 151)) and chains[-1]["first_ts"] == 0
+
+
 @pytest.mark.parametrize("points,area", [
     ([(0, 0), (4, 0), (4, 3), (0, 3), (2, 1)], 12.0),
     ([(0, 0), (4, 0), (4, 3), (0, 3), (2, 0), (4, 3), (0, 0)], 12.0),

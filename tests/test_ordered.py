@@ -78,14 +78,55 @@ def test_phase_events_match_loop(df, data, width):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("max_rows", [10**6, 50])
-def test_debounce_and_deadband_match_loop(df, data, max_rows):
-    kept = sorted(r["seq"] for r in debounce(df, ["key"], 90, 300, max_rows=max_rows).collect())
-    moved = sorted(r["seq"] for r in deadband(df, ["key"], ["m"], 2.0, 300, max_rows=max_rows).collect())
+@pytest.mark.parametrize("width", [10, 90, 300, 10**9])
+def test_debounce_and_deadband_match_loop(df, data, width):
+    kept = sorted(r["seq"] for r in debounce(df, ["key"], 90, width).collect())
+    moved = sorted(r["seq"] for r in deadband(df, ["key"], ["m"], 2.0, width).collect())
     loop = lambda step: sorted(s for _, g in data.groupby("key") for s in step(g.sort_values(ORDER), None)[0].seq)
     assert kept == loop(debounce_step(90)) and moved == loop(deadband_step(["m"], 2.0))
 
 
+@pytest.mark.parametrize("width", [100, 700, 10**9])
+def test_greedy_rules_take_null_keys_times_and_measures(spark, width):
+    rnd = random.Random(width)
+    nan = float("nan")
+    rows = [(k, None if i % 97 == 0 else 100 * i, i, rnd.choice([None, nan, float(rnd.randint(0, 40))]), rnd.choice([None, 1.0, 9.0]))
+            for k in ("a", None) for i in range(150)]
+    rows += [("c", 100 * i, i, v, None) for i, v in enumerate([None, 1.0, 50.0, 90.0])]
+    df = spark.createDataFrame(rows, "key string, generation_ts bigint, seq bigint, m double, n double")
+
+    def loop(rule):
+        out = []
+        for key in ("a", None, "c"):
+            out += [(key, r[2]) for r in rule(sorted((r for r in rows if r[0] == key and r[1] is not None), key=lambda r: r[1:3]))]
+        return sorted(out, key=repr)
+
+    def spaced(group):
+        last = None
+        for r in group:
+            if last is None or r[1] - last > 250:
+                last = r[1]
+                yield r
+
+    def moved(group):
+        kept = [None, None]
+        for r in group:
+            far = [v is not None and v == v and (k is None or abs(k - v) > 5) for k, v in zip(kept, r[3:])]
+            kept = [v if f else k for f, v, k in zip(far, r[3:], kept)]
+            if any(far):
+                yield r
+
+    got = lambda d: sorted(((r["key"], r["seq"]) for r in d.collect()), key=repr)
+    assert got(debounce(df, ["key"], 250, width)) == loop(spaced)
+    assert got(deadband(df, ["key"], ["m", "n"], 5.0, width)) == loop(moved)
+
+
+def test_null_keys_are_refused(spark):
+    df = spark.createDataFrame([("a", 1, 1, 1.0), (None, 2, 2, 2.0)], "key string, generation_ts bigint, seq bigint, v double")
+    with pytest.raises(Exception, match="null key"):
+        keyed.latest_value(df, ["key"], ORDER, 10, F.col("v"), "last").collect()
+
+
 def test_debounce_accepts_backwards_clock():
     pdf = pd.DataFrame({"generation_ts": [100, 105, 50, 55]})
     assert debounce_step(10)(pdf, None)[0].generation_ts.tolist() == [100, 50]

@@ -46,6 +46,15 @@ def test_rules(table):
          keyed.phase_events(table, keys, ORDER, 9000, F.col("who"), []), ["seq", "identity", "phase", "event_no"])
 
 
+def test_changes_of_numbers_with_nulls(spark):
+    rows = [("k", i, i, v) for i, v in enumerate([None, None, 1.0, None, None, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "key string, generation_ts bigint, seq bigint, v double").coalesce(1)
+    table = materialize(df, "null-changes")
+    out = run_available(live.emit_on_change_stream(as_stream(table), ["key"], ORDER, "v"), "n")
+    assert sorted(r["seq"] for r in out.collect()) == [0, 2, 3, 5]
+    same(out, keyed.emit_on_change(table, ["key"], ORDER, 9, F.col("v")), ["seq"])
+
+
 def test_velocity(spark, table):
     raw = table.drop("who")
     meta = spark.createDataFrame(
@@ -61,7 +70,7 @@ def test_heatmap(table):
     sized = table.withColumn("field_length", F.lit(105.0)).withColumn("field_width", F.lit(68.0))
     sized = materialize(sized, "sized")
     keys = ["match_id", "second", "item", "cell_x", "cell_y"]
-    out = run_available(live.heatmap_stream(as_stream(sized), PARAMS), "h", keys=keys)
+    out = run_available(live.heatmap_stream(as_stream(sized, files_per_trigger=1), PARAMS, late=None), "h", keys=keys)
     same(out, heatmap_second(heatmap_cell(sized, PARAMS)), [*keys, "n"])
 
 

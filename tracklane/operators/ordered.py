@@ -6,7 +6,8 @@ brings the carry back. Only the summaries (key's time span / chunk width rows) m
 key holding a third of all rows is still spread over its chunks. All specs given to one `scan` share
 one exchange and one sort, and successive scans with the same keys reuse that partitioning.
 
-Keys must not be null and `order` must be a total order whose first column is a number (time).
+Keys must not be null and `order` must be a total order whose first column is a number (time), the last a whole number
+in [0, 10^18) and those between single digits; rows that break this end the job with an error.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from tracklane.session import materialize
 
 CHUNK = "__chunk"
 MAX_CHUNK_ROWS = 5_000_000
-MAX_BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -101,8 +101,7 @@ def with_chunk(df: DataFrame, time: str, width: int) -> DataFrame:
 def split_hot(df: DataFrame, keys: list[str], time: str, width: int, max_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
     """Add chunks of `width`, cut finer wherever a key has more than `max_rows` rows in one.
 
-    Counting needs the key and time columns only. The table of crowded chunks has at most
-    rows / max_rows entries; it is broadcast up to `MAX_BROADCAST_ROWS` of them and joined plainly beyond.
+    Counting needs the key and time columns only. The table of crowded chunks has at most rows / max_rows entries.
     A chunk number is the start of its time range, so finer chunks keep the order.
     """
     if CHUNK in df.columns:
@@ -115,8 +114,7 @@ def split_hot(df: DataFrame, keys: list[str], time: str, width: int, max_rows: i
             return out.drop("__w")
         finer = F.greatest(F.lit(1), F.floor(F.col("__w") / F.ceil(F.col("count") / max_rows)))
         crowded = materialize(crowded.select(*keys, CHUNK, finer.alias("__n")), "crowded-chunks")
-        side = F.broadcast(crowded) if crowded.count() <= MAX_BROADCAST_ROWS else crowded
-        out = out.join(side, [*keys, CHUNK], "left").withColumn(
+        out = out.join(crowded, [*keys, CHUNK], "left").withColumn(
             CHUNK, F.col(CHUNK) + F.when(F.col("__n").isNull(), 0).otherwise(F.floor((at - F.col(CHUNK)) / F.col("__n")) * F.col("__n"))
         ).withColumn("__w", F.coalesce("__n", "__w")).drop("__n")
 
@@ -237,10 +235,22 @@ def _combine(spec, local: Column, carry: Column) -> Column:
             return F.slice(F.reverse(whole), 1, spec.n)
 
 
+def _allowed(keys: list[str], order: list[str]) -> Column:
+    """True, or an error: null keys would lose their carry, and other orders would not fit one number."""
+    bad = F.lit(False)
+    for c in (*keys, *order):
+        bad = bad | F.col(c).isNull()
+    for c in order[1:-1]:
+        bad = bad | ~F.col(c).between(0, 9)
+    if len(order) > 1:
+        bad = bad | (F.col(order[-1]) < 0) | (F.col(order[-1]) >= 10**18)
+    return F.when(bad, F.raise_error("null key or time, or an order that is out of range").cast("boolean")).otherwise(True)
+
+
 def scan(df: DataFrame, keys: list[str], order: list[str], width: int, *specs) -> DataFrame:
     """Add one column per spec, each running over `keys` in `order`; see the module text."""
     plain = df.columns
-    df = with_chunk(df, order[0], width)
+    df = with_chunk(df, order[0], width).filter(_allowed(keys, order))
     groups = [s for s in specs if isinstance(s, Slots)]
     specs = [s for s in specs if not isinstance(s, Slots)]
     single = len(specs)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklane.functions.geometry import angle3, norm3
@@ -170,8 +170,8 @@ def pass_chains(passes: DataFrame, areas: DataFrame, p: Params) -> DataFrame:
     """Every successful pass with the chain of passes it ends: length, first time and pairs.
 
     A chain breaks when the team changes, the gap is too long, the receiver is not the next kicker, or
-    the play was interrupted since the pass before. The chain is the part of the pass history back to
-    the nearest break.
+    the play was interrupted since the pass before. The chain is the part of the pass history (all of it,
+    unless `pass_history` bounds it) back to the nearest break.
     """
     played = passes.filter("outcome = 'successful_pass'").select(
         MATCH, TS, SEQ, F.col("kicker_team").alias("team_id"), "kicker", "receiver", F.lit(1).alias("__rank")
@@ -192,13 +192,16 @@ def pass_chains(passes: DataFrame, areas: DataFrame, p: Params) -> DataFrame:
         & (F.coalesce("__stop", F.col(f"__last.{TS}")) <= F.col(f"__last.{TS}"))
     )
     run = run.withColumn("__break", ~F.coalesce(goes_on, F.lit(False)))
-    run = scan(
-        run, [MATCH], [TS, "__rank", SEQ], p.chunk_ms,
-        History("__h", F.struct(F.col("__break").alias("b"), "kicker", "receiver", TS), p.pass_history),
-    )
-    first = F.array_position(F.transform("__h", lambda e: e["b"]), True)
-    length = F.when(first == 0, F.size("__h")).otherwise(first).cast("int")
-    run = run.withColumn("length", length).withColumn("__chain", F.reverse(F.slice("__h", 1, F.col("length"))))
+    one = F.struct(F.col("__break").alias("b"), "kicker", "receiver", TS)
+    if p.pass_history is None:  # passes since a break are an island of their own
+        run = scan(run, [MATCH], [TS, "__rank", SEQ], p.chunk_ms, Total("__island", F.col("__break").cast("bigint")))
+        island = Window.partitionBy(MATCH, "__island").orderBy(TS, "__rank", SEQ).rowsBetween(Window.unboundedPreceding, 0)
+        run = run.withColumn("__chain", F.collect_list(one).over(island)).withColumn("length", F.size("__chain"))
+    else:
+        run = scan(run, [MATCH], [TS, "__rank", SEQ], p.chunk_ms, History("__h", one, p.pass_history))
+        first = F.array_position(F.transform("__h", lambda e: e["b"]), True)
+        length = F.when(first == 0, F.size("__h")).otherwise(first).cast("int")
+        run = run.withColumn("length", length).withColumn("__chain", F.reverse(F.slice("__h", 1, F.col("length"))))
     return run.select(
         MATCH, TS, SEQ, "team_id", F.col("length").cast("bigint").alias("length"),
         F.get("__chain", F.lit(0))[TS].alias("first_ts"),

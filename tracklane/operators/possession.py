@@ -10,7 +10,7 @@ from tracklane.functions.geometry import (
 )
 from tracklane.operators.asof import MATCH, ORDER, SEQ, TS, asof_join, snapshot_asof
 from tracklane.operators.keyed import active_key_ticks, phase_events
-from tracklane.operators.ordered import High, History, Last, Total, done, scan
+from tracklane.operators.ordered import High, History, Last, Low, Total, done, scan
 from tracklane.operators.stateful import debounce
 from tracklane.params import Params
 
@@ -57,8 +57,11 @@ def kickoff_event(frames: DataFrame, p: Params) -> DataFrame:
 
 def match_time_progress(frames: DataFrame, kickoffs: DataFrame, p: Params) -> DataFrame:
     """Whole seconds since the oldest remembered kickoff, whenever they grow."""
-    oldest = scan(kickoffs, [MATCH], ORDER, p.chunk_ms, History("__h", F.col(TS), p.kickoff_history))
-    oldest = done(oldest.withColumn("oldest", F.element_at("__h", -1)))
+    if p.kickoff_history is None:
+        oldest = done(scan(kickoffs, [MATCH], ORDER, p.chunk_ms, Low("oldest", F.col(TS))))
+    else:
+        oldest = scan(kickoffs, [MATCH], ORDER, p.chunk_ms, History("__h", F.col(TS), p.kickoff_history))
+        oldest = done(oldest.withColumn("oldest", F.element_at("__h", -1)))
     timed = asof_join(frames.select(MATCH, TS, SEQ), oldest, [MATCH], {"oldest": F.col("oldest")}, p.chunk_ms, crowded=False)
     timed = timed.filter(F.col("oldest").isNotNull()).withColumn(
         "time_in_s", F.floor((F.col(TS) - F.col("oldest")) / F.lit(1000))

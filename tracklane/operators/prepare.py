@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklane.functions.geometry import norm3
 from tracklane.functions.parsing import areas_at, parse_areas, rename_map, renamed
-from tracklane.operators.asof import MATCH, ORDER, TS, SEQ
+from tracklane.operators.asof import MATCH, ORDER, TS, SEQ, asof_join
 from tracklane.operators.ordered import Prev, done, scan
 from tracklane.params import Params
 
@@ -17,7 +17,8 @@ STATE = [MATCH, TS, SEQ, "object_id", "team_id", "x", "y", "z", "vx", "vy", "vz"
 def field_object_state(raw: DataFrame, metadata: DataFrame, p: Params) -> DataFrame:
     """Velocity from the last two samples, renamed ids, scaled and mirrored coordinates.
 
-    Also keeps what later operators need of the metadata: the areas around the position and the field
+    `metadata` holds one row per match, or several with generation_ts and seq, of which the latest at a reading's time
+    counts. Also keeps what later operators need of the metadata: the areas around the position and the field
     size, so that the metadata is joined once.
     """
     moved = scan(raw, [MATCH, "object_id"], ORDER, p.chunk_ms, Prev("__p", F.struct("x", "y", "z", TS)))
@@ -28,11 +29,16 @@ def field_object_state(raw: DataFrame, metadata: DataFrame, p: Params) -> DataFr
 
     # the texts are parsed once per match, not once per reading
     known = metadata.select(
-        MATCH, "field_length", "field_width", "mirrored_x", "mirrored_y",
+        *[c for c in (MATCH, TS, SEQ) if c in metadata.columns], "field_length", "field_width", "mirrored_x", "mirrored_y",
         rename_map(F.col("object_rename_map")).alias("__objects"), rename_map(F.col("team_rename_map")).alias("__teams"),
         parse_areas(F.col("areas")).alias("__areas"),
     )
-    moved = moved.select(*raw.columns, *[speed(c).alias(f"__v{c}") for c in "xyz"]).join(known, MATCH, "left")
+    moved = moved.select(*raw.columns, *[speed(c).alias(f"__v{c}") for c in "xyz"])
+    told = [c for c in known.columns if c not in (MATCH, TS, SEQ)]
+    if TS in known.columns:  # metadata that change: the latest of the match at the reading's time
+        moved = asof_join(moved, known, [MATCH], {c: F.col(c) for c in told}, p.chunk_ms, crowded=False)
+    else:
+        moved = moved.join(known.dropDuplicates([MATCH]), MATCH, "left")
 
     def side(flag: str) -> Column:
         return F.when(F.coalesce(flag, F.lit(False)), -1.0).otherwise(1.0)

@@ -1,27 +1,76 @@
 """Greedy sequential rules (the next result depends on the last accepted row) over keyed rows.
 
-Keys of ordinary size are one group each. A key above `max_rows` is cut into time chunks that run side
-by side: each chunk reports the state it leaves behind, chunks that started from another state than
-their predecessor left run again, until nothing changes. Greedy rules forget their start quickly, so few
-rounds are needed; the result is exact whatever the number of rounds.
+Every key is cut into time chunks that run side by side, whatever its size. A chunk does not know the state it starts
+from, so a first pass describes it as a function of that state; a second composes these descriptions in order, one row
+per chunk; a third runs the rule in each chunk from the state that is now known. That is exact, lazy, and three
+passes for any number of chunks. Nulls in keys are a key of their own; rows without a time take no part.
+
+Rules without such a description (`stateful_scan`) run key by key, hot keys in rounds.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklane.operators.ordered import CHUNK, MAX_BROADCAST_ROWS, split_hot
+from tracklane.operators.ordered import CHUNK, split_hot, with_chunk
 from tracklane.session import materialize
 
 Step = Callable[[pd.DataFrame, list | None], tuple[pd.DataFrame, list | None]]
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equality that takes nulls for equal; columns of `on` come from the left."""
+    other = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"__r_{c}"]) for c in on])
+    return left.join(other, same, how).drop(*[f"__r_{c}" for c in on])
+
+
+def chunked_scan(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    width: int,
+    step: Step,
+    describe: Callable[[pd.DataFrame], list],
+    follow: Callable[[list | None, list], list | None],
+) -> DataFrame:
+    """Rows of `df` that `step` keeps. `describe(rows of a chunk)` is JSON-able, and `follow(state, description)` is
+    the state in which the chunk leaves `state`."""
+    rows = with_chunk(df.filter(F.col(order[0]).isNotNull()), order[0], width)
+    parts, names = [*keys, CHUNK], df.columns
+    fields = [rows.schema[c] for c in parts]
+    text_of = lambda name: T.StructType([*fields, T.StructField(name, T.StringType())])
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        said = json.dumps(describe(pdf.sort_values(order, kind="stable")))
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in parts}, "__said": [said]})
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, state, before = pdf.sort_values(CHUNK), None, []
+        for said in pdf["__said"]:
+            before.append(None if state is None else json.dumps(state))
+            state = follow(state, json.loads(said))
+        return pdf[parts].assign(__in=before)
+
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        text = pdf["__in"].iloc[0]
+        state = json.loads(text) if isinstance(text, str) else None
+        return step(pdf.drop(columns="__in").sort_values(order, kind="stable"), state)[0][names]
+
+    said = rows.groupBy(*parts).applyInPandas(summary, text_of("__said"))
+    states = said.groupBy(*keys).applyInPandas(compose, text_of("__in"))
+    return null_safe_join(rows, states, parts).groupBy(*parts).applyInPandas(emit, df.schema)
+
+
 def stateful_scan(
     df: DataFrame,
     keys: list[str],
@@ -32,8 +81,13 @@ def stateful_scan(
     *,
     max_rows: int = 200_000,
 ) -> DataFrame:
-    """Run `step(rows in order, state) -> (output rows, state)` over every key; state is JSON-able."""
+    """Run `step(rows in order, state) -> (output rows, state)` over every key; state is JSON-able.
+
+    A key above `max_rows` is cut into chunks; those that started from another state than their predecessor left run
+    again until nothing changes. The result is that of the sequential run, nulls included.
+    """
     names = schema.fieldNames()
+    df = df.filter(F.col(order[0]).isNotNull())
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         return step(pdf.sort_values(order, kind="stable"), None)[0][names]
@@ -42,10 +96,8 @@ def stateful_scan(
     if hot.isEmpty():
         return df.groupBy(*keys).applyInPandas(whole, schema)
 
-    # at most rows / max_rows keys are hot; their rows are cut finely enough for one task each
-    hot = materialize(hot, "hot-keys")
-    mark = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_ROWS else hot
-    rows = df.join(mark.withColumn("__hot", F.lit(True)), keys, "left")
+    mark = materialize(hot, "hot-keys").withColumn("__hot", F.lit(True))
+    rows = null_safe_join(df, mark, keys, "left")
     busy = split_hot(rows.filter("__hot"), keys, order[0], width, max_rows)
     calm = rows.filter("__hot is null").withColumn(CHUNK, F.lit(0).cast("bigint"))
     rows = materialize(busy.unionByName(calm).drop("__hot"), "stateful-rows")
@@ -75,11 +127,11 @@ def stateful_scan(
         stale = wanted.filter(~F.col("__want").eqNullSafe(F.col("__in")))
         if stale.isEmpty():
             break
-        again = rows.join(stale.select(*parts, F.col("__want").alias("__in")), parts)
+        again = null_safe_join(rows, stale.select(*parts, F.col("__want").alias("__in")), parts)
         redone = again.groupBy(*parts).applyInPandas(leave, bound_schema)
         kept = wanted.filter(F.col("__want").eqNullSafe(F.col("__in"))).select(*bounds.columns)
         bounds = materialize(kept.unionByName(redone), "stateful-bounds")
-    return rows.join(bounds.select(*parts, "__in"), parts).groupBy(*parts).applyInPandas(emit, schema)
+    return null_safe_join(rows, bounds.select(*parts, "__in"), parts).groupBy(*parts).applyInPandas(emit, schema)
 
 
 def debounce_step(gap: int, time: str = "generation_ts") -> Step:
@@ -98,14 +150,46 @@ def debounce_step(gap: int, time: str = "generation_ts") -> Step:
     return step
 
 
+def debounce_chunk(gap: int, time: str = "generation_ts"):
+    """A chunk of candidates as the pairs (first kept, last kept) for every candidate that can be the first.
+
+    The state is the last kept time t. Candidates are sorted, so t is at most the chunk's first time, and the first
+    kept one is at most the one that follows the first candidate: later ones cannot be first.
+    """
+
+    def describe(pdf: pd.DataFrame) -> list:
+        ts = pdf[time].to_numpy()
+        following = np.searchsorted(ts, ts + gap, "right").tolist()
+        last = ts.tolist()
+        for i in range(len(ts) - 1, -1, -1):
+            if following[i] < len(ts):
+                last[i] = last[following[i]]
+        n = min(len(ts), following[0] + 1)
+        return [ts[:n].tolist(), last[:n]]
+
+    def follow(state: list | None, said: list) -> list | None:
+        first, last = said
+        i = 0 if state is None else bisect.bisect_right(first, state[0] + gap)
+        return [last[i]] if i < len(first) else state
+
+    return describe, follow
+
+
+def _known(v) -> bool:
+    return v is not None and v == v
+
+
 def deadband_step(measures: list[str], epsilon: float) -> Step:
-    """Keep a row when a measure moved more than `epsilon` from its stored value; only those are replaced."""
+    """Keep a row when a measure moved more than `epsilon` from its stored value; only those are replaced.
+
+    A null or NaN measure has not moved and stores nothing; the first known value of a measure counts as moved.
+    """
 
     def step(pdf, state):
         last = list(state) if state else [None] * len(measures)
         keep = []
         for row in zip(*[pdf[m].tolist() for m in measures]):
-            moved = [old is None or abs(old - v) > epsilon for old, v in zip(last, row)]
+            moved = [_known(v) and (old is None or abs(old - v) > epsilon) for old, v in zip(last, row)]
             last = [v if m else old for m, old, v in zip(moved, last, row)]
             keep.append(any(moved))
         return pdf[keep], last
@@ -113,11 +197,68 @@ def deadband_step(measures: list[str], epsilon: float) -> Step:
     return step
 
 
+def deadband_chunk(measures: list[str], epsilon: float):
+    """A chunk as, for each measure, its records and where the rule ends if it first moves there.
+
+    From a stored value s the first move is to the first value above s + epsilon or below s - epsilon, which is always a
+    new maximum or minimum of the chunk; the first known value is both.
+    """
+
+    def one(values: list) -> list:
+        known = np.array([v for v in values if _known(v)], float)
+        if not len(known):
+            return [[], [], [], []]
+        high = np.flatnonzero(known > np.concatenate([[-np.inf], np.maximum.accumulate(known)[:-1]]))
+        low = np.flatnonzero(known < np.concatenate([[np.inf], np.minimum.accumulate(known)[:-1]]))
+        ends: dict[int, float] = {}
+
+        def end_of(i: int) -> float:
+            path = []
+            while i not in ends:
+                path.append(i)
+                at, size, found = i + 1, 16, -1
+                while at < len(known) and found < 0:
+                    far = np.flatnonzero(np.abs(known[at:at + size] - known[i]) > epsilon)
+                    found = at + int(far[0]) if len(far) else -1
+                    at, size = at + size, 2 * size
+                if found < 0:
+                    ends[i] = float(known[i])
+                else:
+                    i = found
+            for j in path:
+                ends[j] = ends[i]
+            return ends[i]
+
+        # records in order: value, position, end
+        return [known[high].tolist(), [[int(i), end_of(int(i))] for i in high], (-known[low]).tolist(), [[int(i), end_of(int(i))] for i in low]]
+
+    def describe(pdf: pd.DataFrame) -> list:
+        return [one(pdf[m].tolist()) for m in measures]
+
+    def follow(state: list | None, said: list) -> list:
+        state = list(state) if state else [None] * len(measures)
+        for k, (high, high_at, low, low_at) in enumerate(said):
+            if not high:
+                continue
+            if state[k] is None:
+                state[k] = high_at[0][1]
+                continue
+            s = state[k]
+            i = next((j for j in range(bisect.bisect_left(high, s), len(high)) if abs(s - high[j]) > epsilon), len(high))
+            j = next((j for j in range(bisect.bisect_left(low, -s), len(low)) if abs(s + low[j]) > epsilon), len(low))
+            found = [x[y] for x, y in ((high_at, i), (low_at, j)) if y < len(x)]
+            if found:
+                state[k] = min(found)[1]
+        return state
+
+    return describe, follow
+
+
 def debounce(
-    df: DataFrame, keys: list[str], gap: int, width: int, *, time: str = "generation_ts", seq: str = "seq", **kw
+    df: DataFrame, keys: list[str], gap: int, width: int, *, time: str = "generation_ts", seq: str = "seq"
 ) -> DataFrame:
     """Candidates that survive `debounce_step` per key."""
-    return stateful_scan(df, keys, [time, seq], width, debounce_step(gap, time), df.schema, **kw)
+    return chunked_scan(df, keys, [time, seq], width, debounce_step(gap, time), *debounce_chunk(gap, time))
 
 
 def deadband(
@@ -129,7 +270,6 @@ def deadband(
     *,
     time: str = "generation_ts",
     seq: str = "seq",
-    **kw,
 ) -> DataFrame:
     """Rows that survive `deadband_step` per key."""
-    return stateful_scan(df, keys, [time, seq], width, deadband_step(measures, epsilon), df.schema, **kw)
+    return chunked_scan(df, keys, [time, seq], width, deadband_step(measures, epsilon), *deadband_chunk(measures, epsilon))

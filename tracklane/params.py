@@ -74,7 +74,7 @@ class Params:
     kickoff_player_dist: float = 5.0
     kickoff_midline_dist: float = 5.0
     kickoff_gap_ms: int = 60_000
-    kickoff_history: int = 100
+    kickoff_history: int | None = None  # None: all
     hit_speed_diff: float = 2.0
     hit_max_speed: float = 10.0
     hit_angle: float = 0.5
@@ -88,7 +88,7 @@ class Params:
     pass_max_ms: int = 7000
     sideways_angle: float = 0.7854
     goal_height: float = 2.44
-    pass_history: int = 100
+    pass_history: int | None = None  # None: all
     pass_gap_ms: int = 10_000
     set_play_gap_ms: int = 3000
     set_play_dist: float = 3.0

@@ -652,6 +652,6 @@ def stream_phase_events(spark, sf_dir):
 
 @match_query
 def stream_heatmap_second(m):
-    rows = live.heatmap_stream(as_stream(m.states), m.p)
+    rows = live.heatmap_stream(as_stream(m.states, files_per_trigger=2), m.p, late=None)
     keys = [MATCH, "second", "item", "cell_x", "cell_y"]
     return run_available(rows, "heatmap", keys=keys)

@@ -51,7 +51,7 @@ def emit_on_change_stream(df: DataFrame, keys: list[str], order: list[str], valu
     """Rows whose value differs from the key's row before; the first row counts."""
 
     def step(pdf, state):
-        values = pdf[value].tolist()
+        values = [None if v is None or v != v else v for v in pdf[value].tolist()]  # a null number arrives as NaN
         before = [state[0] if state else None, *values[:-1]]
         known = [state is not None] + [True] * (len(values) - 1)
         return pdf[[not k or b != v for k, b, v in zip(known, before, values)]], [values[-1]]
@@ -145,12 +145,17 @@ def active_key_ticks_stream(df: DataFrame, key: str, period: int, threshold: int
     return df.groupBy(key).applyInPandasWithState(run, schema, memory, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def heatmap_stream(states: DataFrame, p: Params, *, seconds: int = 1, late: str = "5 seconds") -> DataFrame:
-    """Cell counts per player and team over tumbling seconds, or over the last `seconds` every second."""
+def heatmap_stream(states: DataFrame, p: Params, *, late: str | None, seconds: int = 1) -> DataFrame:
+    """Cell counts per player and team over tumbling seconds, or over the last `seconds` every second.
+
+    The watermark is one clock for all matches: with `late`, readings that are older than that by the clock of the match
+    furthest on are dropped. None keeps every reading, in any order of matches, and state for as long as the stream runs.
+    """
     cells = heatmap_cell(states, p).withColumn("event_time", F.timestamp_millis(F.col("generation_ts")))
     item = F.explode(F.array("object_id", "team_id")).alias("item")
     span = F.window("event_time", f"{seconds} seconds", "1 second")
-    counts = cells.withWatermark("event_time", late).select("match_id", "event_time", item, "cell_x", "cell_y").groupBy(
+    timed = cells if late is None else cells.withWatermark("event_time", late)
+    counts = timed.select("match_id", "event_time", item, "cell_x", "cell_y").groupBy(
         "match_id", span.alias("w"), "item", "cell_x", "cell_y"
     ).agg(F.count("*").alias("n"))
     return counts.select("match_id", (F.unix_seconds("w.end") - 1).alias("second"), "item", "cell_x", "cell_y", "n")

@@ -39,5 +39,5 @@ def as_stream(table: DataFrame, *, files_per_trigger: int | None = None) -> Data
     reader = table.sparkSession.readStream.schema(table.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    folder = table.select(F.input_file_name()).first()[0].rsplit("/", 1)[0]
     return reader.parquet(folder)
