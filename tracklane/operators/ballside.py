@@ -15,6 +15,7 @@ from tracklane.params import Params
 from tracklane.session import materialize
 
 HIDDEN = 64
+MAX_SAMPLES = 102_400  # labelled rows that a model is fitted on, about; the rest only counts and tests
 
 
 def features(objects: Column, length: Column, width: Column) -> Column:
@@ -36,11 +37,12 @@ def samples(states: DataFrame, p: Params, trigger: Column | None = None) -> Data
 
 
 def train_ball_side(
-    labelled: DataFrame, p: Params, *, epochs: int = 20, seed: int = 7
+    labelled: DataFrame, p: Params, *, epochs: int = 20, seed: int = 7, max_samples: int = MAX_SAMPLES
 ) -> tuple[MultilayerPerceptronClassificationModel, DataFrame]:
     """Train one hidden layer on 80 %, keep 10 % aside and report the accuracy on the last 10 %.
 
-    The split is by a hash of the row's identity: rows stay in their part when a task runs again.
+    The split is by a hash of the row's identity: rows stay in their part when a task runs again. Of more than
+    `max_samples` training rows the model is fitted on as many, about, chosen by another hash.
     """
     part = F.pmod(F.xxhash64(MATCH, TS, SEQ, F.lit(seed)), F.lit(10))
     rows = materialize(labelled.withColumn("part", part), "ball-side-samples")
@@ -48,7 +50,10 @@ def train_ball_side(
     trainer = MultilayerPerceptronClassifier(
         layers=[inputs, HIDDEN, 2], maxIter=epochs, blockSize=512, seed=seed, featuresCol="features", labelCol="label"
     )
-    model = trainer.fit(rows.filter("part < 8"))
+    training = rows.filter("part < 8")
+    share = min(1.0, max_samples / max(1, training.count()))
+    chosen = F.pmod(F.xxhash64(F.lit(seed + 1), MATCH, TS, SEQ), F.lit(1_000_000)) < F.lit(share * 1_000_000)
+    model = trainer.fit(training.filter(chosen))
     test = model.transform(rows.filter("part = 9"))
     accuracy = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(test)
     sizes = rows.groupBy().agg(

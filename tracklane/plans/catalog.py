@@ -164,7 +164,7 @@ def extract_position(spark, sf_dir):
 
 @query
 def extract_phase(spark, sf_dir):
-    return extract_all(elements(spark, sf_dir).filter("not atomic"), {"phase": "phase"})
+    return extract_all(elements(spark, sf_dir), {"phase": "phase"}, strict=False)
 
 
 # --- filters -------------------------------------------------------------------------------------

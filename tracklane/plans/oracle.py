@@ -391,7 +391,7 @@ FINALS: dict[str, str] = {
     "extract_stream_name": "select match_id, seq, event_type as a from el",
     "extract_none": "select match_id, seq, event_type as b from el",
     "extract_position": "select match_id, seq, value as x, cast(k as double) as y, cast(0 as double) as z from el",
-    "extract_phase": "select match_id, seq, phase from el where not atomic",
+    "extract_phase": "select match_id, seq, case when not atomic then phase end as phase from el",
     "filter_eq": "select stream_name, match_id, seq from el where event_type = 'click'",
     "filter_ne": "select stream_name, match_id, seq from el where event_type <> 'click'",
     "filter_in": "select stream_name, match_id, seq from el where k in (1, 5, 42)",
