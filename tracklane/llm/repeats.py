@@ -123,8 +123,8 @@ def _sampled(docs: DataFrame, length: int, window: int) -> DataFrame:
 def _contexts(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """The bytes before and from each chosen sample, as far as the strings that share it reach."""
     lists = chosen.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last", "at", "gram", "alone")).alias("samples"))
-    # a key is a hash of the text: rows that repeat a document give their samples once each, as one row of them would
-    with_text = lists.join(docs.dropDuplicates(["doc_id", "key"]).toDF("_id", "_key", "text"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    # rows that repeat a document give its samples once each; none of these is alone, so they settle nothing for themselves
+    with_text = lists.join(docs.toDF("_id", "_key", "text"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
