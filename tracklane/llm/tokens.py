@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-MAX_CHUNKS = 700_000
-MAX_WORDS = 800_000
+MAX_CHUNKS = 900_000
+MAX_WORDS = 900_000
 JOINED = 16
 MARKS = ".,;:!?"
 #: Letters, then the rest of a line. Outside UNSURE characters `[^\W\d_]` is what the tokenizer takes for a letter.
@@ -39,6 +39,9 @@ class Encoder:
         self.heads: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_heads: dict[str, bytes] = {}
+        self.old_rest: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     @classmethod
@@ -73,7 +76,7 @@ class Encoder:
         if lines and not UNSURE.search(text):
             parts = WORD_LINE.findall(text)
             words = [before + w for w, _ in parts]
-            todo = list({w for w in words if w not in self.words})
+            todo = self._new(self.words, self.old_words, {w for w in words if w not in self.words})
             self.words.update(zip(todo, self._join(todo)))
             ends = {r for _, r in parts if r not in self.tails and not r.strip(MARKS)}
             self.tails.update(zip(ends, self.whole(list(ends))))
@@ -83,12 +86,10 @@ class Encoder:
         kept.update(zip(other, self._join([before + c for c in other])))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.heads) + len(self.rest) > MAX_CHUNKS:
-            self.heads.clear()
-            self.rest.clear()
-            self.tails.clear()
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
+        if len(self.heads) + len(self.rest) > MAX_CHUNKS // 2:  # what is met again comes back from the older half
+            self.old_heads, self.heads, self.old_rest, self.rest, self.tails = self.heads, {}, self.rest, {}, {}
+        if len(self.words) > MAX_WORDS // 2:
+            self.old_words, self.words = self.words, {}
         held, missing, new_heads, new = [], [], set(), set()
         head, rest = self.heads.get, self.rest.get
         for i, t in enumerate(texts):
@@ -103,8 +104,8 @@ class Encoder:
                     new_heads.add(first)
                     places.pop()
                 new.update([chunks[k] for k in places])
-        self._learn(self.heads, [c for c in new_heads if self._regular(c)], "")
-        self._learn(self.rest, [c for c in new if self._regular(c)], " ")
+        self._learn(self.heads, [c for c in self._new(self.heads, self.old_heads, new_heads) if self._regular(c)], "")
+        self._learn(self.rest, [c for c in self._new(self.rest, self.old_rest, new) if self._regular(c)], " ")
         odd = []
         for i, first, chunks, places in missing:
             found = held[i]
@@ -118,6 +119,13 @@ class Encoder:
             held[i] = [ids]
         return [np.frombuffer(f[-1] + b"".join(f[:-1]), self.dtype) for f in held]
 
+    @staticmethod
+    def _new(kept: dict[str, bytes], old: dict[str, bytes], wanted: set[str]) -> list[str]:
+        """What of `wanted` is in neither; what is in `old` moves to `kept`."""
+        again = wanted & old.keys() if old else set()
+        kept.update((c, old[c]) for c in again)
+        return list(wanted - again)
+
     @staticmethod
     def _regular(c: str) -> bool:
         """No white space at either end, and none that only Python takes for such."""
