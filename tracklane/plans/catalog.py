@@ -619,9 +619,18 @@ def heatmap_rle(m):
 # --- the same rules on streams: micro-batches over the files of the given table ------------------
 
 
+BATCHES, FILES = 4, 4
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return event_columns(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    """The events as a stream of BATCHES micro-batches in the order of their ids, FILES files each."""
+    rows = event_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    low, high = rows.agg(F.coalesce(F.min(SEQ), F.lit(0)), F.coalesce(F.max(SEQ), F.lit(0))).first()
+    path, step = f"{work_dir(spark)}/streams/events-{uuid.uuid4().hex}", (high - low) // BATCHES + 1
+    for start in range(low, high + 1, step):
+        part = rows.filter((F.col(SEQ) >= start) & (F.col(SEQ) < start + step))
+        part.repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 @query
