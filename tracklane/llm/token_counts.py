@@ -21,17 +21,21 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tracklane.llm.common import materialize, partitions, text_of
+from tracklane.llm.common import partitions, text_of
 
 BLOCK_BYTES = 8 << 20
 BLOCK_DOCS = 65_000  # a document's place in its block takes two bytes
 LIMIT = 2048
 MAX_CHUNKS = 400_000
+HELD = 2_000_000
 
 INVERTED = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("piece", pa.string()), ("doc_ids", pa.list_(pa.int64())),
                       ("n_bytes", pa.list_(pa.int64())), ("packed", pa.binary())])
 INVERTED_DDL = "block long, no int, piece string, doc_ids array<long>, n_bytes array<long>, packed binary"
+COUNTS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("packed", pa.binary()), ("counted", pa.binary())])
+COUNTS_DDL = "block long, doc_ids array<long>, n_bytes array<long>, packed binary, counted binary"
 COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 COUNTED_DDL = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -138,7 +142,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def inverted(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A stored table: per block a row for each pre-token with its number, and one with its documents and frequencies."""
+    """Per block a row for each pre-token with its number, and one with its documents and frequencies."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, block = Pieces.of(tokenizer), TaskContext.get().partitionId() << 32
@@ -154,25 +158,54 @@ def inverted(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) ->
         if texts:
             yield from _invert(block, doc_ids, texts, pieces)
 
-    return materialize(docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, INVERTED_DDL), "pre-tokens")
+    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, INVERTED_DDL)
 
 
 def piece_counts(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """(block, no, k) for `rows` (block, no, piece): the tokens of each distinct piece, counted once, for every block that has it."""
+    """(block, counted) with the numbers of a block and their tokens, packed; rows without a piece pass as they are.
+
+    Pre-tokens are met in order, so a run of equal ones is counted once. What a task has counted is sent on per block
+    after every HELD entries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last, its = Pieces.of(tokenizer), None, 0
+        blocks, numbers, counts, size = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            block, no, k = (np.concatenate(x) for x in (blocks, numbers, counts))
+            order = np.argsort(block, kind="stable")
+            block, no, k = block[order], no[order], k[order]
+            first = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+            parts = [struct.pack("<I", len(x)) + zlib.compress(x.astype("<u4").tobytes() + y.astype("<u4").tobytes(), 1)
+                     for x, y in zip(np.split(no, first[1:]), np.split(k, first[1:]))]
+            ids = pa.array(block[first])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.nulls(len(ids), f.type) for f in list(COUNTS)[1:4]), pa.array(parts, pa.binary())], schema=COUNTS)
+
         for b in batches:
+            whole = b.filter(pa.compute.is_null(b.column("piece")))
+            if len(whole):
+                yield pa.RecordBatch.from_arrays([*(whole.column(c) for c in ("block", "doc_ids", "n_bytes", "packed")), pa.nulls(len(whole), pa.binary())], schema=COUNTS)
+            b = b.filter(pa.compute.is_valid(b.column("piece")))
+            if not len(b):
+                continue
             runs = pa.compute.run_end_encode(b.column("piece").cast(pa.string()))
             pieces = runs.values.to_pylist()
             new = pieces[1:] if pieces[0] == last else pieces
-            k = np.concatenate([[its] if len(new) < len(pieces) else [], own.count(new) if new else []]).astype(np.int32)
+            k = np.concatenate([[its] if len(new) < len(pieces) else [], own.count(new) if new else []]).astype(np.int64)
             last, its = pieces[-1], int(k[-1])
-            k = np.repeat(k, np.diff(runs.run_ends.to_numpy(), prepend=0))
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("no"), pa.array(k)], ["block", "no", "k"])
+            blocks.append(b.column("block").to_numpy())
+            numbers.append(b.column("no").to_numpy())
+            counts.append(np.repeat(k, np.diff(runs.run_ends.to_numpy(), prepend=0)))
+            size += len(b)
+            if size >= HELD:
+                yield from flush()
+                blocks, numbers, counts, size = [], [], [], 0
+        if size:
+            yield from flush()
 
-    met = rows.select("block", "no", "piece").repartition(partitions(rows.sparkSession), "piece").sortWithinPartitions("piece")
-    return met.mapInArrow(run, "block long, no int, k int")
+    met = rows.repartition(partitions(rows.sparkSession), F.coalesce("piece", F.col("block").cast("string"))).sortWithinPartitions("piece")
+    return met.mapInArrow(run, COUNTS_DDL)
 
 
 def count(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
@@ -182,23 +215,22 @@ def count(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     texts are empty: no bytes, no tokens. Repeated rows and null doc_ids are rows of their own. No rows: no rows. Other
     columns are ignored.
     """
-    rows = inverted(docs, tokenizer)
-    counted = piece_counts(rows.where("piece is not null"), tokenizer)
-    whole = rows.where("piece is null").select("block", "doc_ids", "n_bytes", "packed")
-    both = counted.unionByName(whole, allowMissingColumns=True)
-
     def total(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, counts, ids, sizes, packed = [], [], [], [], b""
         for b in group:
-            known = b.filter(pa.compute.is_valid(b.column("k")))
-            numbers.append(known.column("no").to_numpy(zero_copy_only=False))
-            counts.append(known.column("k").to_numpy(zero_copy_only=False))
-            for x in b.filter(pa.compute.is_null(b.column("k"))).to_pylist():
-                ids, sizes, packed = x["doc_ids"], x["n_bytes"], x["packed"]
+            for x in b.to_pylist():
+                if x["counted"] is None:
+                    ids, sizes, packed = x["doc_ids"], x["n_bytes"], x["packed"]
+                    continue
+                n = struct.unpack("<I", x["counted"][:4])[0]
+                both = np.frombuffer(zlib.decompress(x["counted"][4:]), "<u4")
+                numbers.append(both[:n])
+                counts.append(both[n:])
         k = np.zeros(sum(map(len, numbers)), np.int64)
-        k[np.concatenate(numbers)] = np.concatenate(counts)
+        for no, c in zip(numbers, counts):
+            k[no] = c
         many, docs_, n = _unpack(packed)
         sums = np.bincount(docs_, np.repeat(k, many) * n, len(ids)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums), pa.array(sums > limit)], schema=COUNTED)
 
-    return both.groupBy("block").applyInArrow(total, COUNTED_DDL)
+    return piece_counts(inverted(docs, tokenizer), tokenizer).groupBy("block").applyInArrow(total, COUNTED_DDL)
