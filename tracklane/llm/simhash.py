@@ -38,13 +38,13 @@ WIDTHS = (32, 16, 8)
 FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("fp", pa.int64())])
 
 
-def fingerprint(text: str | None) -> np.ndarray:
-    """Unsigned hashes of the shingles of one text."""
+def fingerprint(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Unsigned hashes of the shingles of one text, `size` words each."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if len(words) < SHINGLE:
+    if len(words) < size:
         shingles = [b" ".join(words)] if words else []
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(size))))
     return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
 
 
