@@ -167,3 +167,21 @@ def test_decontamination(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 5
     for d, b in ((documents(spark, []), bench), (docs, bench.limit(0))):
         assert decontaminate.contaminated(d, b).count() == 0 and decontaminate.clean(d, b).count() == d.count()
+
+
+def test_every_stretch_of_an_item_has_seeds(spark):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("aeioulmnrst"), 5)) for _ in range(3000)]
+    item = list(rng.choice(words, 40, replace=False))
+    noise = lambda: " ".join(rng.choice(words, 5))
+    # the first 60 % in more documents than the whole, and both in more than 100
+    rows = [(i, f"{noise()} {' '.join(item[:24])} {noise()}") for i in range(130)]
+    rows += [(1000 + i, f"{noise()} {' '.join(item)} {noise()}") for i in range(105)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.contaminated(documents(spark, rows, False), bench).collect()}
+    assert got == {d for d, _ in rows}
+    # of every four grams in a row one is a seed, whatever their counts
+    for _ in range(200):
+        grams, docs = rng.permutation(60), (10 ** rng.uniform(0, 7, 60)).astype(int)
+        seeds = decontaminate._seeds_of(grams, docs, decontaminate.Settings())
+        assert all(seeds & set(grams[p:p + 4].tolist()) for p in range(57))

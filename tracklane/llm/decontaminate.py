@@ -2,9 +2,9 @@
 
 Words are lower-case runs of letters and digits. Documents are read once: a task looks up every n-gram in the grams of
 the test items and returns the words around its finds. From these the number of documents per gram is known, over all
-documents, and with it which grams are rare enough to be seeds; an item always keeps its rarest grams, however common its
-passages are. Stretches with seeds are aligned with their item word by word, so edited and paraphrased copies score by
-what is left of the item.
+documents. Seeds are grams that are rare beside their neighbours: of every few grams in a row the rarest is one, however
+many documents share it, so each stretch of an item has seeds. Stretches with seeds are aligned with their item word by
+word, so edited and paraphrased copies score by what is left of the item.
 
 Test items are a query set held against all documents in blocks of BLOCK_WORDS words at most; a block is what tasks
 get in memory, and a longer set means more passes, not more memory.
@@ -32,12 +32,13 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Settings(NamedTuple):
-    """n: words of a gram. A gram is rare in at most rare_docs documents or rare_share of all, whichever is more; each
-    item keeps its min_seeds rarest grams in any case. min_score: share of the best score an item can have."""
+    """n: words of a gram. A gram is a seed if some `window` grams in a row of the item, it among them, have none that is in
+    fewer than 1 / times as many documents; each item keeps its min_seeds rarest grams in any case. min_score: share of
+    the best score an item can have."""
 
     n: int = 4
-    rare_docs: int = 100
-    rare_share: float = 0.0005
+    window: int = 4
+    times: int = 100
     min_seeds: int = 16
     slack: int = 16
     min_score: float = 0.5
@@ -78,7 +79,7 @@ class Items:
         self.words: dict[int, np.ndarray] = {}
         self.ids: list[int | None] = []
         self.items_of: dict[int, list[int]] = defaultdict(list)
-        self.grams: list[np.ndarray] = []
+        self.grams: list[np.ndarray] = []  # in the order of the item
         self.shortest = n
         for item, text in rows:
             w = words_of(text)
@@ -87,9 +88,9 @@ class Items:
             i = len(self.ids)
             self.ids.append(item)
             self.words[i] = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)
-            self.grams.append(np.unique(grams_of(self.words[i], n)))
+            self.grams.append(grams_of(self.words[i], n))
             self.shortest = min(self.shortest, len(w))
-            for g in self.grams[-1].tolist():
+            for g in np.unique(self.grams[-1]).tolist():
                 self.items_of[g].append(i)
         self.longest = max((len(w) for w in self.words.values()), default=0)
         self.sorted = np.unique(np.fromiter(self.items_of, np.int64, len(self.items_of)))
@@ -161,20 +162,26 @@ def _near(docs: DataFrame, items: Items, settings: Settings) -> DataFrame:
         run, "doc_id long, text_hash long, first int, words array<int>, at array<int>, grams array<long>"), "finds")
 
 
-def _seeds(near: DataFrame, items: Items, n_docs: int, settings: Settings) -> dict[int, list[int]]:
-    """Rare grams and the items they stand for; at most as many rows as the items have grams come to the driver."""
+def _seeds(near: DataFrame, items: Items, settings: Settings) -> dict[int, list[int]]:
+    """Seeds and the items they stand for; at most as many rows as the items have grams come to the driver."""
     per = near.select("doc_id", "text_hash", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("n")).collect()
     docs = Counter({r.gram: r.n for r in per})
-    most = max(settings.rare_docs, settings.rare_share * n_docs)
     seeds: dict[int, list[int]] = defaultdict(list)
     for i, grams in enumerate(items.grams):
-        by_count = sorted(grams.tolist(), key=lambda g: (docs[g], g))
-        for k, g in enumerate(by_count):
-            if k < settings.min_seeds or docs[g] <= most:
-                seeds[g].append(i)
+        for g in _seeds_of(grams, np.array([docs[g] for g in grams.tolist()], np.int64), settings):
+            seeds[g].append(i)
     return dict(seeds)
 
 
+def _seeds_of(grams: np.ndarray, docs: np.ndarray, settings: Settings) -> set[int]:
+    """Seeds among the grams of an item in order, which lie in `docs` documents each."""
+    w = min(settings.window, len(grams))
+    least = np.maximum(1, np.lib.stride_tricks.sliding_window_view(docs, w).min(1))  # of each window
+    bound = np.array([least[max(0, p - w + 1):p + 1].max() for p in range(len(grams))])  # of the best window with a gram
+    rarest = sorted(set(zip(docs.tolist(), grams.tolist())))[:settings.min_seeds]
+    return set(grams[docs <= settings.times * bound].tolist()) | {g for _, g in rarest}
+
+
 def contaminated(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Links of documents (doc_id, text) and test items (item_id, text) that reach `min_score`, the best of each pair.
 
@@ -183,12 +190,12 @@ def contaminated(docs: DataFrame, items: DataFrame, settings: Settings = Setting
     stay. Items shorter than a gram are one gram. No rows in either table: no rows. Other columns are ignored.
     """
     items = items.select("item_id", text_of("text").alias("text"))
-    blocks, n_docs, out = _blocks(items), docs.count(), None
+    blocks, out = _blocks(items), None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
         block = Items([tuple(r) for r in part.collect()], settings.n)  # BLOCK_WORDS bounds it
         near = _near(docs, block, settings)
-        links = _aligned(near, block, _seeds(near, block, n_docs, settings), settings)
+        links = _aligned(near, block, _seeds(near, block, settings), settings)
         out = links if out is None else out.unionByName(links)
     return materialize(out, "contaminated") if blocks > 1 else out
 
