@@ -35,6 +35,22 @@ def test_entropy_removes_what_pages_of_a_host_share(spark):
     assert all(got[i] == f"text number {i} of this page" for i in range(8)) and got[103] == "one page only"
 
 
+def main_texts(spark, make, n=8):
+    rows = [(i, f"http://s.example/{i}", make(i)) for i in range(n)]
+    return [r.text for r in sorted(style_tree.extract(pages(spark, rows)).collect(), key=lambda r: r.page_id)]
+
+
+def test_side_words_in_names_of_content_drop_nothing(spark):
+    page = ("<body class='has-sidebar'><div class='layout with-sidebar social'><h1>Title {0}</h1><article><h2 id='related-work'>Related {0}</h2>"
+            "<h2 id='share'>Share {0}</h2><section id='share-price'><p>price {0} of this</p></section><div class='search-algorithms'>algorithm {0}</div>"
+            "</article></div><div class='share'>Share it</div></body>")
+    want = "Title {0}\n\nRelated {0}\n\nShare {0}\n\nprice {0} of this\n\nalgorithm {0}"
+    assert main_texts(spark, page.format) == [want.format(i) for i in range(8)]
+    assert main_texts(spark, page.format, 1) == [want.format(0)]
+    plain = "<body class='has-sidebar'><div class='layout with-sidebar'><p>text {0} without main</p></div></body>"
+    assert main_texts(spark, plain.format) == [f"text {i} without main" for i in range(8)]
+
+
 def test_archives(spark):
     got = warc.read(warc.write(pages(spark), max_archive=300)).collect()
     first = {}

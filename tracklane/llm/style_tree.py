@@ -7,9 +7,12 @@ entropy of the child sequences over the pages that have the node, content import
 features over pages; logarithms are to the base of the number of pages. The importance of a branch is that of its
 best node, a tenth less with each level down. Branches below a threshold are removed from pages.
 
-Some labels say what they are: navigation, adverts, forms and the like have no importance, articles have all of it. They
-hold for a branch up to the next such label inside it; entropy decides on everything else. Nodes that few distinct pages
-have cannot be told from content and stay. Exact copies of a page count once.
+Some labels say what they are: elements for navigation, forms and the like, and those with a class, id or role that as a
+whole is a word for such a part, have no importance, articles have all of it, up to the next such label inside. Such a class, id or role
+says nothing on a heading, on html, body, article and main, or on an element that holds the page's main heading or main
+element and most of its text. A class, id or role of which one part is a side word only halves the importance of what
+lies below. Nodes that few distinct pages have cannot be told from content and stay. Exact copies of a page
+count once.
 
 The tree is never in one place: nodes and features are rows, aggregated with partial sums before each shuffle, so a
 host that holds a third of all pages is no single task.
@@ -43,9 +46,13 @@ MAIN_TAGS = frozenset("article main".split())
 SIDE_WORDS = frozenset("""ad ads advert adverts advertisement banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs
     sidebar header footer masthead cookie cookies consent notice notices popup modal newsletter subscribe share sharing social related
     recommended comment comments reply replies disqus login signup search pagination pager""".split())
+#: Elements whose class, id or role is no side word.
+OWN_NAME = frozenset("#page html body article main h1 h2 h3 h4 h5 h6".split())
+SIDE_WEIGHT = 0.5
 SEP = "\x1f"
 
-FEATURES = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("feature", pa.int64()), ("n", pa.int64())])
+FEATURES = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("feature", pa.int64()), ("n", pa.int64()),
+                     ("weight", pa.float64())])
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -57,16 +64,38 @@ class Settings(NamedTuple):
 
 
 class Node:
-    __slots__ = ("tag", "label", "role", "path", "children", "content")
+    """side: the label says that the branch is a side one; weight: what the labels from the root on make of importance.
+    role: 0 in a side branch, 1 in an article or main element."""
+
+    __slots__ = ("tag", "label", "above", "side", "weight", "role", "path", "children", "content", "size", "core")
 
     def __init__(self, tag: str, words: list[str], above: Node | None):
         self.tag = tag
         self.label = ".".join([tag, *sorted(words)])
-        own = 0 if tag in UNSEEN or tag in SIDE_TAGS or SIDE_WORDS & {w for x in words for w in re.split(r"[-_]", x)} else 1 if tag in MAIN_TAGS else None
-        self.role = own if own is not None or above is None else above.role
+        self.above = above
+        named = tag not in OWN_NAME
+        self.side = named and bool(SIDE_WORDS.intersection(words))
+        self.weight = SIDE_WEIGHT if named and SIDE_WORDS & {w for x in words for w in re.split(r"[-_]", x)} else 1.0
+        self.role = None
         self.path = self.label if above is None else above.path + SEP + self.label
         self.children: list[str] = []
         self.content: list[str] = []
+        self.size = 0  # characters of text in the branch
+        self.core = tag in ("h1", "main")  # whether the branch has a main heading or main element
+
+    def decide(self, total: int) -> None:
+        """From the node above and the whole page: role and weight."""
+        up = self.above
+        wraps = self.core and 2 * self.size > total
+        if self.tag in UNSEEN or self.tag in SIDE_TAGS or self.side and not wraps:
+            self.role = 0
+        elif self.tag in MAIN_TAGS:
+            self.role = 1
+        elif up is not None:
+            self.role = up.role
+        if wraps:
+            self.weight = 1.0
+        self.weight = min(self.weight, 1.0 if up is None else up.weight)
 
 
 class Page(HTMLParser):
@@ -80,6 +109,12 @@ class Page(HTMLParser):
         self.blocks: list[list[tuple[Node, str]]] = [[]]
         self.feed(html)
         self.close()
+        for node in reversed(self.nodes[1:]):
+            if node.tag not in UNSEEN:
+                node.above.size += node.size
+                node.above.core |= node.core
+        for node in self.nodes:
+            node.decide(self.root.size)
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -116,6 +151,7 @@ class Page(HTMLParser):
         self.blocks[-1].append((self.open[-1], data))
         if data.strip():
             self.open[-1].content.append(" ".join(data.split()))
+            self.open[-1].size += len(self.open[-1].content[-1])
 
     def _end(self, kinds: frozenset, walls: frozenset) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -153,13 +189,14 @@ def _number(text: str) -> int:
 
 def _features(host: str, html: str) -> Iterator[tuple]:
     """Child sequences and content of a page's nodes that no label decides on, counted."""
-    page, counts = _number(html), Counter()
+    page, counts, weights = _number(html), Counter(), {}
     for n in Page(html).nodes:
         if n.role is None:
+            weights[n.path] = max(weights.get(n.path, 0.0), n.weight)
             counts[n.path, "look", _number(" ".join(n.children))] += 1
             counts.update((n.path, "text", _number(c)) for c in n.content)
     for (path, kind, feature), c in counts.items():
-        yield host, page, path, kind, feature, c
+        yield host, page, path, kind, feature, c, weights[path]
 
 
 def importance(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -168,26 +205,26 @@ def importance(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches((f for b in rows for h, t in zip(*(c.to_pylist() for c in b.columns)) for f in _features(h, t)), FEATURES)
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, page long, path string, kind string, feature long, n long")
-    each = rows.groupBy("host", "path", "kind", "feature", "page").agg(F.max("n").alias("n"))  # copies of a page count once
+    rows = pages.select("host", "html").mapInArrow(run, "host string, page long, path string, kind string, feature long, n long, weight double")
+    each = rows.groupBy("host", "path", "kind", "feature", "page").agg(F.max("n").alias("n"), F.max("weight").alias("weight"))  # copies of a page count once
     by_feature = each.groupBy("host", "path", "kind", "feature").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("pages"))
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("pages"), F.max("weight").alias("weight"))
     entropy = F.log("n") - F.col("nlogn") / F.col("n")  # of one feature over pages
     nodes = by_feature.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == "look", F.col("pages"))).alias("looks"),
         F.sum(F.when(F.col("kind") == "look", F.col("pages") * F.log("pages"))).alias("plogp"),
-        F.max("pages").alias("most"),
+        F.max("pages").alias("most"), F.max("weight").alias("weight"),
         F.avg(F.when(F.col("kind") == "text", entropy)).alias("text_entropy"))
     m = F.greatest("looks", "most").cast("double")
     sure = m >= settings.min_pages
     look = (F.log("looks") - F.col("plogp") / F.col("looks")) / F.log(m)
     own = F.when(~sure, 1.0).when(F.col("text_entropy").isNull(), look).otherwise(
         F.greatest(look, 1 - F.least(F.lit(1.0), F.col("text_entropy") / F.log(m))))
-    scored = nodes.select("host", "path", m.alias("pages"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), own)).alias("own"), F.split("path", SEP).alias("parts"))
-    up = scored.select("host", "own", "pages", F.size("parts").alias("depth"), "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("d"))
+    scored = nodes.select("host", "path", m.alias("pages"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), own)).alias("own"), "weight", F.split("path", SEP).alias("parts"))
+    up = scored.select("host", "own", "pages", "weight", F.size("parts").alias("depth"), "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("d"))
     down = F.pow(F.lit(0.9), F.col("depth") - F.col("d"))
     return (up.withColumn("path", F.array_join(F.slice("parts", F.lit(1), F.col("d")), SEP)).groupBy("host", "path")
-            .agg(F.max(down * F.col("own")).alias("importance"), F.max(F.when(F.col("d") == F.col("depth"), F.col("pages"))).alias("pages")))
+            .agg(F.least(F.lit(1.0), F.max(down * F.col("own") * F.col("weight"))).alias("importance"), F.max(F.when(F.col("d") == F.col("depth"), F.col("pages"))).alias("pages")))
 
 
 def host_of(url: str = "url"):
