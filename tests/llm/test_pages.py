@@ -51,6 +51,15 @@ def test_side_words_in_names_of_content_drop_nothing(spark):
     assert main_texts(spark, plain.format) == [f"text {i} without main" for i in range(8)]
 
 
+def test_entropy_decides_in_articles_and_side_branches_hold(spark):
+    page = ("<main><article><p>own text number {0}</p><div class='box7'><span>Buy our paper now</span></div><p>more of {0}</p></article></main>"
+            "<section class='comments'><article><p>reader {0} says</p></article></section><aside><article>teaser {0}</article></aside>")
+    assert main_texts(spark, page.format) == [f"own text number {i}\n\nmore of {i}" for i in range(8)]
+    assert main_texts(spark, page.format, 2) == [f"own text number {i}\n\nBuy our paper now\n\nmore of {i}" for i in range(2)]
+    # captures of one article that differ elsewhere: its text stays
+    assert main_texts(spark, "<article><p>the one article</p></article><p>seen {0} times</p>".format)[3] == "the one article\n\nseen 3 times"
+
+
 def test_archives(spark):
     got = warc.read(warc.write(pages(spark), max_archive=300)).collect()
     first = {}

@@ -8,10 +8,11 @@ features over pages; logarithms are to the base of the number of pages. The impo
 best node, a tenth less with each level down. Branches below a threshold are removed from pages.
 
 Some labels say what they are: elements for navigation, forms and the like, and those with a class, id or role that as a
-whole is a word for such a part, have no importance, articles have all of it, up to the next such label inside. Such a class, id or role
+whole is a word for such a part, have no importance, nor has what lies in them, articles too. Such a class, id or role
 says nothing on a heading, on html, body, article and main, or on an element that holds the page's main heading or main
-element and most of its text. A class, id or role of which one part is a side word only halves the importance of what
-lies below. Nodes that few distinct pages have cannot be told from content and stay. Exact copies of a page
+element and most of its text. Other labels only weigh: importance is twice as much in an article or main element and half
+as much below a class, id or role of which one part is a side word. Where all that a host's articles hold is alike, the
+article stays as it is. Nodes that few distinct pages have cannot be told from content and stay. Exact copies of a page
 count once.
 
 The tree is never in one place: nodes and features are rows, aggregated with partial sums before each shuffle, so a
@@ -48,7 +49,7 @@ SIDE_WORDS = frozenset("""ad ads advert adverts advertisement banner sponsor spo
     recommended comment comments reply replies disqus login signup search pagination pager""".split())
 #: Elements whose class, id or role is no side word.
 OWN_NAME = frozenset("#page html body article main h1 h2 h3 h4 h5 h6".split())
-SIDE_WEIGHT = 0.5
+MAIN_WEIGHT, SIDE_WEIGHT = 2.0, 0.5
 SEP = "\x1f"
 
 FEATURES = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("feature", pa.int64()), ("n", pa.int64()),
@@ -65,9 +66,9 @@ class Settings(NamedTuple):
 
 class Node:
     """side: the label says that the branch is a side one; weight: what the labels from the root on make of importance.
-    role: 0 in a side branch, 1 in an article or main element."""
+    role: 0 in a side branch, 1 in an article or main element; main: path of the outermost such element."""
 
-    __slots__ = ("tag", "label", "above", "side", "weight", "role", "path", "children", "content", "size", "core")
+    __slots__ = ("tag", "label", "above", "side", "weight", "role", "main", "path", "children", "content", "size", "core")
 
     def __init__(self, tag: str, words: list[str], above: Node | None):
         self.tag = tag
@@ -76,7 +77,7 @@ class Node:
         named = tag not in OWN_NAME
         self.side = named and bool(SIDE_WORDS.intersection(words))
         self.weight = SIDE_WEIGHT if named and SIDE_WORDS & {w for x in words for w in re.split(r"[-_]", x)} else 1.0
-        self.role = None
+        self.role, self.main = None, None
         self.path = self.label if above is None else above.path + SEP + self.label
         self.children: list[str] = []
         self.content: list[str] = []
@@ -84,15 +85,15 @@ class Node:
         self.core = tag in ("h1", "main")  # whether the branch has a main heading or main element
 
     def decide(self, total: int) -> None:
-        """From the node above and the whole page: role and weight."""
+        """From the node above and the whole page: role, main and weight."""
         up = self.above
         wraps = self.core and 2 * self.size > total
-        if self.tag in UNSEEN or self.tag in SIDE_TAGS or self.side and not wraps:
+        if self.tag in UNSEEN or self.tag in SIDE_TAGS or self.side and not wraps or up is not None and up.role == 0:
             self.role = 0
+        elif up is not None and up.role == 1:
+            self.role, self.main = 1, up.main
         elif self.tag in MAIN_TAGS:
-            self.role = 1
-        elif up is not None:
-            self.role = up.role
+            self.role, self.main = 1, self.path
         if wraps:
             self.weight = 1.0
         self.weight = min(self.weight, 1.0 if up is None else up.weight)
@@ -172,11 +173,12 @@ class Page(HTMLParser):
         verdicts: dict[str, bool] = {}
 
         def stays(node: Node) -> bool:
-            if node.role is not None:
-                return node.role == 1
+            if node.role == 0:
+                return False
             if node.path not in verdicts:
                 parts = node.path.split(SEP)
-                verdicts[node.path] = not any(SEP.join(parts[:i]) in noise for i in range(1, len(parts) + 1))
+                top = node.main.count(SEP) + 2 if node.main is not None else 1
+                verdicts[node.path] = node.main in noise or not any(SEP.join(parts[:i]) in noise for i in range(top, len(parts) + 1))
             return verdicts[node.path]
 
         lines = (" ".join("".join(t for n, t in b if stays(n)).split()) for b in self.blocks)
@@ -188,11 +190,11 @@ def _number(text: str) -> int:
 
 
 def _features(host: str, html: str) -> Iterator[tuple]:
-    """Child sequences and content of a page's nodes that no label decides on, counted."""
+    """Child sequences and content of a page's nodes outside side branches, counted."""
     page, counts, weights = _number(html), Counter(), {}
     for n in Page(html).nodes:
-        if n.role is None:
-            weights[n.path] = max(weights.get(n.path, 0.0), n.weight)
+        if n.role != 0:
+            weights[n.path] = max(weights.get(n.path, 0.0), n.weight * (MAIN_WEIGHT if n.role == 1 else 1.0))
             counts[n.path, "look", _number(" ".join(n.children))] += 1
             counts.update((n.path, "text", _number(c)) for c in n.content)
     for (path, kind, feature), c in counts.items():
