@@ -13,6 +13,7 @@ in [0, 10^18) and those between single digits; rows that break this end the job
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,6 +99,13 @@ def with_chunk(df: DataFrame, time: str, width: int) -> DataFrame:
     return df.withColumn(CHUNK, F.floor(F.col(time) / F.lit(width)))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equality that takes nulls for equal; columns of `on` come from the left."""
+    other = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"__r_{c}"]) for c in on])
+    return left.join(other, same, how).drop(*[f"__r_{c}" for c in on])
+
+
 def split_hot(df: DataFrame, keys: list[str], time: str, width: int, max_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
     """Add chunks of `width`, cut finer wherever a key has more than `max_rows` rows in one.
 
@@ -114,7 +122,7 @@ def split_hot(df: DataFrame, keys: list[str], time: str, width: int, max_rows: i
             return out.drop("__w")
         finer = F.greatest(F.lit(1), F.floor(F.col("__w") / F.ceil(F.col("count") / max_rows)))
         crowded = materialize(crowded.select(*keys, CHUNK, finer.alias("__n")), "crowded-chunks")
-        out = out.join(crowded, [*keys, CHUNK], "left").withColumn(
+        out = null_safe_join(out, crowded, [*keys, CHUNK], "left").withColumn(
             CHUNK, F.col(CHUNK) + F.when(F.col("__n").isNull(), 0).otherwise(F.floor((at - F.col(CHUNK)) / F.col("__n")) * F.col("__n"))
         ).withColumn("__w", F.coalesce("__n", "__w")).drop("__n")
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 import bisect
 import json
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,19 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklane.operators.ordered import CHUNK, split_hot, with_chunk
+from tracklane.operators.ordered import CHUNK, null_safe_join, split_hot
 from tracklane.session import materialize
 
 Step = Callable[[pd.DataFrame, list | None], tuple[pd.DataFrame, list | None]]
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join on equality that takes nulls for equal; columns of `on` come from the left."""
-    other = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
-    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"__r_{c}"]) for c in on])
-    return left.join(other, same, how).drop(*[f"__r_{c}" for c in on])
-
-
 def chunked_scan(
     df: DataFrame,
     keys: list[str],
@@ -45,7 +37,8 @@ def chunked_scan(
 ) -> DataFrame:
     """Rows of `df` that `step` keeps. `describe(rows of a chunk)` is JSON-able, and `follow(state, description)` is
     the state in which the chunk leaves `state`."""
-    rows = with_chunk(df.filter(F.col(order[0]).isNotNull()), order[0], width)
+    # stored once: the rows are read three times, and a plan joined to itself would be optimized as a whole
+    rows = split_hot(materialize(df.filter(F.col(order[0]).isNotNull()), "scan-rows"), keys, order[0], width)
     parts, names = [*keys, CHUNK], df.columns
     fields = [rows.schema[c] for c in parts]
     text_of = lambda name: T.StructType([*fields, T.StructField(name, T.StringType())])
