@@ -75,9 +75,21 @@ def op10_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import zlib
+
+    from tracklane.llm import runs
+
+    def repeat(doc_id: int, n: int) -> tuple[int, int] | None:
+        g, tenth = divmod(zlib.crc32(str(doc_id).encode()), 10)
+        return None if tenth else (g % n, 1 + (n - g % n) // (3 + g % 8))
+
+    return runs.digest(runs.find(table(spark, sf_dir, "documents"), repeat))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op3_style_tree, op4_simhash_variants, op5_warc, op6_markov_secrets, op7_best_fit_packing, op8_pretoken_counts, op9_repeated_strings,
-        op10_rare_seed_alignment)
+        op10_rare_seed_alignment, op13_periodic_runs)
 }
 SQL: dict[str, str] = {
     "op5_warc": """
