@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracklane.llm.common import table
 
@@ -75,6 +76,17 @@ def op10_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op12_byte_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tracklane.llm import byte_bpe
+
+    path = _tokenizer("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.decode(ids, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     import zlib
 
@@ -89,7 +101,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op3_style_tree, op4_simhash_variants, op5_warc, op6_markov_secrets, op7_best_fit_packing, op8_pretoken_counts, op9_repeated_strings,
-        op10_rare_seed_alignment, op13_periodic_runs)
+        op10_rare_seed_alignment, op12_byte_bpe_fold, op13_periodic_runs)
 }
 SQL: dict[str, str] = {
     "op5_warc": """
