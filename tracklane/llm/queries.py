@@ -76,6 +76,14 @@ def op10_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op11_prefix_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklane.llm import prefix_trie
+
+    head = F.crc32(F.col("conv_id").cast("string")) % 9
+    turns = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.shared(turns, 5, head, 8)).drop("ka", "kb")
+
+
 def op12_byte_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,9 +109,35 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_rans_token_files, op2_decision_list, op3_style_tree, op4_simhash_variants, op5_warc, op6_markov_secrets, op7_best_fit_packing, op8_pretoken_counts, op9_repeated_strings,
-        op10_rare_seed_alignment, op12_byte_bpe_fold, op13_periodic_runs)
+        op10_rare_seed_alignment, op11_prefix_bands, op12_byte_bpe_fold, op13_periodic_runs)
 }
 SQL: dict[str, str] = {
+    "op11_prefix_bands": """
+        with orig as (
+            select conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first, coalesce(role, '')) as own
+            from conversations where conv_id is not null group by conv_id),
+        crc as (
+            select conv_id, own, xor(list_reduce([ascii(x) for x in string_split(conv_id::varchar, '')], lambda c, b:
+                list_reduce(range(8), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, xor(c, b::bigint)),
+                4294967295::bigint), 4294967295) % 9 as h from orig),
+        rebuilt as (
+            select c.conv_id, case when c.conv_id % 5 = 0 then c.own else list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) end as l
+            from crc c left join orig b on b.conv_id = c.conv_id - c.conv_id % 5),
+        prefix as (
+            select conv_id, d, len(l) = d as ends, l[1:d] as p, case when d > 0 then strlen(l[d].t) else 0 end as bytes
+            from (select conv_id, l, unnest(range(0, len(l) + 1)) as d from rebuilt)),
+        node as (
+            select md5(p::varchar) as k, any_value(p) as p, d, min(conv_id) as conv_id, count(*) as n_convs, max(bytes) as bytes,
+                sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256
+            from prefix group by md5(p::varchar), d),
+        child as (select md5(p[1:d - 1]::varchar) as k, count(*) as n from node where d > 0 group by 1),
+        tree as (select n.*, coalesce(c.n, 0) as n_children from node n left join child c using (k)),
+        total as (
+            select md5(p[1:a]::varchar) as k, sum((n_children = 0)::bigint) as n_leaves, sum((n_convs - 1) * bytes) as saved_tokens
+            from (select *, unnest(range(0, d + 1)) as a from tree) group by 1)
+        select t.conv_id, t.d as depth, u.conv_id as parent_conv_id, t.n_convs, t.n_children, s.n_leaves::bigint as n_leaves,
+            s.saved_tokens::bigint as saved_tokens, t.ends_sha256
+        from tree t join total s using (k) left join tree u on t.d > 0 and u.k = md5(t.p[1:t.d - 1]::varchar)""",
     "op5_warc": """
         with p as (select page_id, coalesce(html, '') as html from pages),
         d as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p),
