@@ -35,12 +35,16 @@ def test_whole_table(spark, library):
     assert none.count() == 0
 
 
-def test_random_texts(spark, library):
+@pytest.mark.parametrize("most", [(300_000, 600_000), (20, 40), (5, 600_000)])
+def test_random_texts(spark, library, monkeypatch, most):
+    monkeypatch.setattr(byte_bpe, "MAX_CHUNKS", most[0])
+    monkeypatch.setattr(byte_bpe, "MAX_WORDS", most[1])
     rng = np.random.default_rng(11)
     parts = ["a", "b", "th", "ing", " ", " ", "  ", "\n", "\t", "'s", "1", "²", "!", "é", "\xa0", "\x1c", "日", ".", "Word", "ß", "\x85", "😀", "़"]
     texts = [(i, "".join(rng.choice(parts, rng.integers(0, 40)))) for i in range(1500)]
-    got = {r.doc_id: ids_of(r) for r in byte_bpe.encode(spark.createDataFrame(texts, "doc_id long, text string"), FILE, P.PATTERN).collect()}
-    assert got == {i: library.encode_ordinary(t) for i, t in texts}
+    rows = byte_bpe.encode(spark.createDataFrame(texts, "doc_id long, text string"), FILE, P.PATTERN, decoded=True, block_chars=3000).collect()
+    assert {r.doc_id: ids_of(r) for r in rows} == {i: library.encode_ordinary(t) for i, t in texts}
+    assert {r.doc_id: bytes(r.decoded).decode() for r in rows} == dict(texts)
 
 
 def test_every_character_is_cut_as_the_library_cuts(spark, library):

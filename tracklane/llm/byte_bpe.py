@@ -1,11 +1,12 @@
 """Byte-level BPE of whole texts by folding ranked merges with higher-order functions over distinct words.
 
-A task cuts its documents into words (matches of the pattern) and numbers the distinct words of a block of about
-BLOCK_CHARS characters. One row per block goes on to Spark's higher-order functions: each distinct word, an array of the ids
-of its bytes, is folded by `aggregate`, one merge a step, the pair with the lowest rank first and of equal ones the leftmost.
-Ranks come from a literal, an array of small maps from a pair of ids to the id that replaces them; a pair's map is found by
-its hash. Ids of words are put back into the order of each document, and decoding concatenates the binary pieces of the ids.
-Nothing is shuffled, and a block is all that a row or a task holds.
+A task cuts its documents into words (matches of the pattern) and numbers them as they are first met. A block of about
+BLOCK_CHARS characters makes one row, which takes the words that are new in the task through Spark's higher-order functions:
+each, an array of the ids of its bytes, is folded by `aggregate`, one merge a step, the pair with the lowest rank first and
+of equal ones the leftmost. Ranks come from a literal, an array of small maps from a pair of ids to the id that replaces
+them; a pair's map is found by its hash. Behind the fold the task keeps the ids of its words, puts them back into the order of
+each document, and decoding concatenates the binary pieces of the ids. Nothing is shuffled: rows pass from one step of a task
+to the next in order. Both sides forget their words together after MAX_WORDS, and chunks of text after MAX_CHUNKS.
 
 A fold copies the word at each step, which grows with the square of its length. Words of more than SHORT bytes are folded
 by rank instead: a step merges all places of the lowest rank at once. Where a merge of that rank could make a pair of a
@@ -20,6 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +30,18 @@ from pyspark.sql import functions as F
 
 from tracklane.llm.common import open_in, text_of
 
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 2 << 20
+MAX_CHUNKS = 300_000
+MAX_WORDS = 600_000
 SHORT = 256
 BUCKETS = 32_768
 #: Rank of a pair that is never merged.
 NONE = (1 << 31) - 1
 
-BLOCK = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("chunks", pa.binary()), ("chunk_sizes", pa.binary()),
+BLOCK = pa.schema([("doc_ids", pa.list_(pa.int64())), ("forget", pa.int32()), ("lengths", pa.binary()), ("chunks", pa.binary()), ("chunk_sizes", pa.binary()),
                    ("chunk_pieces", pa.binary()), ("piece_refs", pa.binary()), ("words", pa.list_(pa.list_(pa.int32())))])
-BLOCK_DDL = ("doc_ids array<long>, lengths binary, chunks binary, chunk_sizes binary, chunk_pieces binary, piece_refs binary, "
+BLOCK_DDL = ("doc_ids array<long>, forget int, lengths binary, chunks binary, chunk_sizes binary, chunk_pieces binary, piece_refs binary, "
              "words array<array<int>>")
-IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 IDS_DDL = "doc_id long, n_tokens long, ids binary"
 
 #: A space between two characters that are not white space: a match never goes on across it.
@@ -180,73 +183,78 @@ def unlike_library() -> str:
     return "".join(c for c in regex.findall(r"[\p{L}\p{N}]", new) if not known.encode_ordinary(c))
 
 
-class _Words:
-    """Chunks of texts and their words, numbered within a block. `other` are characters that are neither letters nor numbers
-    nor white space, whatever `regex` says."""
+#: What a block tells the other side to forget before it.
+KEEP, CHUNKS, WORDS = 0, 1, 2
 
-    def __init__(self, pattern: str, other: str):
+
+class _Cutter:
+    """Cuts texts to chunks and chunks to words, and tells of each what is new.
+
+    `other` are characters that are neither letters nor numbers nor white space, whatever `regex` says.
+    """
+
+    def __init__(self, pattern: str, other: str, ranks: dict[bytes, int]):
         import regex
 
         self.match = regex.compile(pattern)
-        self.other = set(other)
-        self.masked = {ord(c): "\uffff" for c in other}
+        self.other, self.masked = set(other), {ord(c): "\uffff" for c in other}
+        self.ranks = ranks
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.heads: dict[str, int] = {}  # first chunks of texts
         self.rest: dict[str, int] = {}  # others, without the space before them
+        self.odd: set[int] = set()
+        self.words: dict[str, int] = {}
+        self.folded = 0
 
-    def number(self, kept: dict[str, int], chunks: list[str]) -> list[int]:
+    def _number(self, kept: dict[str, int], chunks: list[str], new: list[str]) -> list[int]:
         get, out = kept.get, []
         for c in chunks:
             k = get(c)
             if k is None:
                 k = kept[c] = len(self.heads) + len(self.rest)
+                new.append(c if kept is self.heads else " " + c)
+                if not c or c[0].isspace() or c[-1].isspace():
+                    self.odd.add(k)
             out.append(k)
         return out
 
-    def chunks(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
+    def _split(self, c: str) -> list[str]:
+        if c.isascii() or self.other.isdisjoint(c):
+            return self.match.findall(c)
+        return [c[m.start():m.end()] for m in self.match.finditer(c.translate(self.masked))]
+
+    def block(self, doc_ids: list, texts: list[str]) -> pa.RecordBatch:
+        forget = KEEP
+        if len(self.words) > MAX_WORDS:
+            forget, self.words, self.folded = WORDS, {}, 0
+        if forget or len(self.heads) + len(self.rest) > MAX_CHUNKS:
+            forget, self.heads, self.rest, self.odd = forget or CHUNKS, {}, {}, set()
+        new: list[str] = []
+        lengths, chunks = [], []
         for t in texts:
             first, *others = t.split(" ")
-            out.append(np.array(self.number(self.heads, [first]) + self.number(self.rest, others), np.int32))
-        # texts with other white space around a space are cut anew
-        odd = [k for kept in (self.heads, self.rest) for c, k in kept.items() if not c or c[0].isspace() or c[-1].isspace()]
-        if odd:
-            is_odd = np.zeros(len(self.heads) + len(self.rest), bool)
-            is_odd[odd] = True
-            for i, t in enumerate(texts):
-                if len(out[i]) > 1 and is_odd[out[i]].any():
-                    first, *others = CUT.split(t)
-                    out[i] = np.array(self.number(self.heads, [first]) + self.number(self.rest, others), np.int32)
-        return out
-
-    def pieces(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-        """All words with numbers, the number of words of each chunk, and their numbers."""
-        piece: dict[str, int] = {}
-        found: list[list[int]] = [[]] * (len(self.heads) + len(self.rest))
-        findall, number = self.match.findall, piece.setdefault
-        for kept, before in ((self.heads, ""), (self.rest, " ")):
-            for c, k in kept.items():
-                c = before + c
-                words = findall(c) if c.isascii() or self.other.isdisjoint(c) else [
-                    c[m.start():m.end()] for m in self.match.finditer(c.translate(self.masked))]
-                found[k] = [number(w, len(piece)) for w in words]
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        return piece, sizes, np.fromiter((p for f in found for p in f), np.int32, int(sizes.sum()))
-
-
-def _block(doc_ids: list, texts: list[str], words: _Words, ranks: dict[bytes, int], of_byte: np.ndarray) -> pa.RecordBatch:
-    chunks = words.chunks(texts)
-    piece, sizes, pieces = words.pieces()
-    raw = [p.encode("utf-8", "surrogatepass") for p in piece]
-    refs = np.fromiter((ranks.get(w, -1) for w in raw), np.int32, len(raw))  # a known word is its id, without merges
-    new = [w for w, r in zip(raw, refs.tolist()) if r < 0]
-    refs[refs < 0] = -1 - np.arange(len(new), dtype=np.int32)
-    offsets = np.cumsum([0, *map(len, new)]).astype(np.int32)
-    split = pa.ListArray.from_arrays(pa.array(offsets), pa.array(of_byte[np.frombuffer(b"".join(new), np.uint8)]))
-    packed = [np.array([len(c) for c in chunks], np.int64), np.concatenate(chunks), sizes, pieces, refs]
-    return pa.RecordBatch.from_arrays([
-        pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), pa.array(doc_ids, pa.int64())),
-        *(pa.array([x.tobytes()], pa.binary()) for x in packed),
-        pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), split)], schema=BLOCK)
+            found = self._number(self.heads, [first], new) + self._number(self.rest, others, new)
+            if len(found) > 1 and self.odd and not self.odd.isdisjoint(found):
+                first, *others = CUT.split(t)  # other white space around a space
+                found = self._number(self.heads, [first], new) + self._number(self.rest, others, new)
+            lengths.append(len(found))
+            chunks.extend(found)
+        before, number = len(self.words), self.words.setdefault
+        pieces = [[number(w, len(self.words)) for w in self._split(c)] for c in new]
+        raw = [w.encode("utf-8", "surrogatepass") for w in islice(reversed(self.words), len(self.words) - before)][::-1]
+        refs = np.fromiter((self.ranks.get(w, -1) for w in raw), np.int32, len(raw))  # a known word is its id, without merges
+        fresh = [w for w, r in zip(raw, refs.tolist()) if r < 0]
+        refs[refs < 0] = -1 - self.folded - np.arange(len(fresh), dtype=np.int32)
+        self.folded += len(fresh)
+        offsets = np.cumsum([0, *map(len, fresh)]).astype(np.int32)
+        split = pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.of_byte[np.frombuffer(b"".join(fresh), np.uint8)]))
+        flat = [p for x in pieces for p in x]
+        packed = [np.array(lengths, np.int64), np.array(chunks, np.int32), np.array([len(x) for x in pieces], np.int32),
+                  np.array(flat, np.int32), refs]
+        return pa.RecordBatch.from_arrays([
+            pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), pa.array(doc_ids, pa.int64())),
+            pa.array([forget], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed),
+            pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()), split)], schema=BLOCK)
 
 
 def _spread(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,40 +263,67 @@ def _spread(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[n
     return values[np.repeat(starts[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())], many
 
 
-def _unite(row: dict, words: pa.ListArray) -> pa.RecordBatch:
-    numbers = {c: np.frombuffer(row[c], np.int64 if c == "lengths" else np.int32) for c in BLOCK.names[1:6]}
-    refs = numbers["piece_refs"]
-    offsets = words.offsets.to_numpy().astype(np.int64)
-    made, many = words.values.to_numpy()[offsets[0]:offsets[-1]].astype("<u4"), np.diff(offsets)
-    known = refs >= 0
-    # known words first, then folded ones: both are lists in one row of ids
-    values, sizes = np.concatenate([refs[known].astype("<u4"), made]), np.concatenate([np.ones(known.sum(), np.int64), many])
-    place = np.where(known, np.cumsum(known) - 1, known.sum() - 1 - refs)
-    values, sizes = _spread(values, sizes, place)
-    for lists, which in (("chunk_sizes", "chunk_pieces"), ("lengths", "chunks")):
-        values, sizes = _spread(values, sizes, numbers[which])
-        ends = np.concatenate([[0], np.cumsum(sizes)])  # lists of lists become lists
-        cut = np.concatenate([[0], np.cumsum(numbers[lists].astype(np.int64))])
-        sizes = np.diff(ends[cut])
-    ends, raw = 4 * np.cumsum(sizes), values.tobytes()
-    return pa.RecordBatch.from_arrays([
-        pa.array(row["doc_ids"], pa.int64()), pa.array(sizes, pa.int64()),
-        pa.array([raw[b - 4 * n:b] for b, n in zip(ends.tolist(), sizes.tolist())], pa.binary())], schema=IDS)
-
-
-def encode(docs: DataFrame, rank_file: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+class _Lists:
+    """Lists of numbers in a row, with more added at the end."""
+
+    def __init__(self, dtype: str):
+        self.values, self.sizes = np.empty(0, dtype), np.empty(0, np.int64)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values = np.concatenate([self.values, values.astype(self.values.dtype)])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int64)])
+
+
+class _Uniter:
+    """Keeps the ids of words and chunks as `_Cutter` numbers them, and makes the ids of documents."""
+
+    def __init__(self):
+        self.forget(WORDS)
+
+    def forget(self, what: int) -> None:
+        if what == WORDS:
+            self.folded, self.refs = _Lists("<u4"), np.empty(0, np.int64)
+        if what != KEEP:
+            self.chunks = _Lists("<u4")
+
+    def documents(self, row: dict, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the documents of a block in a row, and how many each has."""
+        self.forget(row["forget"])
+        lengths, chunks, chunk_sizes, pieces, refs = (np.frombuffer(row[c], np.int64 if c == "lengths" else np.int32) for c in BLOCK.names[2:7])
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        self.folded.add(words.values.to_numpy()[offsets[0]:offsets[-1]], np.diff(offsets))
+        self.refs = np.concatenate([self.refs, refs])
+        # words that are known stand for themselves; both kinds are lists in one row
+        ref = self.refs[pieces]
+        known = ref >= 0
+        values = np.concatenate([ref[known].astype("<u4"), self.folded.values])
+        sizes = np.concatenate([np.ones(known.sum(), np.int64), self.folded.sizes])
+        values, sizes = _spread(values, sizes, np.where(known, np.cumsum(known) - 1, known.sum() - 1 - ref))
+        self.chunks.add(values, _summed(sizes, chunk_sizes))
+        values, sizes = _spread(self.chunks.values, self.chunks.sizes, chunks)
+        return values, _summed(sizes, lengths)
+
+
+def _summed(sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Sums of so many of `sizes` in a row as `groups` says."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return np.diff(ends[np.concatenate([[0], np.cumsum(groups.astype(np.int64))])])
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, *, decoded: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens and ids (binary, little-endian unsigned 32-bit) of every row of `docs` (doc_id, text).
 
     Each match of `pattern` is encoded by itself: as it stands if it is known, else by merges. `pattern` must not match across
-    a single space between two characters that are not white space.
+    a single space between two characters that are not white space. `decoded` adds a column with the bytes of the ids, as
+    `decode` gives them, in the same pass.
     Null and empty texts have no ids. Repeated rows and null doc_ids are rows of their own. No rows: no rows. Other columns
     are ignored.
     """
     vocabulary, other = Vocabulary.read(rank_file), unlike_library()
+    ddl = IDS_DDL + (", decoded binary" if decoded else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = Vocabulary.read(rank_file).ranks
-        of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        cutter = _Cutter(pattern, other, Vocabulary.read(rank_file).ranks)
         doc_ids, texts, size = [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -296,20 +331,36 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, block_chars: int = BLO
                 texts.append(text)
                 size += len(text) + 64
                 if size >= block_chars:
-                    yield _block(doc_ids, texts, _Words(pattern, other), ranks, of_byte)
+                    yield cutter.block(doc_ids, texts)
                     doc_ids, texts, size = [], [], 0
         if texts:
-            yield _block(doc_ids, texts, _Words(pattern, other), ranks, of_byte)
+            yield cutter.block(doc_ids, texts)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uniter, pieces = _Uniter(), Vocabulary.read(rank_file).bytes_of_ids() if decoded else None
         for b in batches:
-            plain = b.select(BLOCK.names[:6]).to_pylist()
-            for i, row in enumerate(plain):
-                ids = _unite(row, b.column("words").slice(i, 1).flatten())
-                yield from (ids.slice(k, 500) for k in range(0, len(ids), 500))
+            for i, row in enumerate(b.select(BLOCK.names[:7]).to_pylist()):
+                values, sizes = uniter.documents(row, b.column("words").slice(i, 1).flatten())
+                ids = np.split(values, np.cumsum(sizes)[:-1])
+                for k in range(0, len(ids), 500):
+                    part = [x.tobytes() for x in ids[k:k + 500]]
+                    columns = [pa.array(row["doc_ids"][k:k + 500], pa.int64()), pa.array(sizes[k:k + 500]), pa.array(part, pa.binary())]
+                    if decoded:
+                        columns.append(pa.array([_bytes_of(x, pieces) for x in part], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"][:len(columns)])
 
     blocks = docs.select("doc_id", text_of("text").alias("text")).mapInArrow(cut, BLOCK_DDL)
-    return blocks.withColumn("words", fold(F.col("words"), vocabulary)).mapInArrow(unite, IDS_DDL)
+    return blocks.withColumn("words", fold(F.col("words"), vocabulary)).mapInArrow(unite, ddl)
+
+
+def _bytes_of(ids: bytes, pieces: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+    """The binary pieces of ids, concatenated."""
+    raw, starts, sizes = pieces
+    x = np.frombuffer(ids, "<u4")
+    if len(x) and (int(x.max()) >= len(sizes) or not sizes[x].all()):
+        raise ValueError("an id that the vocabulary has not")
+    many = sizes[x]
+    return raw[np.repeat(starts[x] - (np.cumsum(many) - many), many) + np.arange(many.sum())].tobytes()
 
 
 def decode(encoded: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -317,22 +368,14 @@ def decode(encoded: DataFrame, rank_file: str, ids: str = "ids", out: str = "dec
 
     Null ids: null. Ids that the vocabulary has not are an error.
     """
-    schema = encoded.withColumn(out, F.lit(None).cast("binary")).schema
+    schema = encoded.drop(out).withColumn(out, F.lit(None).cast("binary")).schema
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, starts, sizes = Vocabulary.read(rank_file).bytes_of_ids()
+        pieces = Vocabulary.read(rank_file).bytes_of_ids()
         for b in batches:
-            found = []
-            for x in b.column(at).to_pylist():
-                if x is None:
-                    found.append(None)
-                    continue
-                x = np.frombuffer(x, "<u4")
-                if len(x) and (int(x.max()) >= len(sizes) or not sizes[x].all()):
-                    raise ValueError("an id that the vocabulary has not")
-                found.append(_spread(raw, sizes, x)[0].tobytes())
-            columns = [c for n, c in zip(b.schema.names, b.columns) if n != out]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=[*(n for n in b.schema.names if n != out), out])
+            found = [None if x is None else _bytes_of(x, pieces) for x in b.column(at).to_pylist()]
+            kept = [(n, c) for n, c in zip(b.schema.names, b.columns) if n != out]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(found, pa.binary())], names=[*(n for n, _ in kept), out])
 
     return encoded.mapInArrow(run, schema)

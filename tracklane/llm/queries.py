@@ -90,8 +90,8 @@ def op12_byte_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklane.llm import byte_bpe
 
     path = _tokenizer("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return byte_bpe.decode(ids, path).select(
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
+    return ids.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
