@@ -41,12 +41,8 @@ def kick_event(possession: DataFrame, duels: DataFrame, pressure: DataFrame, p:
     return done(kicks.withColumn("attacked", active[0] | active[1]))
 
 
-def pass_shot_match(kicks: DataFrame, changes: DataFrame, areas: DataFrame, kickoffs: DataFrame, p: Params) -> DataFrame:
-    """Each kick with the first receipt, or entry of the ball into an outside area, that follows in time.
-
-    All streams are sparse here; one union and one scan give every second event the latest earlier kick
-    and the playing sides, then the first second event of each kick is kept by a plain minimum.
-    """
+def second_events(changes: DataFrame, areas: DataFrame, p: Params) -> DataFrame:
+    """What can end a pass: receipts (kind 1), and entries of the ball into an outside area (kind 0)."""
     receipts = changes.filter("player_id is not null").select(
         MATCH, TS, SEQ, F.lit(1).alias("kind"), F.lit("").alias("area_id"),
         F.col("player_id").alias("receiver"), F.col("team_id").alias("receiver_team"),
@@ -57,7 +53,30 @@ def pass_shot_match(kicks: DataFrame, changes: DataFrame, areas: DataFrame, kick
     entries = entries.select(
         MATCH, TS, SEQ, F.lit(0).alias("kind"), "area_id", *[F.col(c).alias(f"end_{c}") for c in "xyz"]
     )
-    second = receipts.unionByName(entries, allowMissingColumns=True).withColumn("__rank", F.lit(1))
+    return receipts.unionByName(entries, allowMissingColumns=True)
+
+
+SECOND_COLUMNS = [TS, SEQ, "kind", "area_id", "receiver", "receiver_team", "end_x", "end_y", "end_z", "receiver_nearer", "end_zone", "left_team"]
+
+
+def matched_columns() -> list[Column]:
+    """Columns of a matched kick, from those of its second event and the struct `kick`."""
+    return [
+        F.col(MATCH), F.col(TS), F.col(SEQ), F.col(f"kick.{TS}").alias("kick_ts"), *[F.col(c) for c in SECOND_COLUMNS[2:]],
+        F.col("kick.player_id").alias("kicker"), F.col("kick.team_id").alias("kicker_team"),
+        *[F.col(f"kick.player_{c}").alias(f"kick_{c}") for c in "xyz"],
+        F.col("kick.num_nearer").alias("kicker_nearer"), F.col("kick.attacked").alias("attacked"),
+        F.col("kick.zone").alias("kick_zone"),
+    ]
+
+
+def pass_shot_match(kicks: DataFrame, changes: DataFrame, areas: DataFrame, kickoffs: DataFrame, p: Params) -> DataFrame:
+    """Each kick with the first receipt, or entry of the ball into an outside area, that follows in time.
+
+    All streams are sparse here; one union and one scan give every second event the latest earlier kick
+    and the playing sides, then the first second event of each kick is kept by a plain minimum.
+    """
+    second = second_events(changes, areas, p).withColumn("__rank", F.lit(1))
     kick_cols = [c for c in kicks.columns if c != MATCH]
     kick = kicks.select(MATCH, TS, SEQ, F.struct(*kick_cols).alias("__kick"), F.lit(2).alias("__rank"))
     sides = kickoffs.select(MATCH, TS, SEQ, F.col("left_team").alias("__side"), F.lit(0).alias("__rank"))
@@ -68,21 +87,10 @@ def pass_shot_match(kicks: DataFrame, changes: DataFrame, areas: DataFrame, kick
         (F.col("__rank") == 1) & F.col("kick").isNotNull() & F.col("left_team").isNotNull()
         & (F.col(TS) > F.col(f"kick.{TS}")) & (F.col(TS) - F.col(f"kick.{TS}") <= p.pass_max_ms)
     )
-    second_cols = [TS, SEQ, "kind", "area_id", "receiver", "receiver_team", "end_x", "end_y", "end_z",
-                   "receiver_nearer", "end_zone", "left_team"]
     first = found.groupBy(MATCH, F.col(f"kick.{TS}").alias("kick_ts"), F.col(f"kick.{SEQ}").alias("kick_seq")).agg(
-        F.min(F.struct(*second_cols, "kick")).alias("__f")
-    )
-    return first.select(
-        MATCH, "kick_ts", "__f.*",
-    ).select(
-        MATCH, TS, SEQ, "kick_ts", "kind", "area_id", "receiver", "receiver_team", "end_x", "end_y", "end_z",
-        "receiver_nearer", "end_zone", "left_team",
-        F.col("kick.player_id").alias("kicker"), F.col("kick.team_id").alias("kicker_team"),
-        *[F.col(f"kick.player_{c}").alias(f"kick_{c}") for c in "xyz"],
-        F.col("kick.num_nearer").alias("kicker_nearer"), F.col("kick.attacked").alias("attacked"),
-        F.col("kick.zone").alias("kick_zone"),
+        F.min(F.struct(*SECOND_COLUMNS, "kick")).alias("__f")
     )
+    return first.select(MATCH, "__f.*").select(*matched_columns())
 
 
 def outcome(p: Params) -> Column:

@@ -24,7 +24,8 @@ from tracklane.sources import streams
 from tracklane.sources.elements import elements, event_columns, keyed_events
 from tracklane.sources.trace import positions
 from tracklane.streaming import keyed as live
-from tracklane.streaming.run import as_stream, run_available
+from tracklane.streaming import ordered as ordered_live
+from tracklane.streaming.run import as_stream, out_of_order, run_available
 
 # The trace has 5 readings a second instead of 45: histories and the throw-in window follow it. Its
 # matches last 29 s, so 10 s chunks let every running value cross chunk borders.
@@ -96,8 +97,12 @@ def ev(spark, sf_dir):
 @query
 def read_stream(spark, sf_dir):
     e = elements(spark, sf_dir)
-    named = [e.filter(F.col("stream_name") == n).withColumn("topic", F.lit(n)) for n in ("click", "view")]
-    return keyed.union_streams(*named).select("topic", MATCH, TS, SEQ)
+    path = f"{work_dir(spark)}/topics-{uuid.uuid4().hex}"
+    for name in ("click", "view", "error"):
+        streams.write_records(e.filter(F.col("stream_name") == name).select(MATCH, TS, SEQ, "phase"), name, path, key=MATCH)
+    rows = streams.read_stream(
+        spark, ["click", "view"], path=path, schema=T.StructType([e.schema[c] for c in (MATCH, TS, SEQ, "phase")]), encoded=True, files_per_trigger=1)
+    return run_available(rows, "topics").filter(F.col("key") == F.col(MATCH)).select("topic", MATCH, TS, SEQ)
 
 
 @match_query
@@ -328,8 +333,13 @@ def phase_events(spark, sf_dir):
 def initial_statistics(m):
     entries = m.areas.filter((F.col("object_id") == m.p.ball) & F.col("area_id").isin(*passes.OUTSIDE_AREAS))
     first = keyed.union_streams(m.changes.select(MATCH, TS), entries.select(MATCH, TS))
-    out = [keyed.initial_statistics(first, MATCH, m.p.items, s) for s in ("pass_statistics", "shot_statistics")]
-    return keyed.union_streams(*out)
+    successful = m.passes.filter("outcome = 'successful_pass'")
+    gates = {
+        "pass_statistics": first, "shot_statistics": first, "set_play_statistics": m.states.filter(F.col("object_id") == m.p.ball),
+        "pass_sequence_statistics": successful, "speed_level_statistics": speed.players(m.states, m.p),
+        "dribbling_statistics": speed.players(m.states, m.p),
+    }
+    return keyed.union_streams(*[keyed.initial_statistics(rows, MATCH, m.p.items, s) for s, rows in gates.items()])
 
 
 @match_query
@@ -659,6 +669,46 @@ def stream_phase_events(spark, sf_dir):
     return out.select("user_id", SEQ, "identity", "phase", "event_no")
 
 
+#: Streams below arrive up to this much out of order; the key of the row that ends them is no key of the data.
+LATE_MS, END = 1500, {MATCH: "end", SEQ: 0}
+
+
+@query
+def stream_asof_join(spark, sf_dir):
+    e = ev(spark, sf_dir).select("user_id", TS, SEQ, "event_type", "value")
+    mixed = out_of_order(e, "events", 2 * HOUR, end={"user_id": -1, SEQ: 0, "event_type": "purchase"})
+    clicks = mixed.filter("event_type = 'click'")
+    bought = mixed.filter("event_type = 'purchase'").select("user_id", TS, SEQ, "value")
+    out = ordered_live.asof_join_stream(bought, clicks, USER, {"click_seq": F.col(SEQ), "click_value": F.col("value")}, late_ms=2 * HOUR)
+    return run_available(out, "asof").filter("user_id >= 0")
+
+
+@match_query
+def stream_snapshot_asof(m):
+    rows = m.states.select(MATCH, TS, SEQ, "object_id", "x", "y", "z")
+    source = out_of_order(rows, "states", LATE_MS, end=END)
+    out = ordered_live.snapshot_stream(source, m.p.roster, ["x", "y", "z"], trigger=F.col("object_id") == m.p.ball, late_ms=LATE_MS)
+    return run_available(out, "snapshots").select(MATCH, TS, SEQ, F.explode("objects").alias("o")).select(MATCH, TS, SEQ, "o.*")
+
+
+@match_query
+def stream_pass_shot_match(m):
+    marks = {"changes": {"player_id": "end"}, "areas": {"object_id": m.p.ball, "in_area": True, "area_id": passes.OUTSIDE_AREAS[0]}}
+    tables = {"kicks": m.kicks, "changes": m.changes, "areas": m.areas, "kickoffs": m.kickoffs}
+    sources = [out_of_order(t, n, LATE_MS, end={**END, **marks.get(n, {})}) for n, t in tables.items()]
+    out = run_available(ordered_live.pass_shot_match_stream(*sources, m.p, late_ms=LATE_MS), "passes")
+    return out.filter(F.col(MATCH) != "end").select(MATCH, TS, SEQ, "kick_ts", "kicker", "receiver", "area_id")
+
+
+@match_query
+def stream_heatmap_interval(m):
+    rows = m.states.select(MATCH, TS, SEQ, "object_id", "team_id", "x", "y", "field_length", "field_width")
+    inside = {"object_id": m.p.roster[0][0], "team_id": "end", "x": 0.0, "y": 0.0, "field_length": 105.0, "field_width": 68.0}
+    source = out_of_order(rows, "states", LATE_MS, end={**END, **inside})
+    out = run_available(ordered_live.heatmap_interval_stream(source, m.p, late_ms=LATE_MS), "intervals")
+    return out.filter(F.col(MATCH) != "end")
+
+
 @match_query
 def stream_heatmap_second(m):
     rows = live.heatmap_stream(as_stream(m.states, files_per_trigger=2), m.p, late=None)

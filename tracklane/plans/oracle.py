@@ -423,9 +423,15 @@ FINALS: dict[str, str] = {
         where p is distinct from event_type""",
     "deadband": "select user_id, generation_ts, seq, value, level from evband",
     "phase_events": "select user_id, seq, who as identity, phase, event_no from evphase",
-    "initial_statistics": f"""select match_id, generation_ts, s.s as statistics, item from (select match_id, min(generation_ts) generation_ts from (
-        select match_id, generation_ts from ch union all select match_id, generation_ts from ae where object_id = 'BALL' and area_id in ({_OUT})) group by 1),
-        (values ('pass_statistics'), ('shot_statistics')) s(s), items""",
+    "initial_statistics": f"""select match_id, generation_ts, statistics, item from (
+        select s as statistics, match_id, min(generation_ts) generation_ts from (
+            select unnest(['pass_statistics', 'shot_statistics']) s, match_id, generation_ts from (
+                select match_id, generation_ts from ch
+                union all select match_id, generation_ts from ae where object_id = 'BALL' and area_id in ({_OUT}))
+            union all select 'set_play_statistics', match_id, generation_ts from bl
+            union all select 'pass_sequence_statistics', match_id, generation_ts from pa where outcome = 'successful_pass'
+            union all select unnest(['speed_level_statistics', 'dribbling_statistics']), match_id, generation_ts from pr)
+        group by all), items""",
     "item_rollup": """select match_id, seq, item, count(*) over (partition by match_id, item order by seq) as kicks from (
         select match_id, seq, unnest([player_id, team_id]) as item from kk)""",
     "field_object_state": f"""select match_id, generation_ts, seq, object_id, team_id, {', '.join(_zero(c) for c in ('x', 'y', 'z', 'vx', 'vy', 'vz', 'vabs'))} from st""",
@@ -519,7 +525,8 @@ phases("evphase", "select *, case when value >= 20 then case when k < 50 then 'l
 
 
 # a stream over all files gives what the table gives
-for _live in ("debounce", "deadband", "emit_on_change", "phase_events", "heatmap_second"):
+for _live in ("debounce", "deadband", "emit_on_change", "phase_events", "heatmap_second", "asof_join", "snapshot_asof", "pass_shot_match",
+              "heatmap_interval"):
     FINALS[f"stream_{_live}"] = FINALS[_live]
 
 

@@ -11,6 +11,9 @@ from tracklane.operators.ordered import CHUNK
 from tracklane.schemas import INPUT_STREAMS
 
 
+RECORD = "key string, value string, offset long, append_ts long"
+
+
 def read_stream(
     spark: SparkSession,
     names: list[str],
@@ -19,36 +22,46 @@ def read_stream(
     path: str | None = None,
     servers: str | None = None,
     streaming: bool = True,
+    encoded: bool = False,
     files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Elements of the named streams, from `path/<name>` parquet folders or from broker topics.
+    """Elements of the named streams, from `path/<name>` parquet folders or from broker topics, as one frame.
 
     Each row has `topic`, `append_ts` (ms) and `offset` beside the columns of `schema`; files carry them
-    as columns if they have them. Topics hold the key as text and the value as JSON.
+    as columns if they have them. Topics, and files with `encoded`, hold records: the key as text and the value as JSON,
+    which is decoded by `schema`. A value that is not of the schema gives nulls in its columns.
     """
     if servers:
         reader = (spark.readStream if streaming else spark.read).format("kafka")
         raw = reader.option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(names)).load()
-        value = F.from_json(F.col("value").cast("string"), schema)
-        return raw.select(
-            "topic", "offset", F.unix_millis("timestamp").alias("append_ts"), "timestampType",
-            F.col("key").cast("string").alias("key"), value.alias("v"),
-        ).select("topic", "offset", "append_ts", "timestampType", "key", "v.*")
+        return _decoded(raw.withColumn("append_ts", F.unix_millis("timestamp")), schema, "timestampType")
     parts = []
     for name in names:
         if streaming:
-            reader = spark.readStream.schema(schema)
+            reader = spark.readStream
             if files_per_trigger:
                 reader = reader.option("maxFilesPerTrigger", files_per_trigger)
         else:
-            reader = spark.read.schema(schema)
-        parts.append(reader.parquet(f"{path}/{name}").withColumn("topic", F.lit(name)))
+            reader = spark.read
+        rows = reader.schema(RECORD if encoded else schema).parquet(f"{path}/{name}").withColumn("topic", F.lit(name))
+        parts.append(_decoded(rows, schema) if encoded else rows)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _decoded(records: DataFrame, schema: T.StructType, *more: str) -> DataFrame:
+    kept = ["topic", "offset", "append_ts", *more, F.col("key").cast("string").alias("key")]
+    return records.select(*kept, F.from_json(F.col("value").cast("string"), schema).alias("v")).select(*kept[:-1], "key", "v.*")
+
+
+def write_records(df: DataFrame, name: str, path: str, *, key: str, append_ts: str = "generation_ts", offset: str = "seq") -> None:
+    """Append rows as records to the folder of a topic: key as text, all columns as JSON."""
+    df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"), F.col(offset).cast("long").alias("offset"),
+              F.col(append_ts).cast("long").alias("append_ts")).write.mode("append").parquet(f"{path}/{name}")
+
+
 def check_output(name: str) -> None:
     if name in INPUT_STREAMS:
         raise ValueError(f"{name} is an input stream and may not be written")
