@@ -34,23 +34,29 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     m = catalog.match(spark, sf_dir)
-    stages, times = {}, {}
-    for name in STAGES:
-        start = time.perf_counter()
-        getattr(m, name)
-        stages[name] = round(time.perf_counter() - start, 3)
-        print(f"stage {name} {stages[name]}", file=sys.stderr)
-    for name in QUERIES:
-        start = time.perf_counter()
-        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
-        print(f"query {name} {times[name]}", file=sys.stderr)
-    total = round(sum(stages.values()) + sum(times.values()), 3)
-    readings = m.states.count()
-    print(json.dumps({
-        "metric": "total_seconds", "value": total, "unit": "sec", "queries": times, "stages": stages,
-        "readings_per_sec_all_stages": round(readings / sum(stages.values())), "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
-    }))
+    stages, times, failed, rate = {}, {}, None, None
+    try:
+        for name in STAGES:
+            start = time.perf_counter()
+            getattr(m, name)
+            stages[name] = round(time.perf_counter() - start, 3)
+            print(f"stage {name} {stages[name]}", file=sys.stderr)
+        for name in QUERIES:
+            start = time.perf_counter()
+            catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - start, 3)
+            print(f"query {name} {times[name]}", file=sys.stderr)
+        rate = round(m.states.count() / sum(stages.values()))
+    except Exception as e:  # what was measured before is printed, with the name of what failed
+        failed = f"{name}: {type(e).__name__}"
+        raise
+    finally:
+        total = round(sum(stages.values()) + sum(times.values()), 3)
+        print(json.dumps({
+            "metric": "total_seconds", "value": total, "unit": "sec", "queries": times, "stages": stages,
+            "readings_per_sec_all_stages": rate, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
+            **({"failed": failed} if failed else {}),
+        }))
     spark.stop()
 
 

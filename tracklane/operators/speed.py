@@ -13,7 +13,7 @@ from tracklane.functions.geometry import distance
 from tracklane.operators.asof import MATCH, ORDER, SEQ, TS, asof_join, snapshot_asof
 from tracklane.operators.keyed import active_key_ticks, emit_on_change, item_rollup
 from tracklane.operators.ordered import Prev, Total, scan
-from tracklane.operators.stateful import stateful_scan
+from tracklane.operators.stateful import chunked_scan
 from tracklane.params import Params
 from tracklane.session import materialize
 
@@ -109,6 +109,67 @@ def _dribble(p: Params):
     return step
 
 
+def _dribble_chunk(p: Params):
+    """A chunk of holder rows as a function of the state before it, which is one of three: nobody, a waiter since some time,
+    or a dribbler with start, length and position.
+
+    - From nobody it leaves one state.
+    - A waiter matters only if the chunk's first row of a holder is the waiter's and fast; then the dribbling starts at the first
+      of the waiter's rows that is late enough, which is at most one row after the waiting time from the first. For each such
+      row the description has the state that follows, and one for none of them.
+    - A dribbler without a row in the chunk stays. Of others it has the state after their dribbling has ended or, if it goes
+      on, the first and last position and the length between.
+    """
+    step = _dribble(p)
+    no_one = [None, None, 0.0, None, None, None]
+
+    def run(pdf: pd.DataFrame, state: list) -> list:
+        return step(pdf, list(state))[1]
+
+    def describe(pdf: pd.DataFrame) -> dict:
+        own = pdf[pdf["object_id"] == pdf["holder_player"]]
+        said = {"idle": run(pdf, no_one), "first": None, "who": {}}
+        if len(own):
+            first = own["object_id"].iloc[0]
+            said["other"] = run(pdf, [*no_one[:4], "", 0])  # a waiter that has no row here: ids are not empty
+            rows = own[(own["object_id"] != first) | ~(own["vabs"] >= p.dribble_speed)]
+            run_rows = own if rows.empty else own.loc[:rows.index[0]].iloc[:-1]
+            times = run_rows[TS].tolist()
+            said["first"] = first
+            starts = [t for t in dict.fromkeys(times)]
+            enough = next((i for i, t in enumerate(starts) if t > starts[0] + p.dribble_ms), len(starts) - 1) if starts else -1
+            said["starts"] = [[t, run(pdf, [*no_one[:4], first, t - p.dribble_ms - 1])] for t in starts[:enough + 1]]
+            # none of these is late enough: the waiting ends with the run, or goes on
+            said["stay"] = run(pdf, [*no_one[:4], first, times[-1]]) if times else said["other"]
+            said["waits"] = bool(times) and said["stay"][0] is None and said["stay"][4:] == [first, times[-1]] and rows.empty
+        for who, mine in pdf.groupby("object_id", sort=False):
+            here = mine[["x", "y", "z"]].iloc[0].tolist()
+            left = run(pdf, [who, -1, 0.0, here, None, None])
+            goes_on = left[0] == who and left[1] == -1
+            said["who"][who] = [None, here, left[2], left[3]] if goes_on else [left]
+        return said
+
+    def follow(state: list | None, said: dict) -> list:
+        who, start, length, at, waiter, since = state or no_one
+        if who is not None:
+            then = said["who"].get(who)
+            if then is None:
+                return state
+            if then[0] is not None:
+                return then[0]
+            return [who, start, length + math.dist(at, then[1]) + then[2], then[3], None, None]
+        if waiter is None:
+            return said["idle"]
+        if said["first"] is None:
+            return state
+        if said["first"] != waiter:
+            return said["other"]
+        late = next((s for t, s in said["starts"] if t - since > p.dribble_ms), None)
+        return late or ([*no_one[:4], waiter, since] if said["waits"] else said["stay"])
+
+    return describe, follow
+
+
 def dribbling_event(states: DataFrame, changes: DataFrame, p: Params) -> DataFrame:
     """START after the holder was fast for long enough, ACTIVE while fast, END when slow or the ball is lost.
 
@@ -120,7 +181,7 @@ def dribbling_event(states: DataFrame, changes: DataFrame, p: Params) -> DataFra
     mine = F.coalesce(F.col("holder_player") == F.col("object_id"), F.lit(False))
     held = scan(held, [MATCH, "object_id"], ORDER, p.chunk_ms, Prev("__was", mine))
     sparse = held.filter(mine | F.coalesce("__was", F.lit(False))).drop("__was", "__chunk")
-    rows = stateful_scan(sparse, [MATCH], ORDER, p.chunk_ms, _dribble(p), DRIBBLING)
+    rows = chunked_scan(sparse, [MATCH], ORDER, p.chunk_ms, _dribble(p), *_dribble_chunk(p), schema=DRIBBLING, max_rows=20_000)
     numbered = scan(rows, [MATCH], ORDER, p.chunk_ms, Total("event_no", (F.col("phase") == "START").cast("bigint")))
     velocity = F.when(F.col("phase") == "START", 0.0).when(F.col("duration") > 0, F.col("length") / F.col("duration") * 1000)
     return numbered.select(*DRIBBLING.fieldNames(), velocity.alias("velocity"), "event_no")

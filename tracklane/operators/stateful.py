@@ -1,26 +1,26 @@
 """Greedy sequential rules (the next result depends on the last accepted row) over keyed rows.
 
-Every key is cut into time chunks that run side by side, whatever its size. A chunk does not know the state it starts
-from, so a first pass describes it as a function of that state; a second composes these descriptions in order, one row
-per chunk; a third runs the rule in each chunk from the state that is now known. That is exact, lazy, and three
-passes for any number of chunks. Nulls in keys are a key of their own; rows without a time take no part.
-
-Rules without such a description (`stateful_scan`) run key by key, hot keys in rounds.
+Every key is cut into time chunks that run side by side, whatever its size; chunks of more rows than stated are cut finer.
+A chunk does not know the state it starts from, so a first pass describes it as a function of that state; a second composes
+these descriptions in order, key by key, as they stream through a task, one in memory at a time; a third runs the rule in
+each chunk from the state that is now known. That is exact and three passes for any number of chunks, without rounds.
+A description holds what a state at the chunk's start can reach first and no more, so it is bounded by a chunk. Nulls in
+keys are a key of their own; rows without a time take no part.
 """
 
 from __future__ import annotations
 
 import bisect
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklane.operators.ordered import CHUNK, null_safe_join, split_hot
+from tracklane.operators.ordered import CHUNK, MAX_CHUNK_ROWS, null_safe_join, split_hot
 from tracklane.session import materialize
 
 Step = Callable[[pd.DataFrame, list | None], tuple[pd.DataFrame, list | None]]
@@ -32,14 +32,20 @@ def chunked_scan(
     order: list[str],
     width: int,
     step: Step,
-    describe: Callable[[pd.DataFrame], list],
-    follow: Callable[[list | None, list], list | None],
+    describe: Callable[[pd.DataFrame], list | dict],
+    follow: Callable[[list | None, list | dict], list | None],
+    *,
+    schema: T.StructType | None = None,
+    max_rows: int = MAX_CHUNK_ROWS,
 ) -> DataFrame:
-    """Rows of `df` that `step` keeps. `describe(rows of a chunk)` is JSON-able, and `follow(state, description)` is
-    the state in which the chunk leaves `state`."""
+    """What `step` makes of the rows of `df`: rows of `schema`, that of `df` if none is given.
+
+    `describe(rows of a chunk)` is JSON-able, and `follow(state, description)` is the state in which the chunk leaves `state`.
+    """
+    schema = schema or df.schema
     # stored once: the rows are read three times, and a plan joined to itself would be optimized as a whole
-    rows = split_hot(materialize(df.filter(F.col(order[0]).isNotNull()), "scan-rows"), keys, order[0], width)
-    parts, names = [*keys, CHUNK], df.columns
+    rows = split_hot(materialize(df.filter(F.col(order[0]).isNotNull()), "scan-rows"), keys, order[0], width, max_rows)
+    parts, names = [*keys, CHUNK], schema.fieldNames()
     fields = [rows.schema[c] for c in parts]
     text_of = lambda name: T.StructType([*fields, T.StructField(name, T.StringType())])
 
@@ -47,12 +53,17 @@ def chunked_scan(
         said = json.dumps(describe(pdf.sort_values(order, kind="stable")))
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in parts}, "__said": [said]})
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, before = pdf.sort_values(CHUNK), None, []
-        for said in pdf["__said"]:
-            before.append(None if state is None else json.dumps(state))
-            state = follow(state, json.loads(said))
-        return pdf[parts].assign(__in=before)
+    def compose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = object(), None
+        for pdf in frames:
+            before = []
+            for *values, said in zip(*[pdf[c] for c in keys], pdf["__said"]):
+                now = tuple(None if pd.isna(v) else v for v in values)
+                if now != key:
+                    key, state = now, None
+                before.append(None if state is None else json.dumps(state))
+                state = follow(state, json.loads(said))
+            yield pdf[parts].assign(__in=before)
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         text = pdf["__in"].iloc[0]
@@ -60,71 +71,8 @@ def chunked_scan(
         return step(pdf.drop(columns="__in").sort_values(order, kind="stable"), state)[0][names]
 
     said = rows.groupBy(*parts).applyInPandas(summary, text_of("__said"))
-    states = said.groupBy(*keys).applyInPandas(compose, text_of("__in"))
-    return null_safe_join(rows, states, parts).groupBy(*parts).applyInPandas(emit, df.schema)
-
-
-def stateful_scan(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    width: int,
-    step: Step,
-    schema: T.StructType,
-    *,
-    max_rows: int = 200_000,
-) -> DataFrame:
-    """Run `step(rows in order, state) -> (output rows, state)` over every key; state is JSON-able.
-
-    A key above `max_rows` is cut into chunks; those that started from another state than their predecessor left run
-    again until nothing changes. The result is that of the sequential run, nulls included.
-    """
-    names = schema.fieldNames()
-    df = df.filter(F.col(order[0]).isNotNull())
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(pdf.sort_values(order, kind="stable"), None)[0][names]
-
-    hot = df.groupBy(*keys).count().filter(F.col("count") > max_rows).select(*keys)
-    if hot.isEmpty():
-        return df.groupBy(*keys).applyInPandas(whole, schema)
-
-    mark = materialize(hot, "hot-keys").withColumn("__hot", F.lit(True))
-    rows = null_safe_join(df, mark, keys, "left")
-    busy = split_hot(rows.filter("__hot"), keys, order[0], width, max_rows)
-    calm = rows.filter("__hot is null").withColumn(CHUNK, F.lit(0).cast("bigint"))
-    rows = materialize(busy.unionByName(calm).drop("__hot"), "stateful-rows")
-    parts = [*keys, CHUNK]
-    bound_schema = T.StructType(
-        [rows.schema[c] for c in parts]
-        + [T.StructField("__in", T.StringType()), T.StructField("__out", T.StringType())]
-    )
-
-    def state_of(pdf: pd.DataFrame) -> list | None:
-        text = pdf["__in"].iloc[0]
-        return json.loads(text) if isinstance(text, str) else None
-
-    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = step(pdf.drop(columns="__in").sort_values(order, kind="stable"), state_of(pdf))[1]
-        first = {c: [pdf[c].iloc[0]] for c in [*parts, "__in"]}
-        return pd.DataFrame({**first, "__out": [None if state is None else json.dumps(state)]})
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(pdf.drop(columns="__in").sort_values(order, kind="stable"), state_of(pdf))[0][names]
-
-    start = rows.withColumn("__in", F.lit(None).cast("string"))
-    bounds = materialize(start.groupBy(*parts).applyInPandas(leave, bound_schema), "stateful-bounds")
-    before = Window.partitionBy(*keys).orderBy(CHUNK)
-    while True:
-        wanted = bounds.withColumn("__want", F.lag("__out").over(before))
-        stale = wanted.filter(~F.col("__want").eqNullSafe(F.col("__in")))
-        if stale.isEmpty():
-            break
-        again = null_safe_join(rows, stale.select(*parts, F.col("__want").alias("__in")), parts)
-        redone = again.groupBy(*parts).applyInPandas(leave, bound_schema)
-        kept = wanted.filter(F.col("__want").eqNullSafe(F.col("__in"))).select(*bounds.columns)
-        bounds = materialize(kept.unionByName(redone), "stateful-bounds")
-    return null_safe_join(rows, bounds.select(*parts, "__in"), parts).groupBy(*parts).applyInPandas(emit, schema)
+    states = said.repartition(*keys).sortWithinPartitions(*parts).mapInPandas(compose, text_of("__in"))
+    return null_safe_join(rows, states, parts).groupBy(*parts).applyInPandas(emit, schema)
 
 
 def debounce_step(gap: int, time: str = "generation_ts") -> Step:
@@ -194,15 +142,21 @@ def deadband_chunk(measures: list[str], epsilon: float):
     """A chunk as, for each measure, its records and where the rule ends if it first moves there.
 
     From a stored value s the first move is to the first value above s + epsilon or below s - epsilon, which is always a
-    new maximum or minimum of the chunk; the first known value is both.
+    new maximum or minimum of the chunk; the first known value v is both. Either v itself is the first move, or s is within
+    epsilon of it, so records up to the first that is more than 2 epsilon from v tell all.
     """
 
+    def reach(known: np.ndarray, records: np.ndarray) -> np.ndarray:
+        beyond = np.flatnonzero(np.abs(known[records] - known[0]) > 2 * epsilon)
+        return records[:beyond[0] + 1] if len(beyond) else records
+
     def one(values: list) -> list:
         known = np.array([v for v in values if _known(v)], float)
         if not len(known):
             return [[], [], [], []]
         high = np.flatnonzero(known > np.concatenate([[-np.inf], np.maximum.accumulate(known)[:-1]]))
         low = np.flatnonzero(known < np.concatenate([[np.inf], np.minimum.accumulate(known)[:-1]]))
+        high, low = reach(known, high), reach(known, low)
         ends: dict[int, float] = {}
 
         def end_of(i: int) -> float:

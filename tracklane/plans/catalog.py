@@ -13,13 +13,13 @@ from tracklane.functions import geometry as geo
 from tracklane.functions import parsing
 from tracklane.functions.extract import extract_all
 from tracklane.operators import (
-    ballside, filters, heatmap, keyed, offside, ordered, passes, possession, pressing, setplay, speed, teamarea,
+    areagrid, ballside, filters, heatmap, keyed, offside, ordered, passes, possession, pressing, setplay, speed, teamarea,
 )
 from tracklane.operators.asof import MATCH, ORDER, SEQ, TS, asof_join
 from tracklane.operators.stateful import deadband, debounce
 from tracklane.params import ROSTER_TEXT, Params
 from tracklane.plans.match import Match
-from tracklane.session import work_dir
+from tracklane.session import materialize, work_dir
 from tracklane.sources import streams
 from tracklane.sources.elements import elements, event_columns, keyed_events
 from tracklane.sources.trace import positions
@@ -133,6 +133,13 @@ def processing_latency(m):
     return streams.processing_latency(rows, m.p.ball)
 
 
+@match_query
+def latency_percentiles(m):
+    rows = m.states.withColumn("processing_ts", F.col(TS) + 5 + F.col(SEQ) % 40)
+    sketches = materialize(streams.latency_sketches(streams.processing_latency(rows, m.p.ball), m.p.chunk_ms), "latency-sketches")
+    return streams.latency_percentiles(sketches)
+
+
 @query
 def union_streams(spark, sf_dir):
     e = ev(spark, sf_dir)
@@ -432,6 +439,12 @@ def area_event(m):
     return m.areas
 
 
+@match_query
+def area_event_grid(m):
+    areas = m.metadata.select(MATCH, F.explode(parsing.parse_areas(F.col("areas"))).alias("a")).select(MATCH, "a.*")
+    return areagrid.area_event_grid(m.states, areas, m.p)
+
+
 @match_query
 def kickoff_event(m):
     return m.kickoffs

@@ -524,6 +524,13 @@ FINALS: dict[str, str] = {
 phases("evphase", "select *, case when value >= 20 then case when k < 50 then 'low' else 'high' end end as ident from ev", "user_id", "generation_ts, seq")
 
 
+FINALS["area_event_grid"] = FINALS["area_event"]
+FINALS["latency_percentiles"] = """select match_id, max(n) as n, """ + ", ".join(
+    f"min(latency_ms) filter (where upto >= {q} * n) as p{round(q * 100)}" for q in (0.5, 0.95, 0.99)) + """ from (
+    select *, count(*) over (partition by match_id) n, count(*) over (partition by match_id order by latency_ms) upto
+    from (select match_id, 5 + seq % 40 as latency_ms from bl)) group by match_id"""
+
+
 # a stream over all files gives what the table gives
 for _live in ("debounce", "deadband", "emit_on_change", "phase_events", "heatmap_second", "asof_join", "snapshot_asof", "pass_shot_match",
               "heatmap_interval"):

@@ -115,8 +115,18 @@ def processing_latency(df: DataFrame, object_id: str, *, enabled: bool = True) -
     )
 
 
-def latency_percentiles(latencies: DataFrame, percentiles=(0.5, 0.95, 0.99)) -> DataFrame:
-    """Approximate percentiles per match; the sketch is merged across tasks."""
-    return latencies.groupBy("match_id").agg(
-        *[F.percentile_approx("latency_ms", q).alias(f"p{round(q * 100)}") for q in percentiles]
-    )
+def latency_sketches(latencies: DataFrame, period_ms: int, k: int = 4096) -> DataFrame:
+    """A quantile sketch per match and period of generation time, of about `k` values whatever the number of rows.
+
+    Sketches can be stored and merged over any periods; a smaller sketch has a larger rank error, about 2.3 / k^0.9.
+    """
+    period = F.floor(F.col("generation_ts") / period_ms) * period_ms
+    return latencies.groupBy("match_id", period.alias("period_ts")).agg(
+        F.count("latency_ms").alias("n"), F.kll_sketch_agg_bigint("latency_ms", F.lit(k)).alias("sketch"))
+
+
+def latency_percentiles(sketches: DataFrame, percentiles=(0.5, 0.95, 0.99), k: int = 4096) -> DataFrame:
+    """Percentiles per match from the stored sketches of its periods: the smallest latency that so many do not exceed."""
+    merged = sketches.where("n > 0").groupBy("match_id").agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", F.lit(k)).alias("sketch"))
+    return merged.select("match_id", "n", *[
+        F.kll_sketch_get_quantile_bigint("sketch", F.lit(q).cast("double")).alias(f"p{round(q * 100)}") for q in percentiles])
