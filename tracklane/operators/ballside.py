@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.operators.asof import MATCH, ORDER, SEQ, TS, snapshot_asof
@@ -36,6 +36,23 @@ def samples(states: DataFrame, p: Params, trigger: Column | None = None) -> Data
     )
 
 
+def made_samples(spark: SparkSession, n: int, p: Params, *, seed: int = 7) -> DataFrame:
+    """`n` labelled feature vectors with every x and y anywhere on the field, in the columns of `samples`.
+
+    Each coordinate is a hash of its row number, its place and the seed, so a row is the same whichever task makes it, and
+    again when a task runs anew.
+    """
+    def uniform(i: int) -> Column:  # 53 bits of a hash in [-1, 1)
+        return F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(i), F.lit(seed)), 11) / F.lit(float(1 << 52)) - 1
+
+    places = [uniform(i) if i % 3 < 2 else F.lit(0.0) for i in range(3 * len(everybody(p)))]
+    rows = spark.range(n).withColumn("__f", F.array(*places))
+    return rows.select(
+        F.lit("made").alias(MATCH), F.col("id").alias(TS), F.col("id").alias(SEQ), array_to_vector("__f").alias("features"),
+        (F.col("__f")[0] >= 0).cast("double").alias("label"),
+    )
+
+
 def train_ball_side(
     labelled: DataFrame, p: Params, *, epochs: int = 20, seed: int = 7, max_samples: int = MAX_SAMPLES
 ) -> tuple[MultilayerPerceptronClassificationModel, DataFrame]:

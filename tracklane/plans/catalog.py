@@ -567,8 +567,8 @@ def train_ball_side(m):
 
 @match_query
 def ball_field_side(m):
-    ball = ballside.samples(m.states, m.p, trigger=F.col("object_id") == m.p.ball)
-    return ballside.ball_field_side(m.states, ballside.train_ball_side(ball, m.p)[0], m.p)
+    made = ballside.made_samples(m.states.sparkSession, ballside.MAX_SAMPLES, m.p)
+    return ballside.ball_field_side(m.states, ballside.train_ball_side(made, m.p)[0], m.p)
 
 
 # --- statistics ----------------------------------------------------------------------------------
