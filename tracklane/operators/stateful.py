@@ -1,9 +1,9 @@
 """Greedy sequential rules (the next result depends on the last accepted row) over keyed rows.
 
-Every key is cut into time chunks that run side by side, whatever its size; chunks of more rows than stated are cut finer.
-A chunk does not know the state it starts from, so a first pass describes it as a function of that state; a second composes
-these descriptions in order, key by key, as they stream through a task, one in memory at a time; a third runs the rule in
-each chunk from the state that is now known. That is exact and three passes for any number of chunks, without rounds.
+Keys of at most MAX_KEY_ROWS rows run whole. Larger ones are cut into time chunks that run side by side; chunks of more rows
+than that are cut finer. A chunk does not know the state it starts from, so a first pass describes it as a function of that
+state; a second composes these descriptions in order, key by key, as they stream through a task, one in memory at a time; a
+third runs the rule in each chunk from the state that is now known. That is exact and three passes for any number of chunks, without rounds.
 A description holds what a state at the chunk's start can reach first and no more, so it is bounded by a chunk. Nulls in
 keys are a key of their own; rows without a time take no part.
 """
@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklane.operators.ordered import CHUNK, MAX_CHUNK_ROWS, null_safe_join, split_hot
+from tracklane.operators.ordered import CHUNK, null_safe_join, split_hot
 from tracklane.session import materialize
 
+MAX_KEY_ROWS = 50_000
+
 Step = Callable[[pd.DataFrame, list | None], tuple[pd.DataFrame, list | None]]
 
 
@@ -36,16 +38,26 @@ def chunked_scan(
     follow: Callable[[list | None, list | dict], list | None],
     *,
     schema: T.StructType | None = None,
-    max_rows: int = MAX_CHUNK_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """What `step` makes of the rows of `df`: rows of `schema`, that of `df` if none is given.
 
     `describe(rows of a chunk)` is JSON-able, and `follow(state, description)` is the state in which the chunk leaves `state`.
     """
-    schema = schema or df.schema
-    # stored once: the rows are read three times, and a plan joined to itself would be optimized as a whole
-    rows = split_hot(materialize(df.filter(F.col(order[0]).isNotNull()), "scan-rows"), keys, order[0], width, max_rows)
+    schema, max_rows = schema or df.schema, max_rows or MAX_KEY_ROWS
+    # stored once: the rows are read several times, and a plan joined to itself would be optimized as a whole
+    rows = materialize(df.filter(F.col(order[0]).isNotNull()), "scan-rows")
     parts, names = [*keys, CHUNK], schema.fieldNames()
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return step(pdf.sort_values(order, kind="stable"), None)[0][names]
+
+    hot = rows.groupBy(*keys).count().filter(F.col("count") > max_rows).select(*keys)
+    if hot.isEmpty():
+        return rows.groupBy(*keys).applyInPandas(whole, schema)
+    marked = null_safe_join(rows, materialize(hot, "hot-keys").withColumn("__hot", F.lit(True)), keys, "left")
+    calm = marked.filter("__hot is null").drop("__hot").groupBy(*keys).applyInPandas(whole, schema)
+    rows = split_hot(materialize(marked.filter("__hot").drop("__hot"), "hot-rows"), keys, order[0], width, max_rows)
     fields = [rows.schema[c] for c in parts]
     text_of = lambda name: T.StructType([*fields, T.StructField(name, T.StringType())])
 
@@ -72,7 +84,7 @@ def chunked_scan(
 
     said = rows.groupBy(*parts).applyInPandas(summary, text_of("__said"))
     states = said.repartition(*keys).sortWithinPartitions(*parts).mapInPandas(compose, text_of("__in"))
-    return null_safe_join(rows, states, parts).groupBy(*parts).applyInPandas(emit, schema)
+    return null_safe_join(rows, states, parts).groupBy(*parts).applyInPandas(emit, schema).unionByName(calm)
 
 
 def debounce_step(gap: int, time: str = "generation_ts") -> Step:
