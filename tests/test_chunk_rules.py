@@ -73,3 +73,33 @@ def test_rising_values_have_small_descriptions():
         assert len(json.dumps(said)) < 5000
         state, known = follow(state, said), step(chunk, known)[1]
         assert state == known
+
+
+def test_a_hot_key_of_rising_values(spark, monkeypatch):
+    """One key holds most rows, all of them new maxima; no task gets more than the stated rows of it."""
+    monkeypatch.setattr(stateful, "MAX_KEY_ROWS", 8_000)
+    hot = spark.range(60_000).selectExpr("'hot' as key", "id * 3 as generation_ts", "id as seq", "cast(id as double) / 7 as v")
+    calm = spark.range(900).selectExpr("concat('k', id % 30) as key", "id * 10 as generation_ts", "id as seq", "cast(id % 50 as double) as v")
+    df = hot.unionByName(calm)
+    sizes = []
+    inner = stateful.split_hot
+
+    def watched(rows, *args):
+        out = inner(rows, *args)
+        sizes.append(out.groupBy("key", stateful.CHUNK).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(stateful, "split_hot", watched)
+    got = stateful.deadband(df, ["key"], ["v"], 5.0, 10**9).groupBy("key").agg(F.sort_array(F.collect_list("seq")).alias("s")).collect()
+    assert sizes and max(sizes) <= 8_000
+    want = {}
+    for key, values in {"hot": np.arange(60_000) / 7, **{f"k{k}": None for k in range(30)}}.items():
+        seqs = np.arange(60_000) if key == "hot" else np.arange(int(key[1:]), 900, 30)
+        values = values if key == "hot" else (seqs % 50).astype(float)
+        last, kept = None, []
+        for s, v in zip(seqs.tolist(), values.tolist()):
+            if last is None or abs(v - last) > 5.0:
+                last = v
+                kept.append(s)
+        want[key] = kept
+    assert {r.key: r.s for r in got} == want
