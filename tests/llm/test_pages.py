@@ -1,5 +1,8 @@
 import hashlib
 import io
+import math
+import random
+from collections import defaultdict
 
 import pytest
 
@@ -60,6 +63,76 @@ def test_entropy_decides_in_articles_and_side_branches_hold(spark):
     assert main_texts(spark, "<article><p>the one article</p></article><p>seen {0} times</p>".format)[3] == "the one article\n\nseen 3 times"
 
 
+def test_a_form_around_the_page_is_no_side_branch(spark):
+    page = "<body><form id='f'><h1>Title {0}</h1><p>the text of page {0}</p><form class='x'><p>your name</p></form></form></body>"
+    assert main_texts(spark, page.format) == [f"Title {i}\n\nthe text of page {i}" for i in range(8)]
+
+
+def test_deep_pages_take_linear_room():
+    reach = style_tree.Settings().reach
+    rows = list(style_tree._features("h", "<body>" + "<div class='a'><p>x" * 20_000, reach))
+    assert len(rows) == 60_002 and max(len(r[-1]) for r in rows) == reach  # three features of each pair of nodes
+    assert style_tree.Page("<p><button>" * 5000 + "<li>x").text(frozenset()) == "x"
+    assert len(style_tree.Page("<p><table>" + "<div>x" * 20_000).text(frozenset())) == 60_000 - 2
+
+
+def brute_noise(rows, settings):
+    """Nodes of least importance by plain loops over whole chains of labels, every ancestor counted."""
+    seen, weights = defaultdict(lambda: defaultdict(lambda: defaultdict(int))), {}
+    for host, html in set(rows):
+        for n in style_tree.Page(html).nodes:
+            chain, a = [], n
+            while a is not None:
+                chain.insert(0, a.label)
+                a = a.above
+            if n.role != 0:
+                at = (host, *chain)
+                weights[at] = max(weights.get(at, 0), n.weight * (2.0 if n.role == 1 else 1.0))
+                seen[at]["look", " ".join(n.children)][html] += 1
+                for c in n.content:
+                    seen[at]["text", c][html] += 1
+    own, pages = {}, {}
+    for at, features in seen.items():
+        looks = [len(x) for (k, _), x in features.items() if k == "look"]
+        m = pages[at] = max(sum(looks), max(map(len, features.values())))
+        spread = [-sum(c / sum(x.values()) * math.log(c / sum(x.values())) for c in x.values()) for (k, _), x in features.items() if k == "text"]
+        if m < settings.min_pages:
+            own[at] = 1.0
+            continue
+        look = -sum(c / sum(looks) * math.log(c / sum(looks)) for c in looks) / math.log(m)
+        own[at] = max(look, 1 - min(1, sum(spread) / len(spread) / math.log(m))) if spread else look
+        own[at] = min(1.0, max(0.0, own[at]))
+    noise = set()
+    for at in own:
+        best = max(0.9 ** (len(b) - len(at)) * own[b] * weights[b] for b in own if b[:len(at)] == at)
+        if min(1, best) < settings.threshold and pages[at] >= settings.min_pages:
+            key = 0
+            for label in at[1:]:
+                key = style_tree._number(label, key)
+            noise.add((at[0], key))
+    return noise
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_importance_equals_plain_loops(spark, seed):
+    r = random.Random(seed)
+
+    def part(depth):
+        tag = r.choice(["div", "p", "span", "section", "article", "ul"])
+        name = r.choice(["", " class='a'", " class='b'", " class='share-box'", " class='related'"])
+        inner = "".join(part(depth - 1) for _ in range(r.randint(0, 3))) if depth else ""
+        return f"<{tag}{name}>{r.choice(['same words', f'own {r.random()}', ''])}{inner}</{tag}>"
+
+    fixed = [part(3) for _ in range(3)]
+    deep = "<div>" * 30 + "<p>own {0}" + "</div>" * 30
+    rows = [(f"h{i % 2}", "".join([r.choice(fixed), part(2), fixed[0], deep.format(i)])) for i in range(24)]
+    rows += rows[:5]
+    settings = style_tree.Settings()
+    got = style_tree.importance(spark.createDataFrame(rows, "host string, html string"), settings).collect()
+    got = {(x.host, x.node) for x in got if x.importance < settings.threshold and x.pages >= settings.min_pages}
+    assert got == brute_noise(rows, settings) and got
+
+
 def test_archives(spark):
     got = warc.read(warc.write(pages(spark), max_archive=300)).collect()
     first = {}

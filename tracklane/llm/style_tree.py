@@ -10,19 +10,23 @@ best node, a tenth less with each level down. Branches below a threshold are rem
 Some labels say what they are: elements for navigation, forms and the like, and those with a class, id or role that as a
 whole is a word for such a part, have no importance, nor has what lies in them, articles too. Such a class, id or role
 says nothing on a heading, on html, body, article and main, or on an element that holds the page's main heading or main
-element and most of its text. Other labels only weigh: importance is twice as much in an article or main element and half
+element and most of its text; nor does a form that is around the page like this. Headers in articles go with the other headers.
+Other labels only weigh: importance is twice as much in an article or main element and half
 as much below a class, id or role of which one part is a side word. Where all that a host's articles hold is alike, the
 article stays as it is. Nodes that few distinct pages have cannot be told from content and stay. Exact copies of a page
 count once.
 
 The tree is never in one place: nodes and features are rows, aggregated with partial sums before each shuffle, so a
-host that holds a third of all pages is no single task.
+host that holds a third of all pages is no single task. A node's key is a hash of its parent's key and its label, and its
+row names the ancestors that it can lift above the threshold, which the discount with each level makes few: rows stay
+small and parsing linear however deep a page nests.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -50,10 +54,12 @@ SIDE_WORDS = frozenset("""ad ads advert adverts advertisement banner sponsor spo
 #: Elements whose class, id or role is no side word.
 OWN_NAME = frozenset("#page html body article main h1 h2 h3 h4 h5 h6".split())
 MAIN_WEIGHT, SIDE_WEIGHT = 2.0, 0.5
-SEP = "\x1f"
+#: What a level makes of importance.
+LEVEL = 0.9
 
-FEATURES = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("feature", pa.int64()), ("n", pa.int64()),
-                     ("weight", pa.float64())])
+FEATURES = pa.schema([("host", pa.string()), ("page", pa.int64()), ("node", pa.int64()), ("kind", pa.string()), ("feature", pa.int64()), ("n", pa.int64()),
+                     ("weight", pa.float64()), ("up", pa.list_(pa.int64()))])
+FEATURES_DDL = "host string, page long, node long, kind string, feature long, n long, weight double, up array<long>"
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -63,12 +69,17 @@ class Settings(NamedTuple):
     threshold: float = 0.25
     min_pages: int = 4
 
+    @property
+    def reach(self) -> int:
+        """Levels up to which a node of the greatest importance and weight can lift a branch to the threshold."""
+        return int(math.log(self.threshold / MAIN_WEIGHT, LEVEL)) + 1 if 0 < self.threshold < MAIN_WEIGHT else 0
+
 
 class Node:
     """side: the label says that the branch is a side one; weight: what the labels from the root on make of importance.
-    role: 0 in a side branch, 1 in an article or main element; main: path of the outermost such element."""
+    role: 0 in a side branch, 1 in an article or main element; main: the outermost such element."""
 
-    __slots__ = ("tag", "label", "above", "side", "weight", "role", "main", "path", "children", "content", "size", "core")
+    __slots__ = ("tag", "label", "above", "side", "weight", "role", "main", "key", "children", "content", "size", "core")
 
     def __init__(self, tag: str, words: list[str], above: Node | None):
         self.tag = tag
@@ -78,7 +89,7 @@ class Node:
         self.side = named and bool(SIDE_WORDS.intersection(words))
         self.weight = SIDE_WEIGHT if named and SIDE_WORDS & {w for x in words for w in re.split(r"[-_]", x)} else 1.0
         self.role, self.main = None, None
-        self.path = self.label if above is None else above.path + SEP + self.label
+        self.key = _number(self.label, 0 if above is None else above.key)
         self.children: list[str] = []
         self.content: list[str] = []
         self.size = 0  # characters of text in the branch
@@ -88,12 +99,13 @@ class Node:
         """From the node above and the whole page: role, main and weight."""
         up = self.above
         wraps = self.core and 2 * self.size > total
-        if self.tag in UNSEEN or self.tag in SIDE_TAGS or self.side and not wraps or up is not None and up.role == 0:
+        side = self.tag in SIDE_TAGS and not (wraps and self.tag == "form") or self.side and not wraps
+        if self.tag in UNSEEN or side or up is not None and up.role == 0:
             self.role = 0
         elif up is not None and up.role == 1:
             self.role, self.main = 1, up.main
         elif self.tag in MAIN_TAGS:
-            self.role, self.main = 1, self.path
+            self.role, self.main = 1, self
         if wraps:
             self.weight = 1.0
         self.weight = min(self.weight, 1.0 if up is None else up.weight)
@@ -106,6 +118,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#page", [], None)
         self.open = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each kind among the open elements
         self.nodes = [self.root]
         self.blocks: list[list[tuple[Node, str]]] = [[]]
         self.feed(html)
@@ -138,6 +151,7 @@ class Page(HTMLParser):
         elif tag == "img":
             node.content.append("src " + a.get("src", ""))
         if tag not in VOID:
+            self.places[tag].append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -155,78 +169,88 @@ class Page(HTMLParser):
             self.open[-1].size += len(self.open[-1].content[-1])
 
     def _end(self, kinds: frozenset, walls: frozenset) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in kinds:
-                del self.open[i:]
-                if "p" in kinds and len(kinds) > 1:
-                    self._end(kinds, walls)
-                return
-            if self.open[i].tag in walls:
+        """End the innermost open element of `kinds` unless one of `walls` lies in it; where paragraphs end along with
+        others, all such."""
+        again = True
+        while again:
+            last, wall = (max((self.places[k][-1] for k in x if self.places.get(k)), default=0) for x in (kinds, walls))
+            if last <= wall:
                 return
+            for node in reversed(self.open[last:]):
+                self.places[node.tag].pop()
+            del self.open[last:]
+            again = "p" in kinds and len(kinds) > 1
 
     def _cut(self) -> None:
         if self.blocks[-1]:
             self.blocks.append([])
 
-    def text(self, noise: frozenset[str]) -> str:
-        """Blocks that stay, by two line ends."""
-        verdicts: dict[str, bool] = {}
+    def text(self, noise: frozenset[int]) -> str:
+        """Blocks that stay, by two line ends. An article or main element stays, with all in it where it is noise itself."""
+        noisy: dict[Node, bool] = {}
+        for node in self.nodes:  # parents come first
+            noisy[node] = node.main is not node and (noisy.get(node.above, False) or node.key in noise)
 
         def stays(node: Node) -> bool:
-            if node.role == 0:
-                return False
-            if node.path not in verdicts:
-                parts = node.path.split(SEP)
-                top = node.main.count(SEP) + 2 if node.main is not None else 1
-                verdicts[node.path] = node.main in noise or not any(SEP.join(parts[:i]) in noise for i in range(top, len(parts) + 1))
-            return verdicts[node.path]
+            return node.role != 0 and (not noisy[node] or node.main is not None and node.main.key in noise)
 
         lines = (" ".join("".join(t for n, t in b if stays(n)).split()) for b in self.blocks)
         return "\n\n".join(x for x in lines if x)
 
 
-def _number(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _number(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed % (1 << 64)) - (1 << 63)
 
 
-def _features(host: str, html: str) -> Iterator[tuple]:
-    """Child sequences and content of a page's nodes outside side branches, counted."""
-    page, counts, weights = _number(html), Counter(), {}
+def _features(host: str, html: str, reach: int) -> Iterator[tuple]:
+    """Child sequences and content of a page's nodes outside side branches, counted, with the nearest `reach` ancestors."""
+    page, counts, weights, above = _number(html), Counter(), {}, {}
     for n in Page(html).nodes:
         if n.role != 0:
-            weights[n.path] = max(weights.get(n.path, 0.0), n.weight * (MAIN_WEIGHT if n.role == 1 else 1.0))
-            counts[n.path, "look", _number(" ".join(n.children))] += 1
-            counts.update((n.path, "text", _number(c)) for c in n.content)
-    for (path, kind, feature), c in counts.items():
-        yield host, page, path, kind, feature, c, weights[path]
+            weights[n.key] = max(weights.get(n.key, 0.0), n.weight * (MAIN_WEIGHT if n.role == 1 else 1.0))
+            counts[n.key, "look", _number(" ".join(n.children))] += 1
+            counts.update((n.key, "text", _number(c)) for c in n.content)
+            above[n.key] = n.above
+    for (node, kind, feature), c in counts.items():
+        up, a = [], above[node]
+        while kind == "look" and a is not None and len(up) < reach:
+            up.append(a.key)
+            a = a.above
+        yield host, page, node, kind, feature, c, weights[node], up
 
 
 def importance(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(host, path, pages, importance) of every branch of the style trees of `pages` (host, html)."""
+    """(host, node, pages, importance) of every branch of the style trees of `pages` (host, html).
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches((f for b in rows for h, t in zip(*(c.to_pylist() for c in b.columns)) for f in _features(h, t)), FEATURES)
+    A branch counts its nodes down to `Settings.reach` levels; deeper ones are below the threshold there anyway.
+    """
+    reach = settings.reach
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, page long, path string, kind string, feature long, n long, weight double")
-    each = rows.groupBy("host", "path", "kind", "feature", "page").agg(F.max("n").alias("n"), F.max("weight").alias("weight"))  # copies of a page count once
-    by_feature = each.groupBy("host", "path", "kind", "feature").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("pages"), F.max("weight").alias("weight"))
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches((f for b in rows for h, t in zip(*(c.to_pylist() for c in b.columns)) for f in _features(h, t, reach)), FEATURES)
+
+    rows = pages.select("host", "html").mapInArrow(run, FEATURES_DDL)
+    each = rows.groupBy("host", "node", "kind", "feature", "page").agg(  # copies of a page count once
+        F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("up").alias("up"))
+    by_feature = each.groupBy("host", "node", "kind", "feature").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("pages"), F.max("weight").alias("weight"),
+        F.max("up").alias("up"))
     entropy = F.log("n") - F.col("nlogn") / F.col("n")  # of one feature over pages
-    nodes = by_feature.groupBy("host", "path").agg(
+    nodes = by_feature.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == "look", F.col("pages"))).alias("looks"),
         F.sum(F.when(F.col("kind") == "look", F.col("pages") * F.log("pages"))).alias("plogp"),
         F.max("pages").alias("most"), F.max("weight").alias("weight"),
-        F.avg(F.when(F.col("kind") == "text", entropy)).alias("text_entropy"))
+        F.avg(F.when(F.col("kind") == "text", entropy)).alias("text_entropy"), F.max("up").alias("up"))
     m = F.greatest("looks", "most").cast("double")
     sure = m >= settings.min_pages
     look = (F.log("looks") - F.col("plogp") / F.col("looks")) / F.log(m)
     own = F.when(~sure, 1.0).when(F.col("text_entropy").isNull(), look).otherwise(
         F.greatest(look, 1 - F.least(F.lit(1.0), F.col("text_entropy") / F.log(m))))
-    scored = nodes.select("host", "path", m.alias("pages"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), own)).alias("own"), "weight", F.split("path", SEP).alias("parts"))
-    up = scored.select("host", "own", "pages", "weight", F.size("parts").alias("depth"), "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("d"))
-    down = F.pow(F.lit(0.9), F.col("depth") - F.col("d"))
-    return (up.withColumn("path", F.array_join(F.slice("parts", F.lit(1), F.col("d")), SEP)).groupBy("host", "path")
-            .agg(F.least(F.lit(1.0), F.max(down * F.col("own") * F.col("weight"))).alias("importance"), F.max(F.when(F.col("d") == F.col("depth"), F.col("pages"))).alias("pages")))
+    scored = nodes.select("host", m.alias("pages"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), own)).alias("own"), "weight",
+                          F.posexplode(F.concat(F.array("node"), "up")).alias("d", "node"))
+    return scored.groupBy("host", "node").agg(
+        F.least(F.lit(1.0), F.max(F.pow(F.lit(LEVEL), "d") * F.col("own") * F.col("weight"))).alias("importance"),
+        F.max(F.when(F.col("d") == 0, F.col("pages"))).alias("pages"))
 
 
 def host_of(url: str = "url"):
@@ -241,7 +265,7 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     known = pages.select("page_id", "url", host_of().alias("host"), text_of("html").alias("html"))
     noise = importance(known, settings).where(F.col("importance") < settings.threshold).where(F.col("pages") >= settings.min_pages)
-    by_host = materialize(noise.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("noise")), "noise")
+    by_host = materialize(noise.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("noise")), "noise")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
