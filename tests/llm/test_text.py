@@ -80,6 +80,22 @@ def test_base_spans(spark):
     assert secret_scan.find(documents(spark, [])).count() == 0
 
 
+def test_candidates_are_the_long_parts_outside_base_spans():
+    def brute(text):
+        free = list(text)
+        for _, a, b, _ in secret_scan.base_spans(text):
+            free[a:b] = [" "] * (b - a)
+        return [(m.start(), m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", "".join(free))]
+
+    rng = np.random.default_rng(5)
+    parts = ["0f" * 16, "0f" * 20, "Zk9xQ2mW7vR4tY8uP1aS", "zz", "token=", " ", "\n", "é", ".", "AKIA" + "B" * 16, "password: ", "x/y_z-"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts, rng.integers(1, 14)))
+        assert secret_scan.candidates(text, text.encode(), secret_scan.base_spans(text)) == brute(text), text
+    text = "\n".join(f"{'0f' * 16} file-{i:016d}.tar" for i in range(50_000))
+    assert len(secret_scan.candidates(text, text.encode(), secret_scan.base_spans(text))) == 50_000
+
+
 def test_models_tell_random_strings_from_identifiers_they_have_not_seen():
     rng = np.random.default_rng(9)
     word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at"]) for _ in range(rng.integers(1, 4)))

@@ -110,10 +110,23 @@ def base_spans(text: str, data: bytes | None = None) -> list[tuple[str, int, int
 
 
 def candidates(text: str, data: bytes, base: list[tuple[str, int, int, int]]) -> list[tuple[int, int, str]]:
-    """Long tokens that no base span touches."""
+    """Long tokens, and the long parts outside base spans of those that such spans touch; one pass over both in order."""
     if b"1" * TOKEN_BYTES not in data.translate(IN_TOKEN):
         return []
-    return [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e, _ in base)]
+    out, spans, k = [], sorted((s, e) for _, s, e, _ in base), 0
+    for m in TOKEN.finditer(text):
+        at, end = m.span()
+        while k < len(spans) and spans[k][0] < end:
+            s, e = spans[k]
+            if s - at >= TOKEN_BYTES:
+                out.append((at, s, text[at:s]))
+            at = max(at, e)
+            if e > end:  # may reach into the next token
+                break
+            k += 1
+        if end - at >= TOKEN_BYTES:
+            out.append((at, end, text[at:end]))
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
