@@ -10,6 +10,8 @@ suffixes whose common prefix is at least LENGTH - d.
 
 All positions that share a sample are one row. Where the whole stretch of their strings occurs twice, a count by
 hash settles them; only one row of each distinct stretch, and only of names that have several, goes on to be sorted.
+Names with more distinct stretches than a task should merge are never brought together: their strings become digests
+where they lie, which are counted.
 """
 
 from __future__ import annotations
@@ -44,7 +46,6 @@ KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-PIECE = 1 << 22
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -121,8 +122,9 @@ def _sampled(docs: DataFrame, length: int, window: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """The bytes before and from each chosen sample, as far as the strings that share it reach."""
-    lists = chosen.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last", "at", "gram", "alone")).alias("samples"))
+    """The bytes before and from each chosen sample, as far as the strings that share it reach. Of crowded names a row for
+    each string, which has no right part, the string's digest on the left, and a name from the digest."""
+    lists = chosen.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last", "at", "gram", "alone", "crowded")).alias("samples"))
     # rows that repeat a document give its samples once each; none of these is alone, so they settle nothing for themselves
     with_text = lists.join(docs.toDF("_id", "_key", "text"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
 
@@ -132,7 +134,12 @@ def _contexts(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                 for doc, key, found, text in zip(*(c.to_pylist() for c in batch.columns)):
                     data = text.encode("utf-8", "surrogatepass")
                     for s in found:
-                        yield (s["gram"], data[s["at"]:s["last"] + length], data[s["first"]:s["at"]], s["first"], s["last"], s["alone"], doc, key)
+                        if not s["crowded"]:
+                            yield (s["gram"], data[s["at"]:s["last"] + length], data[s["first"]:s["at"]], s["first"], s["last"], s["alone"], doc, key)
+                            continue
+                        for p in range(s["first"], s["last"] + 1):
+                            digest = hashlib.blake2b(data[p:p + length], digest_size=16).digest()
+                            yield int.from_bytes(digest[:8], "little", signed=True), None, digest, p, p, s["alone"], doc, key
 
         yield from batches(each(), CONTEXTS, 2000)
 
@@ -168,10 +175,9 @@ def _repeated(lefts: list[bytes], rights: list[bytes], span: list[tuple[int, int
     return out
 
 
-def _merge(length: int, max_block: int):
+def _merge(length: int):
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        over = None  # the name of a block that is too large to be merged in one task
 
         def settle(rows: list[tuple]) -> Iterator[tuple]:
             if len(rows) < 2:
@@ -186,29 +192,17 @@ def _merge(length: int, max_block: int):
                 for part in np.split(ds, np.flatnonzero(np.diff(ds) > 1) + 1):
                     yield r[6], r[7], int(at - part[-1]), int(at - part[0]), None
 
-        def digests(r: tuple) -> Iterator[tuple]:
-            data = r[2] + r[1]
-            for i in range(r[4] - r[3] + 1):
-                yield r[6], r[7], r[3] + i, r[3] + i, hashlib.blake2b(data[i:i + length], digest_size=16).digest()
-
         def each() -> Iterator[tuple]:
-            nonlocal held, over
+            nonlocal held
             for batch in batches_:
                 for r in zip(*(c.to_pylist() for c in batch.columns)):
-                    if r[0] == over:
-                        yield from digests(r)
+                    if r[1] is None:
+                        yield r[6], r[7], r[3], r[4], r[2]
                         continue
                     if held and r[0] != held[-1][0] and len(held) >= CHUNK:
                         yield from settle(held)
                         held = []
                     held.append(r)
-                    if len(held) > max_block and held[-max_block][0] == r[0]:
-                        cut = next(i for i, x in enumerate(held) if x[0] == r[0])
-                        yield from settle(held[:cut])
-                        over = r[0]
-                        for x in held[cut:]:
-                            yield from digests(x)
-                        held = []
             yield from settle(held)
 
         yield from batches(each(), STARTS)
@@ -227,10 +221,10 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     stretches = materialize(sampled.groupBy("gram", "stretch").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "first", "last", "at")).alias("x")).where("n > 0"), "stretches")
     whole = sampled.join(stretches.where("n > 1").select("gram", "stretch"), ["gram", "stretch"], "left_semi")
-    several = stretches.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    chosen = stretches.join(several, "gram").select("gram", "x.*", (F.col("n") == 1).alias("alone"))
+    several = stretches.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    chosen = stretches.join(several, "gram").select("gram", "x.*", (F.col("n") == 1).alias("alone"), (F.col("m") > max_block).alias("crowded"))
     sorted_ = _contexts(docs, chosen, length).repartition(partitions(spark), "gram").sortWithinPartitions("gram", "right")
-    merged = materialize(sorted_.mapInArrow(_merge(length, max_block), STARTS_DDL), "merged")
+    merged = materialize(sorted_.mapInArrow(_merge(length), STARTS_DDL), "merged")
     by_digest = merged.where("digest is not null")
     often = by_digest.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     return (whole.select("doc_id", "key", F.col("first").alias("low"), F.col("last").alias("high"))
