@@ -211,7 +211,8 @@ def describe(rules: list[Rule]) -> list[str]:
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """`docs` without the rows that `judge` rejects; its columns may be any, so statistics are joined to none of them."""
-    rules = learn(materialize(statistics(docs), "quality"), labels.select("doc_id", "quality"), settings)
+    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")  # rules need the statistics of these only
+    rules = learn(materialize(statistics(labelled), "quality"), labels.select("doc_id", "quality"), settings)
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     held = docs.select(F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items())).alias("_row"), "doc_id", "text")
     return with_features(statistics(held, "_row")).where(~base_failed() & verdict(rules)).select(*(F.col(f"_row.{n}").alias(c) for c, n in names.items()))
