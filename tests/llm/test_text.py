@@ -201,3 +201,39 @@ def test_every_stretch_of_an_item_has_seeds(spark):
         grams, docs = rng.permutation(60), (10 ** rng.uniform(0, 7, 60)).astype(int)
         seeds = decontaminate._seeds_of(grams, docs, decontaminate.Settings())
         assert all(seeds & set(grams[p:p + 4].tolist()) for p in range(57))
+
+
+def test_short_items_have_to_be_a_line_and_long_runs_count(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list(string.ascii_lowercase), 6))
+    long = [word() for _ in range(300)]
+    bench = spark.createDataFrame([(1, "Paris"), (2, "the river Seine"), (3, "one two three four five six"), (4, " ".join(long)), (5, "?")], "item_id long, text string")
+    fill = [word() for _ in range(50)]
+    rows = [(1, "we saw Paris once"), (2, "a\n Paris!\nb"), (3, "PARIS"), (4, "where the river Seine flows\nthe river\nSeine"), (5, "x\n\nThe river Seine.\n"),
+            (6, "one two three four five six seven"), (7, "so:\none two three four five six\nseven"), (8, " ".join(fill + long[100:139] + fill)),
+            (9, " ".join(fill + long[100:141] + fill)), (10, None), (11, "")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert set(got) == {(2, 1), (3, 1), (5, 2), (7, 3), (9, 4)}
+    assert (got[7, 3].first_word, got[7, 3].last_word, got[7, 3].score) == (1, 6, 1.0)
+    assert {r.doc_id for r in decontaminate.clean(documents(spark, rows), bench).collect()} == {1, 4, 6, 8, 10, 11}
+
+
+def test_blocks_of_items_give_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcd"), 3))
+    items = [" ".join(word() for _ in range(20)) for _ in range(40)]
+    docs = documents(spark, [(i, " ".join([word(), t, word()])) for i, t in enumerate(items)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = [tuple(r) for r in decontaminate.contaminated(docs, bench).collect()]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 400)
+    assert decontaminate._blocks(bench) == 4
+    links = lambda rows: {(r[0], r[2], r[3]) for r in rows}
+    assert links(whole) == links(decontaminate.contaminated(docs, bench).collect()) and {(i, i, 1.0) for i in range(40)} <= links(whole)
+
+
+def test_rules_are_learned_from_labelled_documents_alone(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" + ("#" if i % 3 == 0 else "") for j in range(60))) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {r.doc_id for r in quality.judge(docs, labels).where("kept").collect()} == {i for i in range(120) if i % 3}

@@ -4,7 +4,8 @@ Words are lower-case runs of letters and digits. Documents are read once: a task
 the test items and returns the words around its finds. From these the number of documents per gram is known, over all
 documents. Seeds are grams that are rare beside their neighbours: of every few grams in a row the rarest is one, however
 many documents share it, so each stretch of an item has seeds. Stretches with seeds are aligned with their item word by
-word, so edited and paraphrased copies score by what is left of the item.
+word, so edited and paraphrased copies score by what is left of the item; a long run of a long item counts too, by its own
+score. An item of few words says nothing inside other text: it has to be a whole line of the document, word for word.
 
 Test items are a query set held against all documents in blocks of BLOCK_WORDS words at most; a block is what tasks
 get in memory, and a longer set means more passes, not more memory.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tracklane.llm.common import batches, materialize, text_of
 
 WORD = re.compile(r"[^\W_]+")
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,7 +35,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 class Settings(NamedTuple):
     """n: words of a gram. A gram is a seed if some `window` grams in a row of the item, it among them, have none that is in
     fewer than 1 / times as many documents; each item keeps its min_seeds rarest grams in any case. min_score: share of
-    the best score an item can have."""
+    the best score an item can have; min_run: an alignment also counts if it scores as much as this many equal words in a
+    row. Items of fewer words than whole_line have to be a line of their own."""
 
     n: int = 4
     window: int = 4
@@ -42,10 +44,12 @@ class Settings(NamedTuple):
     min_seeds: int = 16
     slack: int = 16
     min_score: float = 0.5
+    min_run: int = 40
+    whole_line: int = 8
 
 
 NEAR = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32()), ("words", pa.list_(pa.int32())),
-                  ("at", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64()))])
+                  ("at", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64())), ("lines", pa.list_(pa.int32()))])
 LINKS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("n_seeds", pa.int64()),
                    ("first_word", pa.int64()), ("last_word", pa.int64())])
 LINKS_DDL = "doc_id long, text_hash long, item_id long, score double, n_seeds long, first_word long, last_word long"
@@ -71,6 +75,12 @@ def grams_of(ids: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def lines_of(text: str) -> np.ndarray:
+    """Numbers of the words that start a line, and the number of words at the end."""
+    sizes = [len(WORD.findall(x)) for x in text.lower().split("\n")]
+    return np.unique(np.cumsum([0, *sizes]))
+
+
 class Items:
     """A block of test items: word numbers, and which grams occur in which items."""
 
@@ -131,6 +141,14 @@ def score(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - back, end - 1
 
 
+def line_with(item: np.ndarray, words: np.ndarray, lines: list[int]) -> int | None:
+    """Where the first line starts that is the item, by the starts of lines and the end of the text."""
+    for a, b in zip(lines, lines[1:]):
+        if b - a == len(item) and (words[a:b] == item).all():
+            return a
+    return None
+
+
 def _blocks(items: DataFrame) -> int:
     total = items.agg(F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0)).alias("n")).first().n
     return max(1, -(-total // (BLOCK_WORDS // 2)))
@@ -139,6 +157,7 @@ def _blocks(items: DataFrame) -> int:
 def _near(docs: DataFrame, items: Items, settings: Settings) -> DataFrame:
     """Words around the finds of each document, as numbers of the items' vocabulary (0: none of it)."""
     reach = items.longest + settings.slack
+    short = any(len(w) < settings.whole_line for w in items.words.values())
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -152,14 +171,16 @@ def _near(docs: DataFrame, items: Items, settings: Settings) -> DataFrame:
                     order = np.argsort(at, kind="stable")
                     at, grams = at[order], grams[order]
                     key = _hash_of(text)
+                    lines = lines_of(text) if short else np.zeros(0, np.int64)
                     for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1):
                         low, high = max(0, at[part[0]] - reach), at[part[-1]] + settings.n + reach
-                        yield doc, key, int(low), ids[low:high].tolist(), (at[part] - low).tolist(), grams[part].tolist()
+                        near = lines[(lines >= low) & (lines <= high)] - low
+                        yield doc, key, int(low), ids[low:high].tolist(), (at[part] - low).tolist(), grams[part].tolist(), near.tolist()
 
         yield from batches(each(), NEAR, 500)
 
     return materialize(docs.select("doc_id", text_of("text").alias("text")).mapInArrow(
-        run, "doc_id long, text_hash long, first int, words array<int>, at array<int>, grams array<long>"), "finds")
+        run, "doc_id long, text_hash long, first int, words array<int>, at array<int>, grams array<long>, lines array<int>"), "finds")
 
 
 def _seeds(near: DataFrame, items: Items, settings: Settings) -> dict[int, list[int]]:
@@ -183,7 +204,8 @@ def _seeds_of(grams: np.ndarray, docs: np.ndarray, settings: Settings) -> set[in
 
 
 def contaminated(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Links of documents (doc_id, text) and test items (item_id, text) that reach `min_score`, the best of each pair.
+    """Links of documents (doc_id, text) and test items (item_id, text) that reach `min_score` or `min_run`, the best of
+    each pair; items of few words link with documents that have them as a line, with score 1.
 
     Columns: doc_id, text_hash (of the document's text), item_id, score, n_seeds, first_word and last_word of the
     alignment. Null or wordless texts of either table have no links; repeated rows have links of their own, null ids
@@ -204,7 +226,7 @@ def _aligned(near: DataFrame, items: Items, seeds: dict[int, list[int]], setting
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for batch in rows:
-                for doc, key, first, words, at, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                for doc, key, first, words, at, grams, lines in zip(*(c.to_pylist() for c in batch.columns)):
                     hits: dict[int, list[int]] = defaultdict(list)
                     for p, g in zip(at, grams):
                         for i in seeds.get(g, ()):
@@ -212,6 +234,11 @@ def _aligned(near: DataFrame, items: Items, seeds: dict[int, list[int]], setting
                     words = np.array(words, np.int64)
                     for i, places in hits.items():
                         item = items.words[i]
+                        if len(item) < settings.whole_line:
+                            a = line_with(item, words, lines)
+                            if a is not None:
+                                yield doc, key, items.ids[i], 1.0, len(places), a + first, a + first + len(item) - 1
+                            continue
                         reach = len(item) + settings.slack
                         places = np.array(sorted(places))
                         best = (0.0, 0, 0)
@@ -219,7 +246,7 @@ def _aligned(near: DataFrame, items: Items, seeds: dict[int, list[int]], setting
                             low, high = max(0, part[0] - reach), part[-1] + settings.n + reach
                             s, a, z = score(item, words[low:high])
                             best = max(best, (s, int(a + low) + first, int(z + low) + first), key=lambda x: x[0])
-                        if best[0] >= settings.min_score:
+                        if best[0] >= min(settings.min_score, settings.min_run / len(item)):
                             yield doc, key, items.ids[i], best[0], len(places), best[1], best[2]
 
         yield from batches(each(), LINKS)
