@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklane.operators.asof import MATCH, SEQ, TS
 from tracklane.operators.keyed import item_rollup
-from tracklane.operators.ordered import Prev, Total, scan
+from tracklane.operators.ordered import allowed
 from tracklane.operators.speed import players
 from tracklane.params import Params
 
@@ -67,12 +67,12 @@ def heatmap_interval(seconds: DataFrame, spans: DataFrame, p: Params) -> DataFra
     gains = seconds.select("*", horizon)
     leaves = gains.filter("interval_s > 0").withColumn(SECOND, F.col(SECOND) + F.col("interval_s")).withColumn("n", -F.col("n"))
     keys = [MATCH, "item", "interval_s", "cell_x", "cell_y"]
-    steps = gains.unionByName(leaves).groupBy(*keys, SECOND).agg(F.sum("n").alias("d"))
-    width = max(1, p.chunk_ms // 1000)
-    run = scan(steps, keys, [SECOND], width, Total("n", F.col("d"))).select(*keys, SECOND, "n")
-    back = run.withColumn("__neg", -F.col(SECOND))
-    back = scan(back, keys, ["__neg"], width, Prev("__next", F.col(SECOND))).filter("n > 0")
-    level = back.select(*keys, SECOND, "n", "__next").join(spans.select(MATCH, "item", "last_s"), [MATCH, "item"])
+    # one exchange and one sort; a key is one cell of one item, which has two steps a second at most
+    each = gains.unionByName(leaves).filter(allowed(keys, [SECOND])).repartition(*keys)
+    steps = each.groupBy(*keys, SECOND).agg(F.sum("n").alias("d"))
+    w = Window.partitionBy(*keys).orderBy(SECOND)
+    run = steps.select(*keys, SECOND, F.sum("d").over(w).alias("n"), F.lead(SECOND).over(w).alias("__next")).filter("n > 0")
+    level = run.join(spans.select(MATCH, "item", "last_s"), [MATCH, "item"])
     until = F.least(F.coalesce(F.col("__next") - 1, F.col("last_s")), F.col("last_s"))
     level = level.withColumnRenamed(SECOND, "__from")
     return explode_range(level, F.col("__from"), until, SECOND).select(*keys, SECOND, "n")
@@ -90,7 +90,7 @@ def heatmap_rle(intervals: DataFrame, spans: DataFrame, p: Params) -> DataFrame:
     every = explode_range(spans, F.col("first_s"), F.col("last_s"), SECOND).select(
         MATCH, "item", SECOND, F.explode(F.array(*[F.lit(i).cast("bigint") for i in p.intervals_s])).alias("interval_s")
     )
-    all_ = every.join(grids, keys, "left")
+    all_ = every.join(grids.hint("merge"), keys, "left")  # the grids are far larger than estimated: not through the driver
     g = F.coalesce("__g", F.array().cast("array<struct<c:bigint,n:bigint>>"))
     zeros = lambda k: F.when(k > 0, F.concat(F.lit("0x"), k.cast("string")))
     before = lambda i: F.when(i > 0, F.get(g, i - 1)["c"]).otherwise(F.lit(-1).cast("bigint"))

@@ -243,7 +243,7 @@ def _combine(spec, local: Column, carry: Column) -> Column:
             return F.slice(F.reverse(whole), 1, spec.n)
 
 
-def _allowed(keys: list[str], order: list[str]) -> Column:
+def allowed(keys: list[str], order: list[str]) -> Column:
     """True, or an error: null keys would lose their carry, and other orders would not fit one number."""
     bad = F.lit(False)
     for c in (*keys, *order):
@@ -258,7 +258,7 @@ def _allowed(keys: list[str], order: list[str]) -> Column:
 def scan(df: DataFrame, keys: list[str], order: list[str], width: int, *specs) -> DataFrame:
     """Add one column per spec, each running over `keys` in `order`; see the module text."""
     plain = df.columns
-    df = with_chunk(df, order[0], width).filter(_allowed(keys, order))
+    df = with_chunk(df, order[0], width).filter(allowed(keys, order))
     groups = [s for s in specs if isinstance(s, Slots)]
     specs = [s for s in specs if not isinstance(s, Slots)]
     single = len(specs)
@@ -301,7 +301,8 @@ def scan(df: DataFrame, keys: list[str], order: list[str], width: int, *specs) -
             carry = _tail(carry, s, v, c, across)
     carry = carry.drop(*values)
 
-    joined = rows.join(carry, [*keys, CHUNK], "left")
+    # a carry grows with the input and is often far larger than estimated: it must not pass through the driver
+    joined = rows.join(carry.hint("merge"), [*keys, CHUNK], "left")
     return joined.select(
         *[F.col(c) for c in plain],
         *([F.col(CHUNK)] if CHUNK not in plain else []),
