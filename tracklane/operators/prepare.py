@@ -10,6 +10,7 @@ from tracklane.functions.parsing import areas_at, parse_areas, rename_map, renam
 from tracklane.operators.asof import MATCH, ORDER, TS, SEQ, asof_join
 from tracklane.operators.ordered import Prev, done, scan
 from tracklane.params import Params
+from tracklane.session import materialize
 
 STATE = [MATCH, TS, SEQ, "object_id", "team_id", "x", "y", "z", "vx", "vy", "vz", "vabs"]
 
@@ -27,6 +28,9 @@ def field_object_state(raw: DataFrame, metadata: DataFrame, p: Params) -> DataFr
     def speed(c: str) -> Column:
         return F.when((F.col("__p").isNotNull()) & (dt != 0), (F.col(c) - F.col(f"__p.{c}")) / dt).otherwise(0.0)
 
+    if TS not in metadata.columns:
+        # one row per match, stored: else the optimizer may merge this with a distinct below and parse per reading
+        metadata = materialize(metadata.dropDuplicates([MATCH]), "match-metadata")
     # the texts are parsed once per match, not once per reading
     known = metadata.select(
         *[c for c in (MATCH, TS, SEQ) if c in metadata.columns], "field_length", "field_width", "mirrored_x", "mirrored_y",
@@ -38,7 +42,7 @@ def field_object_state(raw: DataFrame, metadata: DataFrame, p: Params) -> DataFr
     if TS in known.columns:  # metadata that change: the latest of the match at the reading's time
         moved = asof_join(moved, known, [MATCH], {c: F.col(c) for c in told}, p.chunk_ms, crowded=False)
     else:
-        moved = moved.join(known.dropDuplicates([MATCH]), MATCH, "left")
+        moved = moved.join(known, MATCH, "left")
 
     def side(flag: str) -> Column:
         return F.when(F.coalesce(flag, F.lit(False)), -1.0).otherwise(1.0)

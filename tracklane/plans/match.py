@@ -21,7 +21,7 @@ class Match:
     @classmethod
     def from_events(cls, spark: SparkSession, sf_dir: str, params: Params) -> "Match":
         raw = materialize(trace.positions(spark, sf_dir), "raw")
-        return cls(raw, trace.metadata(raw), params)
+        return cls(raw, materialize(trace.metadata(raw), "metadata"), params)
 
     @cached_property
     def states(self) -> DataFrame:
@@ -94,7 +94,7 @@ class Match:
 
     @cached_property
     def spans(self) -> DataFrame:
-        return heatmap.item_seconds(self.cells, self.p)
+        return materialize(heatmap.item_seconds(self.cells, self.p), "spans")
 
     @cached_property
     def intervals(self) -> DataFrame:
