@@ -1,10 +1,14 @@
-"""Plans that must stay off the driver and parse once per match, whatever the estimates of sizes say."""
+"""Plans that must stay off the driver and parse once per match, whatever the estimates of sizes say, and sources of streams."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tracklane.operators import heatmap, prepare
 from tracklane.operators.ordered import Total, scan
 from tracklane.params import AREAS_TEXT, Params
+from tracklane.plans import catalog
+from tracklane.streaming import run
+from tracklane.streaming.keyed import in_order
 
 P = Params().with_(chunk_ms=1000)
 
@@ -41,3 +45,30 @@ def test_texts_of_the_metadata_are_parsed_per_match(spark):
     states = prepare.field_object_state(raw, metadata, P)
     assert "SortAggregate" not in plan(states)
     assert states.filter(F.array_contains("areas", "field")).count() == 8
+
+
+def test_sorting_of_a_keys_rows():
+    rows = pd.DataFrame({"t": [3, 1, 1, 2], "s": [0, 5, 4, 1], "x": list("abcd")})
+    assert in_order(rows, ["t", "s"])["x"].tolist() == rows.sort_values(["t", "s"], kind="stable")["x"].tolist() == list("cbda")
+    assert in_order(rows[::-1].iloc[:0], ["t", "s"]).empty
+
+
+def test_micro_batches_of_several_files(spark, monkeypatch):
+    monkeypatch.setattr(run, "FILE_ROWS", 10)
+    rows = spark.range(160).select((F.col("id") * 10).alias("generation_ts"), F.col("id").alias("seq"), F.lit("m").alias("match_id"))
+    source = run.out_of_order(rows, "many", 50, end={"match_id": "end", "seq": 0})
+    sizes = run.run_available(source.withColumn("file", F.input_file_name()), "many")
+    assert sizes.select("file").distinct().count() == 6 * 4
+    assert sorted(r.seq for r in sizes.filter("match_id = 'm'").collect()) == list(range(160))
+
+
+def test_event_batches_keep_the_order_of_far_apart_ids(spark, tmp_path):
+    ids = [*range(8), *range(10**9, 10**9 + 8)]
+    at = F.timestamp_millis(F.col("event_id") % 1000 * 3_600_000 + F.when(F.col("event_id") > 100, 8 * 3_600_000).otherwise(0))
+    events = spark.createDataFrame([(i, 1, "view", 1.0, '{"k": 1}') for i in ids], "event_id long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", at).write.parquet(f"{tmp_path}/events.parquet")
+    source = catalog._event_stream(spark, str(tmp_path))
+    batches = []
+    source.writeStream.option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).foreachBatch(
+        lambda df, n: batches.append(sorted(r.seq for r in df.collect()))).start().awaitTermination()
+    assert [b for b in batches if b] == [ids[:8], ids[8:]]

@@ -25,7 +25,7 @@ from tracklane.sources.elements import elements, event_columns, keyed_events
 from tracklane.sources.trace import positions
 from tracklane.streaming import keyed as live
 from tracklane.streaming import ordered as ordered_live
-from tracklane.streaming.run import as_stream, out_of_order, run_available
+from tracklane.streaming.run import FILE_ROWS, as_stream, out_of_order, run_available
 
 # The trace has 5 readings a second instead of 45: histories and the throw-in window follow it. Its
 # matches last 29 s, so 10 s chunks let every running value cross chunk borders.
@@ -646,14 +646,17 @@ BATCHES, FILES = 4, 4
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of BATCHES micro-batches in the order of their ids, FILES files each."""
+    """The events as a stream of BATCHES micro-batches in the order of their ids, FILES files each, or more if rows need them."""
     rows = event_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
     low, high = rows.agg(F.coalesce(F.min(SEQ), F.lit(0)), F.coalesce(F.max(SEQ), F.lit(0))).first()
     path, step = f"{work_dir(spark)}/streams/events-{uuid.uuid4().hex}", (high - low) // BATCHES + 1
-    for start in range(low, high + 1, step):
-        part = rows.filter((F.col(SEQ) >= start) & (F.col(SEQ) < start + step))
-        part.repartition(FILES).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    batch = F.floor((F.col(SEQ) - low) / step)
+    counts = dict(rows.filter(F.col(SEQ).isNotNull()).groupBy(batch).count().collect()) or {0: 0}
+    # a file without rows would shift the files of later micro-batches
+    files = max(1, min(max(FILES, max(counts.values()) // FILE_ROWS), min(counts.values())))
+    for k in sorted(counts):
+        rows.filter(batch == k).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,16 +24,27 @@ from tracklane.params import Params
 _STATE = T.StructType([T.StructField("state", T.StringType())])
 
 
+def in_order(rows: pd.DataFrame, order: list[str]) -> pd.DataFrame:
+    """`rows` sorted as by `sort_values`, which costs more than most keys' rows in a micro-batch are worth."""
+    by = [rows[c].to_numpy() for c in order]
+    if any(v.dtype.kind not in "iuf" for v in by):
+        return rows.sort_values(order, kind="stable")
+    if len(rows) < 2 or (by[0][1:] > by[0][:-1]).all():
+        return rows
+    return rows.take(np.lexsort(by[::-1]))
+
+
 def stateful_stream(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: T.StructType) -> DataFrame:
     """Run `step` over the rows of each key as they arrive, ordered inside each micro-batch."""
     names = schema.fieldNames()
 
     def run(key, batches, state: GroupState):
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+        parts = list(batches)
+        rows = in_order(parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True), order)
         out, left = step(rows, json.loads(state.get[0]) if state.exists else None)
         if left is not None:
             state.update((json.dumps(left),))
-        yield out[names]
+        yield out if list(out.columns) == names else out[names]
 
     return df.groupBy(*keys).applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -76,8 +88,11 @@ def phase_step(identity: str) -> Step:
             else:
                 phase, who, current = "END", current, None
             out.append((phase, who, number))
-        rows = pdf.assign(phase=[o[0] for o in out], identity=[o[1] for o in out], event_no=[o[2] for o in out])
-        return rows[rows["phase"].notna()], [current, number]
+        kept = [o[0] is not None for o in out]
+        phases, who, numbers = zip(*[o for o in out if o[0] is not None]) if any(kept) else ([], [], [])
+        return pd.DataFrame({
+            **{c: pdf[c].to_numpy()[kept] for c in pdf.columns}, "phase": list(phases), "identity": list(who), "event_no": list(numbers),
+        }), [current, number]
 
     return step
 

@@ -35,27 +35,33 @@ def run_available(df: DataFrame, name: str, *, keys: list[str] | None = None) ->
     return newest.select(*keys, *[F.col(f"__n.{c}").alias(c) for c in rest])
 
 
+#: Rows of a micro-batch that one task writes to a file, about.
+FILE_ROWS = 250_000
+
+
 def out_of_order(table: DataFrame, name: str, late_ms: int, *, batches: int = 4, time: str = "generation_ts", end: dict | None = None) -> DataFrame:
     """`table` as a stream of `batches` micro-batches whose rows come up to `late_ms` too early, as a pseudo-random choice has it.
 
-    With `end` (values of the columns that must not be null) two last files hold one row each far behind all others, so that the
-    watermark passes them all; users filter these from their results.
+    A micro-batch has as many files as its rows need, all written side by side. With `end` (values of the columns that must not
+    be null) two last micro-batches hold a row a file far behind all others, so that the watermark passes them all; users filter
+    these from their results.
     """
     spark = table.sparkSession
     path = f"{work_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
-    low, high = table.agg(F.min(time), F.max(time)).first()
-    low, high = low or 0, high or 0
+    low, high, rows = table.agg(F.min(time), F.max(time), F.count("*")).first()
+    low, high, files = low or 0, high or 0, max(1, rows // batches // FILE_ROWS)
     step = (high - low) // batches + 1
     early = F.pmod(F.xxhash64(*[F.col(c) for c in table.columns if c in (time, "seq")]), F.lit(late_ms))
     dealt = table.withColumn("__no", F.greatest(F.lit(0), F.floor((F.col(time) - early - low) / step)))
     for k in range(batches):
-        dealt.filter(F.col("__no") == k).drop("__no").coalesce(1).write.mode("append").parquet(path)
+        dealt.filter(F.col("__no") == k).drop("__no").repartition(files).write.mode("append").parquet(path)
     if end is not None:
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in table.schema])
         for k in (1, 2):  # the clock of an operator behind another may follow one micro-batch later
-            last = spark.createDataFrame([tuple({**end, time: high + (k << 32)}.get(c) for c in table.columns)], schema)
-            last.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            last = spark.createDataFrame([tuple({**end, time: high + (k << 32)}.get(c) for c in table.columns)], schema).coalesce(1)
+            for _ in range(files):  # one row in each file of a micro-batch
+                last.write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def as_stream(table: DataFrame, *, files_per_trigger: int | None = None) -> DataFrame:
