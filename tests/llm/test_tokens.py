@@ -33,6 +33,15 @@ def test_chunked_encoding_is_the_library_s():
         assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_are_learned_one_by_one_whatever_is_beside_them():
+    e = Encoder(BYTES)
+    texts = ["one alpha,\nbeta gämma.\nDelta", "日本 😀 ²", "x\n\ny z", ""]
+    for _ in range(2):
+        assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    assert {" alpha", "beta", " gämma", "Delta"} <= e.words.keys()
+    assert list(e.documents(iter([]))) == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 511, 513, rans.SPAN, rans.SPAN + 1, rans.BLOCK + 7])
 def test_coding_round_trip(n):
     x = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50_000).astype(np.uint32)

@@ -105,16 +105,15 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
 
         def pieces() -> Iterator[tuple]:
             nonlocal base
-            for batch in rows:
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                    ids = np.append(ids, end_id).astype("<u4")
-                    n = len(ids)
-                    full = n - n % window
-                    for at in range(0, full, window):
-                        yield doc, at, window, zlib.crc32(ids[at:at + window]), n, base, 0
-                        base += 1
-                    if full < n:
-                        rests.append((doc, full, n - full, zlib.crc32(ids[full:]), n))
+            for doc, ids in encoder.documents(rows):
+                ids = np.append(ids, end_id).astype("<u4")
+                n = len(ids)
+                full = n - n % window
+                for at in range(0, full, window):
+                    yield doc, at, window, zlib.crc32(ids[at:at + window]), n, base, 0
+                    base += 1
+                if full < n:
+                    rests.append((doc, full, n - full, zlib.crc32(ids[full:]), n))
                 if len(rests) >= pool:
                     yield from flush()
             yield from flush()

@@ -3,25 +3,35 @@
 A byte-level BPE never merges across pre-tokens, and a pre-token never spans a single ASCII space between two
 characters that are not white space. So a text is cut at such spaces, each distinct chunk is encoded once, and a
 text's ids are its chunks' ids in a row. Texts with other white space around a space are encoded whole.
+A chunk is cut further at single line ends between two such characters, which are pre-tokens of their own. A piece of letters is one
+pre-token: the library's model gets it without the search for pre-tokens. Chunks are cut and told apart for a batch of
+texts at once, by Arrow, and their ids are put in a row by numpy.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MAX_CHUNKS = 900_000
-MAX_WORDS = 900_000
+MAX_CHUNKS = 1_600_000
+MAX_WORDS = 1_300_000
 JOINED = 16
+JOINED_CHARS = 12 << 20
 MARKS = ".,;:!?"
-#: Letters, then the rest of a line. Outside UNSURE characters `[^\W\d_]` is what the tokenizer takes for a letter.
-WORD_LINE = re.compile(r"^([^\W\d_]*)(.*)$", re.M)
+#: Outside of these `str.isalpha` is what the tokenizer takes for letters.
 UNSURE = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]")
 #: White space to Python's str methods, but not to the tokenizer.
 ODD = "\x1c\x1d\x1e\x1f"
 
+#: Characters that a byte-level tokenizer's model has for bytes.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+OF_BYTE = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
+
 _kept: dict[str, "Encoder"] = {}
 
 
@@ -69,55 +79,105 @@ class Encoder:
         out.update(zip(hard, self.whole(hard)))
         return [out[c] for c in parts]
 
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word of letters, with or without a space before it, and its ids: it is a pre-token as it stands."""
+        tokenize = self.tok.model.tokenize
+        for part in ([w for w in words if w.isascii()], [w for w in words if not w.isascii()]):
+            ids, ends = [], [0]
+            for seen in "\n".join(part).encode().decode("latin-1").translate(OF_BYTE).split(OF_BYTE[10]) if part else ():
+                ids += [t.id for t in tokenize(seen)]
+                ends.append(len(ids) * self.dtype.itemsize)
+            raw = np.array(ids, self.dtype).tobytes()
+            yield from zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])])
+
     def _learn(self, kept: dict[str, bytes], new: list[str], before: str) -> None:
-        """Encode new chunks: a word with only marks behind it by its parts, others as they stand."""
-        lines = [c for c in new if "\n" not in c]
-        text = "\n".join(lines)
-        if lines and not UNSURE.search(text):
-            parts = WORD_LINE.findall(text)
-            words = [before + w for w, _ in parts]
-            todo = self._new(self.words, self.old_words, {w for w in words if w not in self.words})
-            self.words.update(zip(todo, self._join(todo)))
-            ends = {r for _, r in parts if r not in self.tails and not r.strip(MARKS)}
-            self.tails.update(zip(ends, self.whole(list(ends))))
-            kept.update((c, self.words[w] + self.tails[p[1]]) for c, w, p in zip(lines, words, parts)
-                        if p[0] and p[1] in self.tails)
-        other = [c for c in new if c not in kept]
+        """Encode new chunks: lines by themselves, a word with only marks behind it by its parts, others as they stand."""
+        if not new:
+            return
+        new = [c for c in new if c and c.isprintable() and c[0] != " " or self._regular(c)]
+        if self.line is not None:
+            cut = [(c, c.split("\n")) for c in new if "\n" in c]
+            cut = [(c, lines) for c, lines in cut if all(map(self._regular, lines))]
+            if cut:
+                new = list(set(new) - {c for c, _ in cut} | {lines[0] for _, lines in cut if lines[0] not in kept})
+                heads = {x for _, lines in cut for x in lines[1:] if x not in self.heads}
+                self._learn(self.heads, self._new(self.heads, self.old_heads, heads), "")
+        words, tails, other = self.words, self.tails, []
+        bare = [c.rstrip(MARKS) for c in new]
+        keys = [before + w if w.isalpha() and (c.isascii() or not UNSURE.search(c)) else None for c, w in zip(new, bare)]
+        todo = self._new(words, self.old_words, {k for k in keys if k is not None and k not in words})
+        words.update(self._words(todo))
+        for c, w, k in zip(new, bare, keys):
+            if k is None:
+                other.append(c)
+                continue
+            ids = words[k]
+            if len(w) < len(c):
+                end = c[len(w):]
+                if end not in tails:
+                    tails[end] = self.whole([end])[0]
+                ids += tails[end]
+            kept[c] = ids
         kept.update(zip(other, self._join([before + c for c in other])))
+        if self.line is not None:
+            line = self.dtype.type(self.line).tobytes()
+            kept.update([(c, line.join([kept[lines[0]], *(self.heads[x] for x in lines[1:])])) for c, lines in cut])
+
+    def documents(self, rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+        """doc_id and ids of rows (doc_id, text); batches of about JOINED_CHARS characters are encoded at a time."""
+        docs, texts, size = [], [], 0
+        for batch in rows:
+            docs += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+            size += batch.column(1).nbytes
+            if size >= JOINED_CHARS:
+                yield from zip(docs, self.encode(texts))
+                docs, texts, size = [], [], 0
+        yield from zip(docs, self.encode(texts))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
         if len(self.heads) + len(self.rest) > MAX_CHUNKS // 2:  # what is met again comes back from the older half
             self.old_heads, self.heads, self.old_rest, self.rest, self.tails = self.heads, {}, self.rest, {}, {}
         if len(self.words) > MAX_WORDS // 2:
             self.old_words, self.words = self.words, {}
-        held, missing, new_heads, new = [], [], set(), set()
-        head, rest = self.heads.get, self.rest.get
-        for i, t in enumerate(texts):
-            first, *chunks = t.split(" ")
-            found = list(map(rest, chunks))
-            found.append(head(first))
-            held.append(found)
-            if None in found:
-                places = [k for k, ids in enumerate(found) if ids is None]
-                missing.append((i, first, chunks, places))
-                if found[-1] is None:
-                    new_heads.add(first)
-                    places.pop()
-                new.update([chunks[k] for k in places])
-        self._learn(self.heads, [c for c in self._new(self.heads, self.old_heads, new_heads) if self._regular(c)], "")
-        self._learn(self.rest, [c for c in self._new(self.rest, self.old_rest, new) if self._regular(c)], " ")
-        odd = []
-        for i, first, chunks, places in missing:
-            found = held[i]
-            for k in places:
-                found[k] = rest(chunks[k])
-            if found[-1] is None:
-                found[-1] = head(first)
-            if None in found:
-                odd.append(i)
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            held[i] = [ids]
-        return [np.frombuffer(f[-1] + b"".join(f[:-1]), self.dtype) for f in held]
+        cut = [t.partition(" ") for t in texts]
+        chunks = pc.split_pattern(pa.array([rest if space else None for _, space, rest in cut], pa.string()), " ")
+        coded = chunks.flatten().dictionary_encode()
+        places, rest = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = [head for head, _, _ in cut]
+        self._learn(self.heads, self._new(self.heads, self.old_heads, {c for c in heads if c not in self.heads}), "")
+        found = list(map(self.rest.get, rest))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        self._learn(self.rest, self._new(self.rest, self.old_rest, {rest[k] for k in missing}), " ")
+        for k in missing:
+            found[k] = self.rest.get(rest[k])
+        # the ids of chunks, then those of first chunks, of each text its first chunk and the others in a row
+        found += map(self.heads.get, heads)
+        unknown = [k for k, ids in enumerate(found) if ids is None]
+        for k in unknown:
+            found[k] = b""
+        lengths = 1 + pc.fill_null(pc.list_value_length(chunks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        firsts = np.cumsum(lengths) - lengths
+        which = np.empty(lengths.sum(), np.int64)
+        later = np.ones(len(which), bool)
+        later[firsts] = False
+        which[later], which[firsts] = places, len(rest) + np.arange(len(texts))
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        starts, many = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        ends = np.cumsum(many)
+        ids = ids[np.repeat(starts - (ends - many), many) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], ends])[[*firsts, len(which)]].tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        if unknown:
+            lost = np.zeros(len(found), bool)
+            lost[unknown] = True
+            odd = np.flatnonzero(np.logical_or.reduceat(lost[which], firsts)).tolist()
+            for i, raw in zip(odd, self.whole([texts[i] for i in odd])):
+                out[i] = np.frombuffer(raw, self.dtype)
+        return out
 
     @staticmethod
     def _new(kept: dict[str, bytes], old: dict[str, bytes], wanted: set[str]) -> list[str]:
