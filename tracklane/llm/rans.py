@@ -81,7 +81,7 @@ def _encode_equal(numbers: np.ndarray, table: Table) -> list[Block]:
     count, n = numbers.shape
     steps = -(-n // LANES)
     x = np.full((count, LANES), LOW, U64)
-    up, scale, word = U64(63 - SCALE), U64(SCALE), U64(32)
+    up, whole, word = U64(63 - SCALE), U64(1 << SCALE), U64(32)
     emitted: list[np.ndarray] = [np.empty(0, np.uint32)] * steps
     sizes = np.zeros((steps, count), np.int64)
     states = np.zeros((-(-steps // STEPS), count, LANES), U64)
@@ -93,8 +93,7 @@ def _encode_equal(numbers: np.ndarray, table: Table) -> list[Block]:
         emitted[t] = y[need].astype(np.uint32)
         sizes[t] = need.sum(1)
         y = np.where(need, y >> word, y)
-        q, r = np.divmod(y, f)
-        x[:, :s.shape[1]] = (q << scale) + r + start[s]
+        x[:, :s.shape[1]] = y + y // f * (whole - f) + start[s]  # (q << scale) + remainder + start
         if t % STEPS == 0:
             states[t // STEPS] = x
     words = np.concatenate(emitted)

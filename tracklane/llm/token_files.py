@@ -139,13 +139,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | N
             size = 0
             return pa.RecordBatch.from_pylist([dict(zip(FILES.names, row))], schema=FILES)
 
-        for batch in rows:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                doc_ids.append(doc)
-                held.append(np.append(ids, ids.dtype.type(end_id)))
-                size += len(ids) + 1
-                if size >= MAX_IDS:
-                    yield flush()
+        for doc, ids in encoder.documents(rows):
+            doc_ids.append(doc)
+            held.append(np.append(ids, ids.dtype.type(end_id)))
+            size += len(ids) + 1
+            if size >= MAX_IDS:
+                yield flush()
         if doc_ids:
             yield flush()
 
