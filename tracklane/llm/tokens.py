@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_CHUNKS = 1_600_000
-MAX_WORDS = 1_300_000
+MAX_CHUNKS = 900_000
+MAX_WORDS = 900_000
 JOINED = 16
-JOINED_CHARS = 12 << 20
+JOINED_CHARS = 3 << 20
 MARKS = ".,;:!?"
 #: Outside of these `str.isalpha` is what the tokenizer takes for letters.
 UNSURE = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]")
