@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.cases import TEXTS, documents, plain, same
-from tracklane.llm import packing, rans, token_counts, token_files
+from tracklane.llm import packing, rans, token_counts, token_files, tokens
 from tracklane.llm.tokens import Encoder
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -134,3 +134,26 @@ def test_pieces_are_the_library_s():
     for t, e in zip(texts, p.tok.encode_batch(texts, add_special_tokens=False)):
         pieces = [x for c in token_counts.chunks_of(t) for x in p.of_chunk(c)]
         assert (p.count(pieces).sum() if pieces else 0) == len(e.ids)
+
+
+def test_lines_and_marks_of_distinct_words_are_kept_once():
+    """Words are kept without the line ends and marks beside them, so their number does not grow with the neighbours."""
+    e = Encoder(BYTES)
+    words = ["alpha", "gämma", "Öl", "naïveté", "delta"]
+    texts = [f"x {a}{m}\n{b}{m} {b}\n\n{a} \n{b}" if odd else f"x {a}{m}\n{b}{m} {b}\n\n{a} {a}{m}" for a in words for b in words
+             for m in ("", ",", "***", '").', "'", "²") for odd in (False, True)]
+    texts += ["\nx", "x\n", "a\nb\nc", "a \nb\nc", "a\n\x1cb c\x1c\nd e", "x \x85y\nz", "a\t\nb c", "\n", " \n", "x ıß,\nǅ. ʰ, ª!"]
+    for _ in range(2):
+        assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    e = Encoder(BYTES)
+    e.encode([f"x {a}{m}\n{b}{m}" for a in words for b in words for m in ("", ",", "***")])
+    assert len(e.words) + len(e.heads) + len(e.rest) <= 2 * len(words) + 2 * 3 * len(words) + 2  # before: one for each pair of words
+
+
+def test_caches_are_bounded_and_ids_stay(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_KEPT", 20)
+    e = Encoder(BYTES)
+    texts = [f"w{chr(97 + i % 26)}x tä{chr(97 + i % 7)},\nzu{chr(97 + i % 11)}. {i}" for i in range(200)]
+    for k in range(0, 200, 5):
+        assert [x.tolist() for x in e.encode(texts[k:k + 5])] == [x.ids for x in e.tok.encode_batch(texts[k:k + 5], add_special_tokens=False)]
+        assert len(e.words) + len(e.heads) + len(e.rest) < 60

@@ -3,7 +3,7 @@
 A byte-level BPE never merges across pre-tokens, and a pre-token never spans a single ASCII space between two
 characters that are not white space. So a text is cut at such spaces, each distinct chunk is encoded once, and a
 text's ids are its chunks' ids in a row. Texts with other white space around a space are encoded whole.
-A chunk is cut further at single line ends between two such characters, which are pre-tokens of their own. A piece of letters is one
+It is cut as well at single line ends between two such characters, which are pre-tokens of their own. A piece of letters is one
 pre-token: the library's model gets it without the search for pre-tokens. Chunks are cut and told apart for a batch of
 texts at once, by Arrow, and their ids are put in a row by numpy.
 """
@@ -18,25 +18,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_CHUNKS = 900_000
-MAX_WORDS = 900_000
+MAX_KEPT = 1_800_000
 JOINED = 16
-JOINED_CHARS = 3 << 20
-MARKS = ".,;:!?"
+JOINED_CHARS = 6 << 20
+MARKS = ".,;:!?$%&*#|)]}\""
 #: Outside of these `str.isalpha` is what the tokenizer takes for letters.
 UNSURE = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]")
+#: A line end between two characters that are not white space.
+LINE = re.compile(r"\n(?=\S)(?<=\S\n)")
 #: White space to Python's str methods, but not to the tokenizer.
 ODD = "\x1c\x1d\x1e\x1f"
 
 #: Characters that a byte-level tokenizer's model has for bytes.
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 OF_BYTE = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
+_CODES = np.array([ord(OF_BYTE.get(b, chr(b))) for b in range(256)], "<u4")
 
 _kept: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Ids of texts for one byte-level tokenizer without normaliser; keeps about MAX_CHUNKS chunks and MAX_WORDS words at most."""
+    """Ids of texts for one byte-level tokenizer without normaliser; keeps about MAX_KEPT chunks and words at most."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,13 +84,13 @@ class Encoder:
     def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Each word of letters, with or without a space before it, and its ids: it is a pre-token as it stands."""
         tokenize = self.tok.model.tokenize
-        for part in ([w for w in words if w.isascii()], [w for w in words if not w.isascii()]):
-            ids, ends = [], [0]
-            for seen in "\n".join(part).encode().decode("latin-1").translate(OF_BYTE).split(OF_BYTE[10]) if part else ():
-                ids += [t.id for t in tokenize(seen)]
-                ends.append(len(ids) * self.dtype.itemsize)
-            raw = np.array(ids, self.dtype).tobytes()
-            yield from zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])])
+        seen = _CODES[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids, ends = [], [0]
+        for word in seen.split(OF_BYTE[10]) if words else ():
+            ids += [t.id for t in tokenize(word)]
+            ends.append(len(ids))
+        raw, ends = np.array(ids, self.dtype).tobytes(), [self.dtype.itemsize * e for e in ends]
+        return zip(words, [raw[a:b] for a, b in zip(ends, ends[1:])])
 
     def _learn(self, kept: dict[str, bytes], new: list[str], before: str) -> None:
         """Encode new chunks: lines by themselves, a word with only marks behind it by its parts, others as they stand."""
@@ -123,6 +125,51 @@ class Encoder:
             line = self.dtype.type(self.line).tobytes()
             kept.update([(c, line.join([kept[lines[0]], *(self.heads[x] for x in lines[1:])])) for c, lines in cut])
 
+    def _learn_rest(self, new: list[str]) -> None:
+        """Encode new chunks behind a space or, if they begin with one, behind a line end."""
+        lines = [c for c in new if c[:1] == "\n"] if self.line is not None else []
+        if lines:
+            new = [c for c in new if c[:1] != "\n"]
+            heads = self.heads
+            self._learn(heads, self._new(heads, self.old_heads, {c[1:] for c in lines}.difference(heads)), "")
+            line = self.dtype.type(self.line).tobytes()
+            self.rest.update((c, line + heads[c[1:]]) for c in lines if c[1:] in heads)
+        self._learn(self.rest, new, " ")
+
+    def _word_ids(self, keys: list[str]) -> list[bytes]:
+        """Ids of words of letters, with or without a space before them."""
+        words = self.words
+        found = list(map(words.get, keys))
+        if None in found:
+            todo = self._new(words, self.old_words, {k for k, ids in zip(keys, found) if ids is None})
+            words.update(self._words(todo))
+            found = list(map(words.__getitem__, keys))
+        return found
+
+    def _rest_ids(self, chunks: pa.StringArray) -> list[bytes | None]:
+        """Ids of distinct chunks behind a space; None where the text has to be encoded whole.
+
+        Arrow tells letters with or without marks behind them from other chunks; only these are kept as chunks.
+        """
+        bare = pc.ascii_rtrim(chunks, characters=MARKS)
+        easy = pc.and_not(pc.utf8_is_alpha(bare), pc.match_substring_regex(bare, UNSURE.pattern))
+        sizes = pc.utf8_length(bare).to_numpy()
+        marked = np.flatnonzero(easy.to_numpy(zero_copy_only=False) & (pc.utf8_length(chunks).to_numpy() > sizes))
+        keys = pc.binary_join_element_wise(" ", bare.filter(easy), "")
+        easy = easy.to_numpy(zero_copy_only=False)
+        found = np.empty(len(chunks), object)
+        found[easy] = self._word_ids(keys.to_numpy(zero_copy_only=False).tolist())
+        hard = chunks.filter(pa.array(~easy)).to_numpy(zero_copy_only=False).tolist()
+        self._learn_rest(self._new(self.rest, self.old_rest, set(hard).difference(self.rest)))
+        found[~easy] = list(map(self.rest.get, hard))
+        found, tails = found.tolist(), self.tails
+        for k, c, n in zip(marked.tolist(), chunks.take(pa.array(marked)).to_pylist(), sizes[marked].tolist()):
+            end = c[n:]
+            if end not in tails:
+                tails[end] = self.whole([end])[0]
+            found[k] += tails[end]
+        return found
+
     def documents(self, rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         """doc_id and ids of rows (doc_id, text); batches of about JOINED_CHARS characters are encoded at a time."""
         docs, texts, size = [], [], 0
@@ -138,24 +185,21 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
-        if len(self.heads) + len(self.rest) > MAX_CHUNKS // 2:  # what is met again comes back from the older half
+        if len(self.heads) + len(self.rest) + len(self.words) + len(self.tails) > MAX_KEPT // 2:  # what is met again comes back from the older half
             self.old_heads, self.heads, self.old_rest, self.rest, self.tails = self.heads, {}, self.rest, {}, {}
-        if len(self.words) > MAX_WORDS // 2:
             self.old_words, self.words = self.words, {}
-        cut = [t.partition(" ") for t in texts]
+        # a line end is put before the chunk behind it, as a space is; where the text itself has both, it is encoded whole
+        lines = [LINE.sub(" \n", t) if "\n" in t else t for t in texts] if self.line is not None else texts
+        cut = [t.partition(" ") for t in lines]
         chunks = pc.split_pattern(pa.array([rest if space else None for _, space, rest in cut], pa.string()), " ")
         coded = chunks.flatten().dictionary_encode()
-        places, rest = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places, found = coded.indices.to_numpy(), self._rest_ids(coded.dictionary)
+        others = len(found)
         heads = [head for head, _, _ in cut]
         self._learn(self.heads, self._new(self.heads, self.old_heads, {c for c in heads if c not in self.heads}), "")
-        found = list(map(self.rest.get, rest))
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        self._learn(self.rest, self._new(self.rest, self.old_rest, {rest[k] for k in missing}), " ")
-        for k in missing:
-            found[k] = self.rest.get(rest[k])
         # the ids of chunks, then those of first chunks, of each text its first chunk and the others in a row
         found += map(self.heads.get, heads)
-        unknown = [k for k, ids in enumerate(found) if ids is None]
+        unknown = [k for k, ids in enumerate(found) if ids is None] if None in found else []
         for k in unknown:
             found[k] = b""
         lengths = 1 + pc.fill_null(pc.list_value_length(chunks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -163,7 +207,7 @@ class Encoder:
         which = np.empty(lengths.sum(), np.int64)
         later = np.ones(len(which), bool)
         later[firsts] = False
-        which[later], which[firsts] = places, len(rest) + np.arange(len(texts))
+        which[later], which[firsts] = places, others + np.arange(len(texts))
         ids = np.frombuffer(b"".join(found), self.dtype)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         starts, many = (np.cumsum(sizes) - sizes)[which], sizes[which]
@@ -171,10 +215,12 @@ class Encoder:
         ids = ids[np.repeat(starts - (ends - many), many) + np.arange(ends[-1])]
         cuts = np.concatenate([[0], ends])[[*firsts, len(which)]].tolist()
         out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        odd = {i for i, t in enumerate(texts) if " \n" in t} if self.line is not None else set()
         if unknown:
             lost = np.zeros(len(found), bool)
             lost[unknown] = True
-            odd = np.flatnonzero(np.logical_or.reduceat(lost[which], firsts)).tolist()
+            odd.update(np.flatnonzero(np.logical_or.reduceat(lost[which], firsts)).tolist())
+        if odd:
             for i, raw in zip(odd, self.whole([texts[i] for i in odd])):
                 out[i] = np.frombuffer(raw, self.dtype)
         return out
