@@ -4,6 +4,7 @@ import hashlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -54,6 +55,44 @@ def test_every_character_is_cut_as_the_library_cuts(spark, library):
     assert not wrong, [hex(c) for c in wrong[:50]]
 
 
+def test_a_word_is_folded_once_for_all_tasks(spark, library):
+    texts = [f"zqxwv{i % 60}kjzx qqzzvv wxyzzy{i % 7}ozq and the word {'zxq' * (i % 5 + 1)}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    ranks = Vocabulary.read(FILE).ranks
+    single = {r: k[0] for k, r in ranks.items() if len(k) == 1}
+    want = {w.encode() for t in texts for w in regex.findall(P.PATTERN, t)} - ranks.keys()
+    rows = byte_bpe.distinct_words(byte_bpe.cut_words(docs, FILE, P.PATTERN, 500), FILE).collect()
+    assert sorted(bytes(single[i] for i in w) for r in rows for w in r.words) == sorted(want)
+    got = byte_bpe.encode(docs, FILE, P.PATTERN, decoded=True, block_chars=500).collect()
+    assert {r.doc_id: ids_of(r) for r in got} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("most", [(5, 1 << 25, 300_000), (600_000, 100, 300_000), (600_000, 1 << 25, 3)])
+def test_files_end_and_chunks_are_forgotten(tmp_path, library, monkeypatch, most):
+    monkeypatch.setattr(byte_bpe, "MAX_WORDS", most[0])
+    monkeypatch.setattr(byte_bpe, "MAX_FILE", most[1])
+    monkeypatch.setattr(byte_bpe, "MAX_CHUNKS", most[2])
+    ranks = Vocabulary.read(FILE).ranks
+    cutter = byte_bpe._Cutter(P.PATTERN, "", ranks, str(tmp_path))
+    blocks = [["zqxwv kjzx the", "", "zqxwv"], ["kjzx zqxwv", "and qqzzvv"], ["the zxqzxq\n"]]
+    full = []
+    for b in blocks:
+        cutter.block(list(range(len(b))), b)
+        full.append(cutter.full())
+    assert full == [most[0] < 6 and i > 0 or most[1] < 1000 for i in range(3)]
+    rows = list(cutter.close())
+    parts = [(raw, byte_bpe._numbers(n).tolist()) for _, _, raw, n in rows]
+    words = [raw[sum(n[:i]):sum(n[:i + 1])] for raw, n in parts for i in range(len(n))]
+    ids = [naive(w, ranks) for w in words]
+    groups = np.frombuffer(b"".join(x["groups"] for x in byte_bpe._blocks(rows[0][0], ["groups"])), np.uint8)
+    uniter = byte_bpe._Uniter(np.array(sum(ids, []), "<u4"), np.array(list(map(len, ids))), groups)
+    got = []
+    for row in byte_bpe._blocks(rows[0][0], byte_bpe.BLOCK.names[:7]):
+        values, sizes = uniter.documents(row)
+        got += [x.tolist() for x in np.split(values, np.cumsum(sizes)[:-1])]
+    assert got == [library.encode_ordinary(t) for b in blocks for t in b]
+
+
 def texts_of(c):
     return f"a{chr(c)}a {chr(c)} 1{chr(c)}"
 
