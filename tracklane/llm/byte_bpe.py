@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tracklane.llm.common import batches, fresh_dir, materialize, open_in, open_out, text_of
 
 BLOCK_CHARS = 2 << 20
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 200_000
 MAX_WORDS = 600_000
 MAX_FILE = 32 << 20
 #: Groups of words; a group is a byte in a file.
@@ -212,7 +212,7 @@ class _Cutter:
         self.rest: dict[str, int] = {}  # others, without the space before them
         self.odd: set[int] = set()
         self.words: dict[str, int] = {}
-        self.fresh: list[bytes] = []  # words that are to be folded
+        self.folded = 0  # words that are to be folded
         self.groups: list[np.ndarray] = []
         self.out = open_out(folder, ".arrows")
 
@@ -255,9 +255,9 @@ class _Cutter:
         raw = [w.encode("utf-8", "surrogatepass") for w in islice(reversed(self.words), len(self.words) - before)][::-1]
         refs = np.fromiter((self.ranks.get(w, -1) for w in raw), np.int32, len(raw))  # a known word is its id, without merges
         fresh = [w for w, r in zip(raw, refs.tolist()) if r < 0]
-        refs[refs < 0] = -1 - len(self.fresh) - np.arange(len(fresh), dtype=np.int32)
+        refs[refs < 0] = -1 - self.folded - np.arange(len(fresh), dtype=np.int32)
         groups = np.fromiter((zlib.crc32(w) % GROUPS for w in fresh), np.uint8, len(fresh))
-        self.fresh += fresh
+        self.folded += len(fresh)
         self.groups.append(groups)
         flat = [p for x in pieces for p in x]
         packed = [np.array(lengths, np.int32), np.array(chunks, np.int32), np.array([len(x) for x in pieces], np.int32),
@@ -273,9 +273,12 @@ class _Cutter:
     def close(self) -> Iterator[tuple]:
         """Ends the file. Rows of WORDS, one at least: the words of a group in the order of their numbers."""
         self.out.close()
+        raw = (w.encode("utf-8", "surrogatepass") for w in self.words)
+        fresh = [w for w in raw if w not in self.ranks]
+        self.heads, self.rest, self.words = {}, {}, {}
         groups = np.concatenate(self.groups)
         order = np.argsort(groups, kind="stable")
-        words = [self.fresh[i] for i in order.tolist()]
+        words = [fresh[i] for i in order.tolist()]
         ends = np.cumsum(np.bincount(groups, minlength=GROUPS)).tolist()
         for group, (a, b) in enumerate(zip([0, *ends], ends)):
             if a < b or not words and not group:
@@ -379,11 +382,13 @@ def cut_words(docs: DataFrame, rank_file: str, pattern: str, block_chars: int =
                     if cutter.full():
                         yield from batches(cutter.close(), WORDS, ROWS)
                         cutter = None
+                        pa.default_memory_pool().release_unused()
         if texts:
             cutter = cutter or _Cutter(pattern, other, Vocabulary.read(rank_file).ranks, folder)
             cutter.block(doc_ids, texts)
         if cutter:
             yield from batches(cutter.close(), WORDS, ROWS)
+            pa.default_memory_pool().release_unused()
 
     return materialize(docs.select("doc_id", text_of("text").alias("text")).mapInArrow(cut, WORDS_DDL), "byte_bpe")
 
@@ -396,9 +401,10 @@ def distinct_words(cuts: DataFrame, rank_file: str) -> DataFrame:
     """Rows of NUMBERED: the numbers of the words of a file in their group, and those words of the group that no row before had,
     each as the ids of its bytes. A group starts with the row that says to forget the one before."""
 
+    ranks = Vocabulary.read(rank_file).ranks
+    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
     def number(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = Vocabulary.read(rank_file).ranks
-        of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         group, known = None, {}
         for batch in _small(rows):
             found, new, per_row = [], [], []
@@ -450,7 +456,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, decoded: bool = Fal
 
     def unite(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Vocabulary.read(rank_file).bytes_of_ids() if decoded else None
-        each = (r for b in rows for r in zip(*(c.to_pylist() for c in b.columns)))
+        each = (r for b in _small(rows) for r in zip(*(c.to_pylist() for c in b.columns)))
         for file, parts in groupby(each, key=lambda r: r[0]):
             values, sizes = zip(*((_numbers(v, "<u4"), _numbers(n)) for _, _, v, n in parts))
             groups = b"".join(x["groups"] for x in _blocks(file, ["groups"]))
@@ -464,6 +470,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, decoded: bool = Fal
                     if decoded:
                         columns.append(pa.array([_bytes_of(x, pieces) for x in part], pa.binary()))
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"][:len(columns)])
+            pa.default_memory_pool().release_unused()
 
     words = distinct_words(cut_words(docs, rank_file, pattern, block_chars), rank_file)
     folded = words.withColumn("words", fold(F.col("words"), Vocabulary.read(rank_file))).mapInArrow(_gather, FOLDED_DDL)
